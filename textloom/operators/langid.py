@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom import fixed
-from textloom.operators.lookup import lookup_join
-from textloom.session import checkpointed
+from textloom.operators.lookup import HOT_ROWS, lookup_join
+from textloom.session import checkpointed, spread
 
 SCALE = 1_000_000
 MAX_LANGUAGES = 500
@@ -28,21 +28,24 @@ def words_of(text: Column) -> Column:
 def grams_of(word: Column) -> Column:
     """1-grams of the word, 2- and 3-grams of the word between two blanks."""
     inner = F.split(word, "")
-    chars = F.concat(F.array(F.lit(" ")), inner, F.array(F.lit(" ")))
-    n = F.size(chars)
-    pairs = F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i)),
+    blank = F.array(F.lit(" "))
+    before, after = F.concat(blank, inner), F.concat(inner, blank)
+    # zip_with works its arguments out once per word; a lambda over positions
+    # would split the word again for every gram.
+    pairs = F.zip_with(before, after, lambda a, b: F.concat(a, b))
+    last_two = F.zip_with(
+        inner, F.concat(F.slice(inner, 2, F.length(word)), blank), lambda a, b: F.concat(a, b)
     )
-    triples = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i), F.get(chars, i + 1)),
+    triples = F.zip_with(
+        F.concat(blank, F.slice(inner, 1, F.length(word) - 1)),
+        last_two,
+        lambda a, b: F.concat(a, b),
     )
     return F.concat(inner, pairs, triples)
 
 
 def _exploded(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
-    return df.select(*keep, F.explode(words_of(text)).alias("word"))
+    return spread(df).select(*keep, F.explode(words_of(text)).alias("word"))
 
 
 @dataclass
@@ -99,22 +102,24 @@ def fit(
 def score(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text") -> DataFrame:
     """Add nothing but (id, detected): the most likely language of each text that has letters."""
     n = len(profile.languages)
-    per_text = (
+    per_text = checkpointed(
         _exploded(df, F.col(text), F.col(id_))
         .groupBy(id_, "word")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    vocabulary = _exploded(df, F.col(text)).distinct()
-    grams = vocabulary.select("word", F.explode(grams_of(F.col("word"))).alias("gram"))
+    vocabulary = per_text.groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"))
+    grams = vocabulary.select("word", "n_texts", F.explode(grams_of(F.col("word"))).alias("gram"))
     known = lookup_join(grams, profile.table, ["gram"])
-    word_scores = known.groupBy("word").agg(
-        *[
-            F.sum(F.coalesce(F.col(f"lp_{i}"), F.lit(profile.unseen[i]))).alias(f"s_{i}")
-            for i in range(n)
-        ]
+    word_scores = checkpointed(
+        known.groupBy("word", "n_texts").agg(
+            *[
+                F.sum(F.coalesce(F.col(f"lp_{i}"), F.lit(profile.unseen[i]))).alias(f"s_{i}")
+                for i in range(n)
+            ]
+        )
     )
-    word_scores = checkpointed(word_scores)
-    scored = lookup_join(per_text, word_scores, ["word"], "inner")
+    common = word_scores.where(F.col("n_texts") > HOT_ROWS).select("word")
+    scored = lookup_join(per_text, word_scores.drop("n_texts"), ["word"], "inner", hot=common)
     sums = scored.groupBy(id_).agg(
         *[F.sum(F.col("times") * F.col(f"s_{i}")).alias(f"s_{i}") for i in range(n)]
     )
@@ -127,6 +132,9 @@ def score(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text")
 
 def detect(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text") -> DataFrame:
     """``df`` with ``detected``; unknown for texts without any letter."""
+    if not profile.languages:
+        nothing = F.lit(None).cast("bigint").alias("log_score")
+        return df.select("*", F.lit(fixed.UNKNOWN_LANGUAGE).alias("detected"), nothing)
     found = score(df, profile, id_, text)
     joined = df.join(found, id_, "left")
     return joined.withColumn(

@@ -53,17 +53,23 @@ def lookup_join(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     max_rows: int = BROADCAST_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows of any number and any skew to a table that is unique on ``on``.
 
     A table proven small is broadcast.  Beyond that, the rows of hot keys meet
     a broadcast of just the table rows of those keys, and all other rows go
     through a shuffle join in which no key has more than ``hot_rows`` rows.
+    A caller that has counted already passes the ``hot`` keys.
     """
     on = list(on)
     if fits_broadcast(table, max_rows):
         return df.join(F.broadcast(table), on, how)
-    hot = hot_keys(df.where(" and ".join(f"`{k}` is not null" for k in on)), on, hot_rows)
+    if hot is None:
+        known = df.where(" and ".join(f"`{k}` is not null" for k in on))
+        hot = hot_keys(known, on, hot_rows)
+    elif hot.isEmpty():
+        hot = None
     if hot is None:
         return df.join(table, on, how)
     hot = small(hot)

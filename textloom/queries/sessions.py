@@ -12,7 +12,7 @@ from textloom.streaming.lines import assemble_stream
 from textloom.streaming.run import drain, files_stream
 
 DAY = 86_400.0
-END = "la."
+END = "at"
 
 
 def _turns(spark, folder):
@@ -76,8 +76,14 @@ def breaker_stream(spark, folder):
     return drain(stream, "breaker-stream")
 
 
+def _words_as_lines(turns):
+    """Conversations typed one word per line, so that the word ``END`` ends some of them."""
+    words = turns.withColumn("text", F.replace("text", F.lit(" "), F.lit("\n")))
+    return text_lines(words, "text", "conv_id", "turn")
+
+
 def line_assembly(spark, folder):
-    lines = text_lines(table(spark, folder, "conversations"), "text", "conv_id", "turn")
+    lines = _words_as_lines(table(spark, folder, "conversations"))
     texts = assemble_lines(lines, ["conv_id"], ["turn", "line_no"], "line", END, page_lines=25)
     return texts.select("conv_id", "page", "n_lines", F.md5("text").alias("h"))
 
@@ -85,7 +91,7 @@ def line_assembly(spark, folder):
 def line_stream(spark, folder):
     schema = table(spark, folder, "conversations").schema
     turns = files_stream(spark, folder, schema, pathGlobFilter="conversations.parquet")
-    lines = text_lines(turns, "text", "conv_id", "turn")
+    lines = _words_as_lines(turns)
     stream = assemble_stream(lines, ["conv_id"], ["turn", "line_no"], "line", END, page_lines=25)
     texts = drain(stream, "line-stream")
     return texts.select("conv_id", "page", "n_lines", F.md5("text").alias("h"))
@@ -119,23 +125,28 @@ _BREAKER_SQL = """WITH RECURSIVE
   SELECT event_id, user_id, admitted_as, outcome, state_after, failures FROM s WHERE rn > 0"""
 
 
-def _lines_sql(ended_only: bool) -> str:
+def _lines_sql(all_pages: bool) -> str:
+    """The stream holds back the last page of a session whose end it has not seen."""
     blank = sql_strip("line")
-    return f"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
-          generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM conversations),
+    lines = "string_split(replace(text, ' ', chr(10)), chr(10))"
+    return f"""WITH l AS (SELECT conv_id, turn, unnest({lines}) AS line,
+          generate_subscripts({lines}, 1) AS line_no FROM conversations),
         o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, line_no) AS rn FROM l),
         e AS (SELECT conv_id, min(rn) AS stop FROM o
               WHERE {sql_strip('lower(line)')} = '{END}' GROUP BY conv_id),
-        k AS (SELECT o.* FROM o {'JOIN' if ended_only else 'LEFT JOIN'} e USING (conv_id)
+        k AS (SELECT o.* FROM o LEFT JOIN e USING (conv_id)
               WHERE stop IS NULL OR rn < stop),
         b AS (SELECT conv_id, min(rn) AS f, max(rn) AS t FROM k WHERE {blank} <> '' GROUP BY conv_id),
         i AS (SELECT k.conv_id, k.rn, k.rn - f AS place, CASE
             WHEN f = t THEN {blank}
             WHEN k.rn = f THEN regexp_replace(line, '^\\s+', '')
             WHEN k.rn = t THEN regexp_replace(line, '\\s+$', '') ELSE line END AS line
-          FROM k JOIN b ON b.conv_id = k.conv_id AND k.rn BETWEEN f AND t)
-        SELECT conv_id, (place // 25)::BIGINT AS page, count(*) AS n_lines,
-          md5(string_agg(line, chr(10) ORDER BY rn)) AS h FROM i GROUP BY 1, 2"""
+          FROM k JOIN b ON b.conv_id = k.conv_id AND k.rn BETWEEN f AND t),
+        p AS (SELECT conv_id, (place // 25)::BIGINT AS page, count(*) AS n_lines,
+          md5(string_agg(line, chr(10) ORDER BY rn)) AS h FROM i GROUP BY 1, 2)
+        SELECT conv_id, page, n_lines, h FROM p
+        WHERE {str(all_pages).lower()} OR conv_id IN (SELECT conv_id FROM e)
+          OR (conv_id, page) NOT IN (SELECT conv_id, max(page) FROM p GROUP BY conv_id)"""
 
 
 QUERIES = {
@@ -162,6 +173,6 @@ QUERIES = {
     ),
     "breaker_replay": (breaker_replay, _BREAKER_SQL),
     "breaker_stream": (breaker_stream, _BREAKER_SQL),
-    "line_assembly": (line_assembly, _lines_sql(False)),
-    "line_stream": (line_stream, _lines_sql(True)),
+    "line_assembly": (line_assembly, _lines_sql(True)),
+    "line_stream": (line_stream, _lines_sql(False)),
 }
