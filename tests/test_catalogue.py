@@ -1,0 +1,227 @@
+from collections import defaultdict
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from textloom.operators import catalogue as C
+from textloom.plans.catalogue import curate
+from textloom.sources.listings import (
+    fallback_catalogue,
+    initialise,
+    kept_snapshots,
+    task_table,
+    with_fallback,
+)
+
+RELAXED = settings(
+    max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+
+
+def ids(df, column="id"):
+    return sorted(r[column] for r in df.select(column).collect())
+
+
+def test_text_filter(spark):
+    rows = spark.createDataFrame(
+        [
+            ("openai", "gpt-4o"), ("openai", "GPT-Image-1"), ("openai", "my-device"),
+            ("openai", "o1-PRO"), ("xai", "o1-pro"), ("google", "gecko-1"), (None, "gecko-1"),
+            ("nobody", "computer-use"), ("google", "Computer-Use"),
+        ],
+        "provider string, id string",
+    )
+    id_, provider = F.col("id"), F.col("provider")
+    marked = rows.select(
+        "*",
+        C.exclusion_reason(id_, provider).alias("reason"),
+        C.is_text_entry(id_, provider).alias("kept"),
+    ).collect()
+    assert [r.reason for r in marked] == [
+        None, "image", "dev", "o1-pro", None, "gecko", None, None, "computer-use",
+    ]
+    assert [r.kept for r in marked] == [r.reason is None for r in marked]
+
+
+def test_rules_table(spark):
+    rows = spark.createDataFrame(
+        [(i, p, f"{p}-{w}") for i, (p, w) in enumerate(
+            [("a", "Red"), ("a", "blue"), ("b", "red"), ("c", "x"), (None, "red")])],
+        "i int, provider string, id string",
+    )
+    rules = spark.createDataFrame(
+        [("a", "RED"), ("b", "blue"), ("a", "zzz")], "provider string, keyword string"
+    )
+    kept = C.exclude_by_rules(rows, rules, "id", "provider")
+    assert ids(kept, "i") == [1, 2, 3, 4]
+    many = rules.unionByName(
+        spark.range(100_001).select(F.lit("c").alias("provider"), F.concat(
+            F.lit("word"), F.col("id").cast("string")).alias("keyword"))
+    )
+    assert ids(C.exclude_by_rules(rows, many, "id", "provider"), "i") == [1, 2, 3, 4]
+
+
+def test_snapshots(spark):
+    given_ids = [
+        "gpt-4o", "gpt-4o-2024-05-13", "gpt-4o-2024-11-20",
+        "only-1106", "only-0125-preview", "iso-2024-01-02", "iso-2024-03-01", "iso-1106",
+        "long-20241022", "twice", "twice", "deep-2024-01-01", "deep-2024-01-01-0613",
+    ]
+    rows = spark.createDataFrame(list(enumerate(given_ids)), "seq int, id string")
+    got = ids(C.latest_snapshots(rows, "id", seq="seq"))
+    assert got == sorted([
+        "gpt-4o", "only-1106", "iso-2024-03-01", "long-20241022", "twice", "twice",
+        "deep-2024-01-01",
+    ])
+
+
+def test_snapshots_tie_and_groups(spark):
+    rows = spark.createDataFrame(
+        [("a", 2, "m-1106-y"), ("a", 1, "m-1106-x"), ("b", 3, "m-1106"), ("b", 4, "m"),
+         (None, 5, "m-1106"), (None, 6, "m")],
+        "provider string, seq int, id string",
+    )
+    got = C.latest_snapshots(rows, "id", ["provider"], "seq").collect()
+    assert sorted((r.provider or "", r.id) for r in got) == [("", "m"), ("a", "m-1106-x"), ("b", "m")]
+
+
+PARTS = ["m", "m-2024", "m-1106", "m-0125-pre", "n-2024-01-02", "n-2024-01-03", "n", "m-1106-2024-01-02"]
+
+
+def brute_force(names):
+    """Every dated name is weighed against all others one by one."""
+    import re
+
+    def split(name):
+        hit = re.search("-([0-9]{4}(?:-[0-9]{2}-[0-9]{2})?)(-[a-z]+)?$", name)
+        return (name[: hit.start()], hit.group(1)) if hit else (None, None)
+
+    best = defaultdict(list)
+    out = [n for n in names if split(n)[0] is None]
+    for place, name in enumerate(names):
+        base, date = split(name)
+        if base is not None and base not in names:
+            best[base].append((date, -place, name))
+    return sorted(out + [max(v)[2] for v in best.values()])
+
+
+@RELAXED
+@given(st.lists(st.sampled_from(PARTS), min_size=1, max_size=12))
+def test_snapshots_against_brute_force(spark, names):
+    rows = spark.createDataFrame(list(enumerate(names)), "seq int, id string")
+    assert ids(C.latest_snapshots(rows, "id", seq="seq")) == brute_force(names)
+
+
+def test_menu(spark):
+    keys = ["openai/m-20b", "openai/m-120b", "openai/m-3", "xai/g", "plain", "anthropic/C", "xai/G"]
+    rows = spark.createDataFrame([(k,) for k in keys], "key string")
+    got = [(r.menu_no, r.label, r.key) for r in C.menu(rows, "key").orderBy("menu_no").collect()]
+    assert got == [
+        (1, "Anthropic", "anthropic/C"), (2, "Openai", "openai/m-3"), (3, "Openai", "openai/m-20b"),
+        (4, "Openai", "openai/m-120b"), (5, "Unknown", "plain"), (6, "xAI", "xai/G"),
+        (7, "xAI", "xai/g"),
+    ]
+
+
+def test_groups(spark):
+    rows = spark.createDataFrame(
+        [("OpenAI/a", 1), ("openai/b", 2), ("plain", 3), ("xai/x", 4)], "key string, place int"
+    )
+    assert ids(C.distinct_groups(rows, F.col("key")), "provider") == ["openai", "xai"]
+    first = C.first_by_prefix(rows, "key", ["OPENAI", "xai", "none"], -F.col("place"))
+    assert sorted(map(tuple, first.collect())) == [("openai", "openai/b"), ("xai", "xai/x")]
+    sizes = {r.label: r.n for r in C.group_sizes(rows, F.lower(F.substring("key", 1, 3))).collect()}
+    assert sizes == {"ope": 2, "pla": 1, "xai": 1, None: 4}
+
+
+def test_last_wins(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y")], "id string, s int, v string")
+    assert C.last_wins(rows, "id", F.col("s"), F.col("v"), "v").collect()[0].v == "z"
+
+
+def test_fallback_by_status(spark):
+    sources = spark.createDataFrame(
+        [("ok", "ok"), ("empty", "ok"), ("down", "error"), ("keyless", "no_key"), ("gone", "broken")],
+        "provider string, status string",
+    )
+    primary = spark.createDataFrame([("ok", "p1"), ("down", "p2"), ("gone", "p3")], "provider string, id string")
+    names = ["ok", "empty", "down", "keyless", "gone"]
+    fallback = spark.createDataFrame(
+        [(n, "f") for n in names] + [("down", "f-image")], "provider string, id string"
+    )
+    got = with_fallback(sources, primary, fallback, id_="id")
+    assert sorted(map(tuple, got.collect())) == [
+        ("down", "f", "fallback"), ("keyless", "f", "fallback"), ("ok", "p1", "primary")
+    ]
+    unfiltered = with_fallback(sources, primary, fallback)
+    assert unfiltered.where("id = 'f-image'").count() == 1
+
+
+def test_reference_lists(spark):
+    assert fallback_catalogue(spark).where("provider = 'anthropic' and display_name is null").count() == 0
+    kept = fallback_catalogue(spark).where(C.is_text_entry(F.col("id"), F.col("provider")))
+    assert kept.groupBy("provider").count().count() == 4
+    assert ids(task_table(spark), "task_id") == ["auto_translate", "refine", "refine_presentation"]
+
+
+def test_kept_snapshots(spark):
+    rows = spark.createDataFrame(
+        [("a", 0, "old"), ("a", 6401, "new"), ("edge", 6400, "x"), ("void", 9999, ""), ("b", 1, "x")],
+        "k string, s long, p string",
+    ).withColumn("at", F.timestamp_seconds("s"))
+    now = F.timestamp_seconds(F.lit(10_000))
+    got = {r.k: (r.payload, r.reuse) for r in kept_snapshots(rows, "k", "at", F.col("p"), now).collect()}
+    assert got == {"a": ("new", True), "edge": ("x", False), "void": ("", False), "b": ("x", False)}
+    forced = kept_snapshots(rows, "k", "at", F.col("p"), now, forced=True)
+    assert forced.where("reuse").count() == 0
+
+
+def test_initialise(spark):
+    rows = spark.createDataFrame(
+        [("openai", "openai/a", None), ("openai", "openai/b", "boom"), ("xai", "xai/c", "boom"),
+         ("google", "google/d", None)],
+        "provider string, model_key string, fault string",
+    )
+    keys = spark.createDataFrame([("openai", "secret"), ("google", "")], "provider string, api_key string")
+    got = {r.model_key: (r.status, r.error) for r in initialise(rows, keys, row_error=F.col("fault")).collect()}
+    assert got == {
+        "openai/a": ("ok", None),
+        "openai/b": ("failed", "Failed to initialize openai/b: boom"),
+        "xai/c": ("failed", "Xai API Key not found."),
+        "google/d": ("failed", "Google API Key not found."),
+    }
+
+
+@pytest.fixture(scope="module")
+def listing(spark):
+    generate = ["generateContent"]
+    rows = [
+        ("google", "models/gemini-2.5-pro", None, generate),
+        ("google", "models/gemini-2.5-pro-0514", "shown", None),
+        ("google", "models/gemini-1.5-pro", None, generate),
+        ("google", "gemini-embed", None, generate),
+        ("google", "models/gemini-count", None, ["countTokens"]),
+        ("google", "models/gemini-empty", None, []),
+        ("google", "models/palm", None, None),
+        ("anthropic", "claude-x", "First", None),
+        ("anthropic", "claude-x", "Second", None),
+        ("anthropic", "claude-y", "", None),
+        ("anthropic", "other", "Other", None),
+        ("openai", "gpt-4o-2024-05-13", "ignored", None),
+        ("openai", "gpt-4o-2024-11-20", None, None),
+        ("openai", "gpt-vision", None, None),
+        ("openai", "gpt-vision-0613", None, None),
+        ("xai", "grok/3", None, None),
+    ]
+    return spark.createDataFrame(
+        [(*r, i) for i, r in enumerate(rows)],
+        "provider string, id string, display_name string, supported_actions array<string>, seq long",
+    )
+
+
+def test_curate(listing):
+    assert ids(curate(listing), "model_key") == [
+        "anthropic/Second", "anthropic/claude-y", "google/gemini-2.5-pro",
+        "openai/gpt-4o-2024-11-20", "xai/grok/3",
+    ]

@@ -1,0 +1,83 @@
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.operators.inference import run_callable
+
+
+def factory(name):
+    """Fails on "bad"; fails twice on "slow" and then answers; some models cannot be built."""
+    if name == "broken":
+        raise OSError("no client")
+    tries = {}
+
+    def run(prompt):
+        if "bad" in prompt:
+            raise ValueError("bad 429")
+        tries[prompt] = tries.get(prompt, 0) + 1
+        if "slow" in prompt and tries[prompt] < 3:
+            raise TimeoutError("again")
+        return f"{name}:{prompt.upper()}"
+
+    return run
+
+
+@pytest.fixture(scope="module")
+def prompts(spark):
+    return spark.createDataFrame(
+        [(1, "a", "m"), (2, "bad", "m"), (3, None, "m"), (4, "slow", "n"), (5, "b", "broken")],
+        "i int, prompt string, model string",
+    )
+
+
+def test_results_and_errors(prompts):
+    got = {r.i: r for r in run_callable(prompts, factory, model="model").collect()}
+    assert (got[1].result, got[1].call_error, got[1].attempts) == ("m:A", None, 1)
+    assert (got[2].result, got[2].call_error) == (None, "bad 429")
+    assert (got[3].result, got[3].call_error, got[3].attempts) == (None, None, 0)
+    assert got[4].call_error == "again"
+    assert got[5].call_error == "Failed to initialize broken: no client"
+    assert all(r.elapsed_ms >= 0 for r in got.values())
+
+
+@pytest.mark.parametrize("attempts,error,used", [(2, "again", 2), (3, None, 3), (5, None, 3)])
+def test_retries(prompts, attempts, error, used):
+    row = run_callable(
+        prompts.where("i = 4"), factory, model="model", attempts=attempts, pause=0.0
+    ).first()
+    assert (row.call_error, row.attempts) == (error, used)
+
+
+def test_columns_pass_through_unchanged(spark):
+    rows = spark.createDataFrame(
+        [(1, "p", None, [1, None], None)],
+        "i int, prompt string, n bigint, a array<int>, d decimal(10,2)",
+    )
+    got = run_callable(rows, factory).first()
+    assert (got.n, got.a, got.d, got.result) == (None, [1, None], None, "None:P")
+
+
+def test_partitions(prompts):
+    got = run_callable(prompts, factory, model="model", partitions=3)
+    assert got.count() == 5
+
+
+def test_guard_opens_and_recovers(spark):
+    def failing(name):
+        calls = []
+
+        def run(prompt):
+            calls.append(prompt)
+            raise ValueError(f"call {len(calls)}")
+
+        return run
+
+    rows = spark.range(6).select("id", F.lit("p").alias("prompt"), F.lit("m").alias("model"))
+    rows = rows.coalesce(1).sortWithinPartitions("id")
+    kept_open = run_callable(rows, failing, model="model", guard=True).orderBy("id").collect()
+    assert [r.call_error for r in kept_open[:3]] == ["call 1", "call 2", "call 3"]
+    assert all(r.call_error.startswith("Circuit breaker is open for 'm'") for r in kept_open[3:])
+    assert [r.attempts for r in kept_open] == [1, 1, 1, 0, 0, 0]
+    recovering = run_callable(
+        rows, failing, model="model", guard=True, recovery_seconds=-1
+    ).collect()
+    assert all(r.attempts == 1 for r in recovering)

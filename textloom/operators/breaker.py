@@ -15,7 +15,14 @@ from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from textloom import fixed
 from textloom.operators.ordered import in_chunks, split_by_size
@@ -108,7 +115,14 @@ _EXIT = pa.struct(
         ("added", pa.bool_()),
     ]
 )
-_EXIT_SQL = "struct<state:string,failures:bigint,last:bigint,added:boolean>"
+_EXIT_TYPE = StructType(
+    [
+        StructField("state", StringType()),
+        StructField("failures", LongType()),
+        StructField("last", LongType()),
+        StructField("added", BooleanType()),
+    ]
+)
 
 
 def _counted(exit_: tuple, base: int) -> tuple:
@@ -253,25 +267,44 @@ def _replay_large(
     chunk_rows: int,
 ) -> DataFrame:
     chunks = in_chunks(df, keys, order, chunk_rows)
-    key_sql = chunks.schema["_key"].dataType.simpleString()
+    group = [chunks.schema["_key"], StructField("_chunk", LongType())]
+
+    def summarise(calls: pa.Table) -> pa.Table:
+        return _summarise(calls, threshold, recovery)
+
+    def replay_chunk(calls: pa.Table) -> pa.Table:
+        return _replay_chunk(calls, columns, threshold, recovery)
+
     summaries = chunks.select("_key", "_chunk", "_at", "_t", "_failed").groupBy("_key", "_chunk")
     summaries = summaries.applyInArrow(
-        partial(_summarise, threshold=threshold, recovery=recovery),
-        f"_key {key_sql}, _chunk bigint, total bigint, closing array<{_EXIT_SQL}>, "
-        f"until array<bigint>, exits array<{_EXIT_SQL}>",
+        summarise,
+        StructType(
+            group
+            + [
+                StructField("total", LongType()),
+                StructField("closing", ArrayType(_EXIT_TYPE)),
+                StructField("until", ArrayType(LongType())),
+                StructField("exits", ArrayType(_EXIT_TYPE)),
+            ]
+        ),
     )
     entries = (
         summaries.repartition("_key")
         .sortWithinPartitions("_key", "_chunk")
         .mapInArrow(
             partial(_follow, threshold=threshold, recovery=recovery),
-            f"_key {key_sql}, _chunk bigint, _state string, _failures bigint, _last bigint",
+            StructType(
+                group
+                + [
+                    StructField("_state", StringType()),
+                    StructField("_failures", LongType()),
+                    StructField("_last", LongType()),
+                ]
+            ),
         )
     )
     entered = chunks.join(entries, ["_key", "_chunk"])
-    return entered.groupBy("_key", "_chunk").applyInArrow(
-        partial(_replay_chunk, columns=columns, threshold=threshold, recovery=recovery), schema
-    )
+    return entered.groupBy("_key", "_chunk").applyInArrow(replay_chunk, schema)
 
 
 def replay(

@@ -62,8 +62,8 @@ def exclude_by_rules(
         match = (F.col(provider) == F.col("_provider")) & hit
         return df.join(F.broadcast(rules), match, "left_anti")
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(id_), F.lit(salts)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    rules = rules.withColumn("_rule_salt", every.cast("bigint"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    rules = rules.withColumn("_rule_salt", F.explode(every))
     match = (F.col(provider) == F.col("_provider")) & (F.col("_salt") == F.col("_rule_salt")) & hit
     return salted.join(rules, match, "left_anti").drop("_salt")
 

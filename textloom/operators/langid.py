@@ -20,11 +20,6 @@ SCALE = 1_000_000
 MAX_LANGUAGES = 500
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters; everything else separates them."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-
-
 def grams_of(word: Column) -> Column:
     """1-grams of the word, 2- and 3-grams of the word between two blanks."""
     inner = F.split(word, "")
@@ -44,8 +39,10 @@ def grams_of(word: Column) -> Column:
     return F.concat(inner, pairs, triples)
 
 
-def _exploded(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
-    return spread(df).select(*keep, F.explode(words_of(text)).alias("word"))
+def words(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
+    """One row per word: lower-cased runs of letters, separated by everything else."""
+    found = F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")
+    return spread(df).select(*keep, found).where(F.col("word") != "")
 
 
 @dataclass
@@ -67,7 +64,7 @@ def fit(
         if len(languages) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = list(languages)
-    labelled = _exploded(df.where(F.col(lang).isin(languages)), F.col(text), F.col(lang))
+    labelled = words(df.where(F.col(lang).isin(languages)), F.col(text), F.col(lang))
     vocabulary = labelled.groupBy("word").agg(
         *[
             F.sum((F.col(lang) == code).cast("bigint")).alias(f"n_{i}")
@@ -103,7 +100,7 @@ def score(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text")
     """Add nothing but (id, detected): the most likely language of each text that has letters."""
     n = len(profile.languages)
     per_text = checkpointed(
-        _exploded(df, F.col(text), F.col(id_))
+        words(df, F.col(text), F.col(id_))
         .groupBy(id_, "word")
         .agg(F.count(F.lit(1)).alias("times"))
     )

@@ -9,6 +9,19 @@ from textloom.functions import text as T
 from textloom.operators.lookup import lookup_join
 
 
+def _common_words(clean: Column, words: Sequence[str]) -> Column:
+    """How many of the words a text holds, as far as that matters.
+
+    When a single word already earns the whole bonus, the search ends at the
+    first one instead of splitting the text.
+    """
+    if 1 / fixed.WORDS_DIVISOR >= fixed.MAX_PATTERN_BONUS:
+        any_word = "|".join(f"\\Q{w}\\E" for w in words)
+        between = rf"(?:^|[{T.SPACE_CLASS}])(?:{any_word})(?:[{T.SPACE_CLASS}]|\z)"
+        return F.rlike(F.lower(clean), F.lit(between)).cast("int")
+    return F.size(F.array_intersect(T.tokens(clean), F.array(*[F.lit(w) for w in words])))
+
+
 def confidence(
     text: Column, lang: Column, words: Sequence[str] = fixed.COMMON_ENGLISH_WORDS
 ) -> Column:
@@ -19,7 +32,7 @@ def confidence(
         size / F.lit(float(fixed.LENGTH_DIVISOR)), F.lit(fixed.MAX_LENGTH_BONUS)
     )
     top = F.lit(fixed.MAX_PATTERN_BONUS)
-    common = F.size(F.array_intersect(T.tokens(clean), F.array(*[F.lit(w) for w in words])))
+    common = _common_words(clean, words)
     pattern_bonus = (
         F.when(lang.isin(fixed.CHINESE_LANGUAGES), F.least(T.char_share(clean), top))
         .when(lang == "en", F.least(common.cast("double") / F.lit(float(fixed.WORDS_DIVISOR)), top))
