@@ -4,21 +4,29 @@ from pyspark.sql import functions as F
 from textloom.operators.inference import run_callable
 
 
-def factory(name):
-    """Fails on "bad"; fails twice on "slow" and then answers; some models cannot be built."""
-    if name == "broken":
-        raise OSError("no client")
-    tries = {}
-
-    def run(prompt):
-        if "bad" in prompt:
-            raise ValueError("bad 429")
-        tries[prompt] = tries.get(prompt, 0) + 1
-        if "slow" in prompt and tries[prompt] < 3:
-            raise TimeoutError("again")
-        return f"{name}:{prompt.upper()}"
-
-    return run
+def make_factory():
+    """Defined inside a function, so that it reaches the workers without this file."""
+
+    def factory(name):
+        """Fails on "bad"; fails twice on "slow" and then answers; some models cannot be built."""
+        if name == "broken":
+            raise OSError("no client")
+        tries = {}
+
+        def run(prompt):
+            if "bad" in prompt:
+                raise ValueError("bad 429")
+            tries[prompt] = tries.get(prompt, 0) + 1
+            if "slow" in prompt and tries[prompt] < 3:
+                raise TimeoutError("again")
+            return f"{name}:{prompt.upper()}"
+
+        return run
+
+    return factory
+
+
+factory = make_factory()
 
 
 @pytest.fixture(scope="module")

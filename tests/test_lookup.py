@@ -36,12 +36,6 @@ def test_all_ways_give_the_same_rows(facts, table, how):
         assert both[0] == both[1]
 
 
-def test_known_hot_keys(facts, table, spark):
-    hot = spark.createDataFrame([(7,)], "k int")
-    got = lookup_join(facts, table, ["k"], "inner", max_rows=3, hot=hot)
-    assert got.count() == facts.join(table, "k").count()
-
-
 def test_hot_keys(facts):
     assert [r.k for r in hot_keys(facts, ["k"], 250).collect()] == [7]
     assert hot_keys(facts, ["k"], 900) is None

@@ -3,7 +3,14 @@ from pyspark.sql import functions as F
 
 from textloom import fixed
 from textloom.operators import langid
-from textloom.operators.routing import confidence, detected, direction, script_language
+from textloom.operators.routing import (
+    chosen_confidence,
+    confidence,
+    confidences,
+    detected,
+    direction,
+    script_language,
+)
 from textloom.plans.tasks import execute, prepare
 from textloom.plans.templates import TEMPLATES, template_table
 
@@ -32,14 +39,20 @@ TEXTS = [
 
 def test_confidence(spark):
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(TEXTS)], "i int, t string, l string")
-    got = rows.orderBy("i").select(confidence(F.col("t"), F.col("l"))).collect()
+    got = rows.orderBy("i").select(
+        confidence(F.col("t"), F.col("l")), chosen_confidence(confidences(F.col("t")), F.col("l"))
+    )
+    got = got.collect()
     assert [r[0] for r in got] == [by_hand(*t) for t in TEXTS]
+    assert [r[1] for r in got] == [r[0] for r in got]
 
 
 def test_confidence_counts_words_when_one_is_not_enough(spark, monkeypatch):
-    monkeypatch.setattr(fixed, "MAX_PATTERN_BONUS", 0.25)
-    row = spark.createDataFrame([("the the and cat",)], "t string")
-    assert row.select(confidence(F.col("t"), F.lit("en"))).first()[0] == 0.7 + 0.15 + 0.2
+    monkeypatch.setattr(fixed, "MAX_PATTERN_BONUS", 0.15)
+    row = spark.createDataFrame([("the the and",)], "t string")
+    assert row.select(confidence(F.col("t"), F.lit("en"))).first()[0] == 0.7 + 0.11 + 0.15
+    monkeypatch.setattr(fixed, "WORDS_DIVISOR", 20)
+    assert row.select(confidence(F.col("t"), F.lit("en"))).first()[0] == 0.7 + 0.11 + 0.1
 
 
 def test_directions(spark):
@@ -67,12 +80,19 @@ def test_detected_and_script(spark):
     ]
 
 
-def test_grams(spark):
-    word = spark.createDataFrame([("abc",), ("a",), ("汉字",)], "w string")
-    got = [r[0] for r in word.select(langid.grams_of(F.col("w"))).collect()]
-    assert got[0] == ["a", "b", "c", " a", "ab", "bc", "c ", " ab", "abc", "bc "]
-    assert got[1] == ["a", " a", "a ", " a "]
-    assert got[2] == ["汉", "字", " 汉", "汉字", "字 ", " 汉字", "汉字 "]
+def by_letter(word):
+    padded = f" {word} "
+    return sorted(
+        g for i in range(1, len(word) + 1) for g in (padded[i], padded[i : i + 2], padded[i - 1 : i + 2])
+    )
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 255, 256, 257, 258, 511, 512, 513, 1000])
+def test_grams(spark, length):
+    word = "".join(chr(ord("a") + (i * i) % 26) if i % 5 else "汉" for i in range(length))
+    texts = spark.createDataFrame([(f"{word}, 12 x",)], "t string")
+    got = sorted(r.gram for r in langid.grams(texts, F.col("t")).collect())
+    assert got == sorted(by_letter(word) + by_letter("x"))
 
 
 def test_langid(spark):

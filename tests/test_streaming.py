@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,17 +77,22 @@ def test_lines(spark, folder, tmp_path, page_lines):
 
 def test_lines_end_when_idle(spark, tmp_path):
     """Without a terminator a session ends once no line has come for a while."""
-    path, run = str(tmp_path / "in"), str(tmp_path / "run")
-    schema = "s string, n int, line string"
-
-    def add(*rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-
-    def go():
-        stream = files_stream(spark, path, spark.read.parquet(path).schema)
-        return drain(assemble_stream(stream, ["s"], ["n"], idle_ms=1), "idle", run)
-
-    add(("a", 1, " x "), ("a", 2, "y "), ("a", 3, ""))
-    assert go().count() == 0
-    add(("b", 1, "z"))
-    assert [tuple(r) for r in go().collect()] == [("a", 0, 2, "x \ny")]
+    path = str(tmp_path / "in")
+    rows = [("a", 1, " x "), ("a", 2, "y "), ("a", 3, "")]
+    spark.createDataFrame(rows, "s string, n int, line string").write.parquet(path)
+    stream = files_stream(spark, path, spark.read.parquet(path).schema)
+    query = (
+        assemble_stream(stream, ["s"], ["n"], idle_ms=100)
+        .writeStream.format("memory")
+        .queryName("idle_lines")
+        .option("checkpointLocation", str(tmp_path / "run"))
+        .trigger(processingTime="200 milliseconds")
+        .start()
+    )
+    try:
+        give_up = time.time() + 60
+        while spark.table("idle_lines").isEmpty() and time.time() < give_up:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert [tuple(r) for r in spark.table("idle_lines").collect()] == [("a", 0, 2, "x \ny")]

@@ -9,6 +9,8 @@ from textloom import fixed
 
 SPACES = "".join(chr(c) for a, b in fixed.WHITESPACE_RANGES for c in range(a, b + 1))
 SPACE_CLASS = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in fixed.WHITESPACE_RANGES)
+# The same class for Java's regexes, which here tell a printable ASCII character by one look
+SPACE = f"[[^!-~]&&[{SPACE_CLASS}]]"
 
 
 def strip(text: Column) -> Column:
@@ -22,8 +24,8 @@ def is_blank(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct lower-cased words between spaces; empty for a blank text."""
-    words = F.split(strip(F.lower(text)), f"[{SPACE_CLASS}]+")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    words = F.split(strip(F.lower(text)), f"{SPACE}+")
+    return F.array_remove(F.array_distinct(words), "")
 
 
 def fill(form: str, **parts: Column) -> Column:

@@ -1,10 +1,11 @@
 """Language identification by naive Bayes over character 1- to 3-grams.
 
-Texts are counted as words first.  A word's grams are looked at once per
-distinct word and not once per occurrence, so the expensive part grows with
-the vocabulary, while the texts themselves are only split and counted.
-Log-probabilities are held as whole millionths, so sums come out the same in
-whatever order Spark adds them.
+Grams are counted where the text lies: a task adds its grams up before
+anything is shuffled, so what moves grows with the number of distinct grams
+(learning) or of texts (scoring), never with the length of the texts.  The
+learned table is broadcast when its size allows it.  Log-probabilities are
+held as whole millionths, so sums come out the same in whatever order Spark
+adds them.
 """
 
 from collections.abc import Sequence
@@ -13,36 +14,45 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom import fixed
-from textloom.operators.lookup import HOT_ROWS, lookup_join
-from textloom.session import checkpointed, spread
+from textloom.operators.lookup import lookup_join
+from textloom.session import checkpointed
 
 SCALE = 1_000_000
 MAX_LANGUAGES = 500
-
-
-def grams_of(word: Column) -> Column:
-    """1-grams of the word, 2- and 3-grams of the word between two blanks."""
-    inner = F.split(word, "")
-    blank = F.array(F.lit(" "))
-    before, after = F.concat(blank, inner), F.concat(inner, blank)
-    # zip_with works its arguments out once per word; a lambda over positions
-    # would split the word again for every gram.
-    pairs = F.zip_with(before, after, lambda a, b: F.concat(a, b))
-    last_two = F.zip_with(
-        inner, F.concat(F.slice(inner, 2, F.length(word)), blank), lambda a, b: F.concat(a, b)
-    )
-    triples = F.zip_with(
-        F.concat(blank, F.slice(inner, 1, F.length(word) - 1)),
-        last_two,
-        lambda a, b: F.concat(a, b),
-    )
-    return F.concat(inner, pairs, triples)
+PIECE = 256
 
 
 def words(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
     """One row per word: lower-cased runs of letters, separated by everything else."""
-    found = F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")
-    return spread(df).select(*keep, found).where(F.col("word") != "")
+    found = F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("_word")
+    return df.select(*keep, found).where(F.col("_word") != "")
+
+
+def grams(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
+    """Three rows per letter: itself, with the one after it, and with both its neighbours.
+
+    A blank stands before and after each word.  Finding a place in a string
+    takes longer the further in it lies, so words without end, such as
+    letters run together by accident, are looked at in overlapping pieces.
+    """
+    found = words(df, text, *keep)
+    names = [c for c in found.columns if c != "_word"]
+    padded = F.concat(F.lit(" "), F.col("_word"), F.lit(" "))
+    cut = F.lit(f"(?s)(?=(.{{1,{PIECE + 2}}})).{{1,{PIECE}}}")
+    pieces = F.when(F.length("_word") <= PIECE, F.array(padded)).otherwise(
+        F.regexp_extract_all(padded, cut, F.lit(1))
+    )
+    letters = found.select(*names, F.explode(pieces).alias("_piece")).where(F.length("_piece") > 2)
+    places = F.explode(F.sequence(F.lit(1), F.length("_piece") - 2)).alias("_i")
+    i = F.col("_i")
+    at_letter = F.array(
+        F.substring("_piece", i + 1, F.lit(1)),
+        F.substring("_piece", i + 1, F.lit(2)),
+        F.substring("_piece", i, F.lit(3)),
+    )
+    return letters.select(*names, "_piece", places).select(
+        *names, F.explode(at_letter).alias("gram")
+    )
 
 
 @dataclass
@@ -57,70 +67,56 @@ class LanguageProfile:
 def fit(
     df: DataFrame, text: str = "text", lang: str = "lang", languages: Sequence[str] | None = None
 ) -> LanguageProfile:
-    """Count grams per language over all of ``df`` and turn them into log-probabilities."""
+    """Count grams per language over all labelled texts of ``df`` and take logarithms."""
     if languages is None:
         found = df.where(F.col(lang).isNotNull()).select(lang).distinct()
         languages = sorted(r[0] for r in found.limit(MAX_LANGUAGES + 1).collect())
         if len(languages) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = list(languages)
-    labelled = words(df.where(F.col(lang).isin(languages)), F.col(text), F.col(lang))
-    vocabulary = labelled.groupBy("word").agg(
-        *[
-            F.sum((F.col(lang) == code).cast("bigint")).alias(f"n_{i}")
-            for i, code in enumerate(languages)
-        ]
-    )
-    counts = [f"n_{i}" for i in range(len(languages))]
-    grams = (
-        vocabulary.select(F.explode(grams_of(F.col("word"))).alias("gram"), *counts)
+    if not languages:
+        return LanguageProfile([], df.sparkSession.createDataFrame([], "gram string"), [])
+    n = [f"n_{i}" for i in range(len(languages))]
+    labelled = df.where(F.col(lang).isin(languages))
+    counted = checkpointed(
+        grams(labelled, F.col(text), F.col(lang).alias("_lang"))
         .groupBy("gram")
-        .agg(*[F.sum(c).alias(c) for c in counts])
+        .agg(
+            *[
+                F.count(F.when(F.col("_lang") == code, 1)).alias(name)
+                for code, name in zip(languages, n)
+            ]
+        )
     )
-    grams = checkpointed(grams)
-    sums = grams.agg(F.count(F.lit(1)).alias("size"), *[F.sum(c).alias(c) for c in counts]).first()
-    totals = [float((sums[c] or 0) + sums["size"]) for c in counts]
+    sums = counted.agg(F.count(F.lit(1)).alias("size"), *[F.sum(c).alias(c) for c in n]).first()
+    totals = [float((sums[c] or 0) + sums["size"]) for c in n]
 
     def log_probability(count: Column, total: float) -> Column:
         share = (count + 1).cast("double") / F.lit(total)
         return F.round(F.log(share) * F.lit(float(SCALE))).cast("bigint")
 
-    table = grams.select(
+    table = counted.select(
         "gram",
-        *[log_probability(F.col(c), totals[i]).alias(f"lp_{i}") for i, c in enumerate(counts)],
+        *[log_probability(F.col(c), totals[i]).alias(f"lp_{i}") for i, c in enumerate(n)],
     )
-    unseen = []
+    unseen = [0] * len(n)
     if sums["size"]:
         zero = [log_probability(F.lit(0), t).alias(f"u_{i}") for i, t in enumerate(totals)]
-        unseen = list(grams.limit(1).select(*zero).first())
+        unseen = list(counted.limit(1).select(*zero).first())
     return LanguageProfile(languages, table, unseen)
 
 
 def score(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text") -> DataFrame:
-    """Add nothing but (id, detected): the most likely language of each text that has letters."""
-    n = len(profile.languages)
-    per_text = checkpointed(
-        words(df, F.col(text), F.col(id_))
-        .groupBy(id_, "word")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    vocabulary = per_text.groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"))
-    grams = vocabulary.select("word", "n_texts", F.explode(grams_of(F.col("word"))).alias("gram"))
-    known = lookup_join(grams, profile.table, ["gram"])
-    word_scores = checkpointed(
-        known.groupBy("word", "n_texts").agg(
-            *[
-                F.sum(F.coalesce(F.col(f"lp_{i}"), F.lit(profile.unseen[i]))).alias(f"s_{i}")
-                for i in range(n)
-            ]
-        )
-    )
-    common = word_scores.where(F.col("n_texts") > HOT_ROWS).select("word")
-    scored = lookup_join(per_text, word_scores.drop("n_texts"), ["word"], "inner", hot=common)
-    sums = scored.groupBy(id_).agg(
-        *[F.sum(F.col("times") * F.col(f"s_{i}")).alias(f"s_{i}") for i in range(n)]
+    """(id, detected, log_score) of each text that has letters.  Of equals the first language wins."""
+    n = range(len(profile.languages))
+    known = lookup_join(grams(df, F.col(text), F.col(id_)), profile.table, ["gram"])
+    sums = known.groupBy(id_).agg(
+        *[
+            F.sum(F.coalesce(F.col(f"lp_{i}"), F.lit(profile.unseen[i]))).alias(f"s_{i}")
+            for i in n
+        ]
     )
-    best = F.greatest(*[f"s_{i}" for i in range(n)]) if n > 1 else F.col("s_0")
+    best = F.array_max(F.array(*[f"s_{i}" for i in n]))
     winner = F.coalesce(
         *[F.when(F.col(f"s_{i}") == best, code) for i, code in enumerate(profile.languages)]
     )
@@ -128,12 +124,15 @@ def score(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text")
 
 
 def detect(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text") -> DataFrame:
-    """``df`` with ``detected``; unknown for texts without any letter."""
+    """``df`` without its text, with ``detected``; unknown for texts without any letter.
+
+    The text itself is not shuffled; join by id where it is wanted.
+    """
+    rest = df.drop(text)
+    unknown = F.lit(fixed.UNKNOWN_LANGUAGE)
     if not profile.languages:
-        nothing = F.lit(None).cast("bigint").alias("log_score")
-        return df.select("*", F.lit(fixed.UNKNOWN_LANGUAGE).alias("detected"), nothing)
-    found = score(df, profile, id_, text)
-    joined = df.join(found, id_, "left")
-    return joined.withColumn(
-        "detected", F.coalesce(F.col("detected"), F.lit(fixed.UNKNOWN_LANGUAGE))
-    )
+        return rest.select(
+            "*", unknown.alias("detected"), F.lit(None).cast("bigint").alias("log_score")
+        )
+    joined = rest.join(score(df, profile, id_, text), id_, "left")
+    return joined.withColumn("detected", F.coalesce(F.col("detected"), unknown))

@@ -15,9 +15,11 @@ def _common_words(clean: Column, words: Sequence[str]) -> Column:
     When a single word already earns the whole bonus, the search ends at the
     first one instead of splitting the text.
     """
+    if not words:
+        return F.lit(0)
     if 1 / fixed.WORDS_DIVISOR >= fixed.MAX_PATTERN_BONUS:
         any_word = "|".join(f"\\Q{w}\\E" for w in words)
-        between = rf"(?:^|[{T.SPACE_CLASS}])(?:{any_word})(?:[{T.SPACE_CLASS}]|\z)"
+        between = rf"(?:^|{T.SPACE})(?:{any_word})(?:{T.SPACE}|\z)"
         return F.rlike(F.lower(clean), F.lit(between)).cast("int")
     return F.size(F.array_intersect(T.tokens(clean), F.array(*[F.lit(w) for w in words])))
 
@@ -43,6 +45,28 @@ def confidence(
     return F.when(known, score).otherwise(F.lit(0.0))
 
 
+def confidences(text: Column) -> Column:
+    """The confidence for every kind of language, to choose from once the language is known.
+
+    Small, so that it can travel through a join in place of the text.
+    """
+    return F.struct(
+        confidence(text, F.lit(fixed.CHINESE_LANGUAGES[0])).alias("chinese"),
+        confidence(text, F.lit("en")).alias("english"),
+        confidence(text, F.lit("other")).alias("other"),
+    )
+
+
+def chosen_confidence(all_: Column, lang: Column) -> Column:
+    unknown = lang.isNull() | (lang == fixed.UNKNOWN_LANGUAGE)
+    return (
+        F.when(unknown, F.lit(0.0))
+        .when(lang.isin(fixed.CHINESE_LANGUAGES), all_["chinese"])
+        .when(lang == "en", all_["english"])
+        .otherwise(all_["other"])
+    )
+
+
 def detected(text: Column, lang: Column) -> Column:
     """The language to go by: unknown for a blank text or one without a language."""
     return F.when(T.is_blank(text) | lang.isNull(), fixed.UNKNOWN_LANGUAGE).otherwise(lang)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from textloom import fixed
 from textloom.functions import text as T
 from textloom.operators.catalogue import available, is_text_entry, latest_snapshots
+from textloom.session import checkpointed
 
 
 def curate(
@@ -44,6 +45,8 @@ def curate(
     names = names.groupBy("provider", "id").agg(
         F.max_by("name", "seq").alias("name"), F.min("seq").alias("seq")
     )
+    # Used three times below; without this the listing would be read three times.
+    names = checkpointed(names)
     chosen = latest_snapshots(names, "id", ["provider"], "seq")
     return chosen.select(
         "provider", "id", T.composite_key(F.col("provider"), F.col("name")).alias("model_key")

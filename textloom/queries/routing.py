@@ -4,10 +4,18 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import langid
-from textloom.operators.routing import add_template, confidence, detected, direction
+from textloom.operators.routing import (
+    add_template,
+    chosen_confidence,
+    confidence,
+    confidences,
+    detected,
+    direction,
+)
 from textloom.plans.tasks import prepare
 from textloom.plans.templates import TEMPLATES, template_table
 from textloom.queries.common import sql_list, sql_str, sql_strip, sql_tokens, table
+from textloom.session import spread
 from textloom.sources.texts import non_blank
 
 
@@ -86,14 +94,14 @@ def prompt_lookup(spark, folder):
 
 def language_id(spark, folder):
     """Learn the languages from all labelled documents, then identify each document."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     profile = langid.fit(docs)
-    found = langid.detect(docs, profile, "doc_id")
-    return found.select(
+    docs = docs.withColumn("all", confidences(F.col("text")))
+    return langid.detect(docs, profile, "doc_id").select(
         "doc_id",
         "detected",
         "log_score",
-        confidence(F.col("text"), F.col("detected")).alias("confidence"),
+        chosen_confidence(F.col("all"), F.col("detected")).alias("confidence"),
     )
 
 
@@ -113,7 +121,7 @@ def _sql_confidence(lang: str) -> str:
 _LANGS = ["de", "en", "es", "fr"]
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> '')"
 _GRAMS = """list_concat(string_split(word, ''),
-    list_transform(range(1, length(word) + 2), lambda i: substr(' ' || word || ' ', i::INT, 2)),
+    list_transform(range(1, length(word) + 1), lambda i: substr(word || ' ', i::INT, 2)),
     list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i::INT, 3)))"""
 
 QUERIES = {

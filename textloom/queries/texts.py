@@ -48,10 +48,14 @@ def uni_strip(spark, folder):
 
 def distinct_tokens(spark, folder):
     words = F.array_sort(T.tokens(F.col("text")))
-    return table(spark, folder, "documents").select(
-        "doc_id",
-        F.size(words).cast("bigint").alias("n"),
-        F.md5(F.array_join(words, " ")).alias("h"),
+    return (
+        table(spark, folder, "documents")
+        .select("doc_id", words.alias("words"))
+        .select(
+            "doc_id",
+            F.size("words").cast("bigint").alias("n"),
+            F.md5(F.array_join("words", " ")).alias("h"),
+        )
     )
 
 
