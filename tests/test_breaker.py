@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from textloom.operators import breaker as B
 
 RELAXED = settings(
-    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 CALLS = st.lists(st.tuples(st.integers(0, 60), st.booleans()), min_size=1, max_size=50)
 

@@ -44,6 +44,9 @@ def test_previous_results(log, chunk_rows):
     assert [r.can_use_previous for r in rows] == [
         False, True, False, True, False, True, True, False, True
     ]
+    assert [r.offer_previous for r in rows] == [
+        False, True, False, True, False, True, True, False, False
+    ]
     assert [r.after_error for r in rows] == [False] * 4 + [True] + [False] * 4
     assert [r.can_continue for r in rows][3:6] == [False, True, False]
 

@@ -122,7 +122,8 @@ def last_wins(df: DataFrame, key: str, seq: Column, value: Column, name: str) ->
 
 def group_sizes(df: DataFrame, group: Column, name: str = "label") -> DataFrame:
     """Rows per group, and one row with a null group for all of them."""
-    return df.select(group.alias(name)).rollup(name).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.select(group.alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.rollup(name).agg(F.sum("n").alias("n"))
 
 
 def distinct_groups(df: DataFrame, key: Column, name: str = "provider") -> DataFrame:

@@ -8,6 +8,7 @@ from textloom import fixed
 from textloom.functions import text as T
 from textloom.operators.lookup import lookup_join
 from textloom.operators.ordered import CHUNK_ROWS, pages
+from textloom.session import checkpointed
 
 
 def is_terminator(line: Column, terminator: str = fixed.TERMINATOR) -> Column:
@@ -28,11 +29,12 @@ def assemble_lines(
     A text of more than ``page_lines`` lines comes in several pages that are
     the whole text when joined with a newline.  Sessions without any text are
     left out.  First and last lines are found by partial aggregates, so a
-    session of any size is never held by one task.
+    session of any size is never held by one task; they are written to the
+    shared folder, as each is looked at twice.
     """
     session = list(session)
     rows = df.withColumn("_place", F.struct(*order))
-    ends = (
+    ends = checkpointed(
         rows.where(is_terminator(F.col(line), terminator))
         .groupBy(*session)
         .agg(F.min("_place").alias("_end"))
@@ -40,7 +42,7 @@ def assemble_lines(
     kept = lookup_join(rows, ends, session).where(
         F.col("_end").isNull() | (F.col("_place") < F.col("_end"))
     )
-    edges = (
+    edges = checkpointed(
         kept.where(~T.is_blank(F.col(line)))
         .groupBy(*session)
         .agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))

@@ -20,7 +20,8 @@ def previous_results(
     """Add the result each turn may reuse.
 
     previous_result is null after an error.  can_use_previous also asks for
-    the same task as before.  A turn that is not ``processed``, such as one
+    the same task as before, and offer_previous for a result that is not
+    empty.  A turn that is not ``processed``, such as one
     with a blank text, leaves what is stored as it is.
     """
     state = F.struct(
@@ -35,6 +36,7 @@ def previous_results(
     return (
         turns.withColumn("previous_result", before["result"])
         .withColumn("can_use_previous", has_result & same_task)
+        .withColumn("offer_previous", F.col("can_use_previous") & (before["result"] != ""))
         .withColumn("after_error", F.coalesce(before["is_error"], F.lit(False)))
         .withColumn("can_continue", task.isNotNull() & result.isNotNull() & ~is_error)
         .drop("_before")

@@ -60,7 +60,8 @@ def execute(
     """Run the prompts.  Adds result, is_error, error and the console's message.
 
     Failures are rows, never the end of the job: a failed call gets the
-    friendly message of its error.
+    friendly message of its error.  All columns of ``prepared`` pass through
+    the Python workers, so drop the text first if the prompt is enough.
     """
     ran = run_callable(prepared, factory, "prompt", model, **options)
     called = F.when(

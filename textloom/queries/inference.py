@@ -57,7 +57,7 @@ def retry_map(spark, folder):
 
 def task_execution(spark, folder):
     prepared = prepare(_requests(spark, folder), template_table(spark), _models(spark, folder))
-    done = execute(prepared, echo_factory)
+    done = execute(prepared.drop("text"), echo_factory)
     return done.select(
         "doc_id", "is_error", F.md5("result").alias("h"), F.md5("message").alias("message_h")
     )
