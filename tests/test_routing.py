@@ -125,7 +125,8 @@ REQUESTS = [
     (4, "m/a", "auto_translate", "x", "fr", None, "refine"),
     (5, "m/a", "sing", "x", "en", "Prompt for task 'sing' not found", "sing"),
     (6, "m/z", "sing", "x", "en", "Model 'm/z' not found", "sing"),
-    (7, None, "refine", "x", "en", None, "refine"),
+    (7, None, "refine", "x", "en", "Model 'None' not found", "refine"),
+    (8, "m/a", None, "x", "en", "Prompt for task 'None' not found", None),
 ]
 
 
@@ -142,7 +143,7 @@ def models(spark):
 
 
 def test_prepare(spark, requests, models):
-    got = prepare(requests.where("i < 7"), template_table(spark), models).orderBy("i").collect()
+    got = prepare(requests, template_table(spark), models).orderBy("i").collect()
     forms = dict(TEMPLATES)
     for row, (_, _, _, text, _, error, task) in zip(got, REQUESTS):
         assert (row.error, row.prompt_task) == (error, task)

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textloom.session import checkpointed
+
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
@@ -34,11 +36,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None
     """Keys that hold more than ``limit`` rows, or None when there are none.
 
     One count per key, added up before the shuffle.  There can be no more hot
-    keys than rows / ``limit``.
+    keys than rows / ``limit``; they are written down, as callers use them twice.
     """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     hot = hot.select(*keys)
-    return None if hot.isEmpty() else hot
+    return None if hot.isEmpty() else checkpointed(hot)
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -59,10 +59,14 @@ def check_requests(
     )
     keys = [t[0] for t in tasks]
     seen = lookup_join(df, table, [model])
+    empty = F.lit("")
     error = (
-        F.when(F.col(model) == "", fixed.MSG_MODEL_REQUIRED)
-        .when(~F.col(task_key).isin(keys), fixed.MSG_TASK_REQUIRED.format(keys=keys))
-        .when(F.col(text) == "", fixed.MSG_TEXT_REQUIRED)
+        F.when(F.coalesce(F.col(model), empty) == "", fixed.MSG_MODEL_REQUIRED)
+        .when(
+            ~F.coalesce(F.col(task_key), empty).isin(keys),
+            fixed.MSG_TASK_REQUIRED.format(keys=keys),
+        )
+        .when(F.coalesce(F.col(text), empty) == "", fixed.MSG_TEXT_REQUIRED)
         .when(F.col("_known").isNull(), T.fill(fixed.MSG_UNKNOWN_MODEL, model=F.col(model)))
     )
     checked = seen.withColumn("error", error).drop("_known")
@@ -93,9 +97,8 @@ def severity(error_type: Column) -> Column:
 
 
 def log_line(context: Column, message: Column) -> Column:
-    return F.when(F.coalesce(context, F.lit("")) != "", F.concat(context, F.lit(": "), message)).otherwise(
-        message
-    )
+    named = F.coalesce(context, F.lit("")) != ""
+    return F.when(named, F.concat(context, F.lit(": "), message)).otherwise(message)
 
 
 def console_message(task: Column, message: Column, expected: Column | None = None) -> Column:

@@ -25,12 +25,14 @@ def prepare(
     the template: ``prompt_task`` says whose template was taken.
     """
     rows = df
+    none = F.lit("None")  # how a missing name is shown
     missing_model = F.lit(None).cast("string")
     if models is not None:
         table = models.select(F.col("model_key").alias(model)).distinct()
         rows = lookup_join(rows, table.withColumn("_known", F.lit(True)), [model])
         missing_model = F.when(
-            F.col("_known").isNull(), T.fill(fixed.MSG_MODEL_NOT_FOUND, model=F.col(model))
+            F.col("_known").isNull(),
+            T.fill(fixed.MSG_MODEL_NOT_FOUND, model=F.coalesce(F.col(model), none)),
         )
     asked = rows.withColumn("_asked", F.col(task))
     routed = direction(asked.drop(task), F.col(lang)).withColumnRenamed("task_id", "_routed")
@@ -41,7 +43,7 @@ def prepare(
     found = add_template(routed, templates, "prompt_task")
     no_prompt = F.when(
         F.coalesce("template", F.lit("")) == "",
-        T.fill(fixed.MSG_PROMPT_NOT_FOUND, task=F.col(task)),
+        T.fill(fixed.MSG_PROMPT_NOT_FOUND, task=F.coalesce(F.col(task), none)),
     )
     found = found.withColumn("error", F.coalesce(missing_model, no_prompt))
     prompt = F.when(F.col("error").isNull(), T.render(F.col("template"), F.col(text)))

@@ -66,6 +66,22 @@ def breaker_replay(spark, folder):
     ).drop("ts", "failed")
 
 
+def breaker_by_type(spark, folder):
+    """Few keys with very many calls each, so that every key is replayed in chunks."""
+    calls = table(spark, folder, "events").select(
+        "event_id", "event_type", "ts", (F.col("value") > 20).alias("failed")
+    )
+    return replay(
+        calls,
+        ["event_type"],
+        ["ts", "event_id"],
+        "ts",
+        "failed",
+        recovery_seconds=3600.0,
+        chunk_rows=500,
+    ).drop("ts", "failed")
+
+
 def breaker_stream(spark, folder):
     schema = table(spark, folder, "events").schema
     events = files_stream(spark, folder, schema, pathGlobFilter="events.parquet")
@@ -101,15 +117,18 @@ _TURNS_SQL = """SELECT conv_id, turn, CASE WHEN length(text) < 300 THEN 'short'
     CASE WHEN length(text) >= 60 THEN md5(text) END AS result, length(text) < 60 AS is_error,
     role <> 'system' AS processed FROM conversations"""
 
-_BREAKER_SQL = """WITH RECURSIVE
-  c AS (SELECT event_id, user_id, epoch_us(ts) AS t, event_type = 'error' AS failed,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+
+
+def _breaker_sql(key: str, failed: str, recovery_us: int) -> str:
+    return f"""WITH RECURSIVE
+  c AS (SELECT event_id, {key}, epoch_us(ts) AS t, {failed} AS failed,
+    row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events),
   s AS (
-    SELECT user_id, 0::BIGINT AS rn, 0::BIGINT AS event_id, 'closed' AS admitted_as,
+    SELECT {key}, 0::BIGINT AS rn, 0::BIGINT AS event_id, 'closed' AS admitted_as,
       '' AS outcome, 'closed' AS state_after, 0::BIGINT AS failures, 0::BIGINT AS last
-    FROM (SELECT DISTINCT user_id FROM events)
+    FROM (SELECT DISTINCT {key} FROM events)
     UNION ALL
-    SELECT user_id, rn, event_id, admitted_as, outcome,
+    SELECT {key}, rn, event_id, admitted_as, outcome,
       CASE WHEN outcome = 'rejected' THEN 'open'
         WHEN outcome = 'success' THEN 'closed'
         WHEN before + 1 >= 3 THEN 'open' ELSE admitted_as END,
@@ -118,11 +137,14 @@ _BREAKER_SQL = """WITH RECURSIVE
       CASE WHEN outcome = 'failure' THEN t ELSE last END
     FROM (SELECT *, CASE WHEN admitted_as = 'open' THEN 'rejected'
             WHEN failed THEN 'failure' ELSE 'success' END AS outcome
-          FROM (SELECT c.user_id, c.rn, c.event_id, c.t, c.failed, s.failures AS before, s.last,
-                  CASE WHEN s.state_after = 'open' AND c.t - s.last > 86400000000 THEN 'half-open'
+          FROM (SELECT c.{key}, c.rn, c.event_id, c.t, c.failed, s.failures AS before, s.last,
+                  CASE WHEN s.state_after = 'open' AND c.t - s.last > {recovery_us} THEN 'half-open'
                     ELSE s.state_after END AS admitted_as
-                FROM s JOIN c ON c.user_id = s.user_id AND c.rn = s.rn + 1)))
-  SELECT event_id, user_id, admitted_as, outcome, state_after, failures FROM s WHERE rn > 0"""
+                FROM s JOIN c ON c.{key} = s.{key} AND c.rn = s.rn + 1)))
+  SELECT event_id, {key}, admitted_as, outcome, state_after, failures FROM s WHERE rn > 0"""
+
+
+_BREAKER_SQL = _breaker_sql("user_id", "event_type = 'error'", 86_400_000_000)
 
 
 def _lines_sql(all_pages: bool) -> str:
@@ -172,6 +194,10 @@ QUERIES = {
           arg_max(coalesce(result, '-'), turn) AS last_text FROM c GROUP BY 1, 2""",
     ),
     "breaker_replay": (breaker_replay, _BREAKER_SQL),
+    "breaker_by_type": (
+        breaker_by_type,
+        _breaker_sql("event_type", "value > 20", 3_600_000_000),
+    ),
     "breaker_stream": (breaker_stream, _BREAKER_SQL),
     "line_assembly": (line_assembly, _lines_sql(True)),
     "line_stream": (line_stream, _lines_sql(False)),

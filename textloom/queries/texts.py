@@ -142,9 +142,10 @@ def group_label(spark, folder):
     )
 
 
-def latency(spark, folder):
-    events = table(spark, folder, "events").select("event_id", "user_id", "ts")
-    before = Ordered(events, ["user_id"], ["ts", "event_id"]).previous(
+def _gaps(spark, folder, key, **options):
+    """Seconds from each event to the next one with the same key."""
+    events = table(spark, folder, "events").select("event_id", key, "ts")
+    before = Ordered(events, [key], ["ts", "event_id"], **options).previous(
         F.struct("event_id", "ts"), "before"
     )
     gap = before.frame().where(F.col("before").isNotNull())
@@ -154,6 +155,21 @@ def latency(spark, folder):
     )
 
 
+def latency(spark, folder):
+    return _gaps(spark, folder, "user_id")
+
+
+def latency_by_type(spark, folder):
+    """Few keys with very many events each, so that every key is done in chunks."""
+    return _gaps(spark, folder, "event_type", chunk_rows=1000)
+
+
+def _gaps_sql(key: str) -> str:
+    return f"""SELECT event_id, round((epoch_us(nxt) - epoch_us(ts))::DOUBLE / 1e6, 1) AS seconds
+        FROM (SELECT event_id, ts, lead(ts) OVER (PARTITION BY {key} ORDER BY ts, event_id) AS nxt
+              FROM events) WHERE nxt IS NOT NULL"""
+
+
 _PADDED = (
     "chr(12288) || chr(28) || ' ' || text || ' ' || chr(8195) || chr(133) || chr(10)"
 )
@@ -249,10 +265,6 @@ QUERIES = {
           upper(g[1]) || lower(g[2:] || u) AS long_label,
           upper(g[1]) || g[2:] || u AS web_label FROM g""",
     ),
-    "latency": (
-        latency,
-        """SELECT event_id, round((epoch_us(nxt) - epoch_us(ts))::DOUBLE / 1e6, 1) AS seconds
-        FROM (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt
-              FROM events) WHERE nxt IS NOT NULL""",
-    ),
+    "latency": (latency, _gaps_sql("user_id")),
+    "latency_by_type": (latency_by_type, _gaps_sql("event_type")),
 }
