@@ -12,8 +12,7 @@ WHITESPACE_RANGES = [
     (0x3000, 0x3000),
 ]
 
-# --- fixed values: providers and how their names are shown
-PROVIDERS = ["openai", "anthropic", "google", "xai"]
+# --- fixed values: how names of providers are shown
 DISPLAY_NAMES = {"xai": "xAI"}
 UNKNOWN_PROVIDER = "Unknown"
 UNKNOWN_PROVIDER_WEB = "Other"

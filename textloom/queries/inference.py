@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textloom import fixed
 from textloom.operators.inference import run_callable
 from textloom.plans.tasks import execute, prepare
 from textloom.plans.templates import TEMPLATES, template_table
@@ -49,7 +50,7 @@ def batch_map(spark, folder):
 
 def retry_map(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("prompt"))
-    ran = run_callable(docs, flaky_factory, "prompt", attempts=3, pause=PAUSE)
+    ran = run_callable(docs, flaky_factory, "prompt", attempts=fixed.RETRY_ATTEMPTS, pause=PAUSE)
     return ran.select(
         "doc_id", F.md5("result").alias("h"), "call_error", F.col("attempts").cast("bigint")
     )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textloom import fixed
 from textloom.functions import text as T
 from textloom.operators.ordered import Ordered
 from textloom.queries.common import sql_strip, sql_tokens, table
@@ -124,7 +125,7 @@ def split_key(spark, folder):
     return part.select(
         "p_partkey",
         T.key_group(key).alias("provider"),
-        T.key_group(key, "Other").alias("provider_web"),
+        T.key_group(key, fixed.UNKNOWN_PROVIDER_WEB).alias("provider_web"),
         T.key_name(key).alias("name"),
         T.short_label(F.col("label")).alias("short_label"),
     )

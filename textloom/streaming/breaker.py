@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -10,6 +11,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from textloom import fixed
 from textloom.operators.breaker import CALL_FIELDS, CLOSED, START, call
 
+SLICE = 10_000
 _STATE = StructType(
     [
         StructField("state", StringType()),
@@ -32,8 +34,8 @@ def replay_stream(
 
     Calls of one micro-batch are taken in the order of (time, seq); a call
     that comes in a later micro-batch is taken when it comes, whatever its
-    time.  Only key, seq, time and outcome travel, and the rate limit of the
-    source bounds how many calls of a key are ordered at once.
+    time.  Only key, seq, time and outcome travel, as plain arrays, and the
+    rate limit of the source bounds how many calls of a key are ordered at once.
     """
     recovery = round(recovery_seconds * 1_000_000)
     narrow = calls.select(
@@ -52,17 +54,18 @@ def replay_stream(
         if kept.exists:
             state, failures, last = kept.get
             held = (state, failures, None if state == CLOSED else last)
-        rows = pd.concat([b[["_t", "_seq", "_failed"]] for b in batches])
-        rows = rows.sort_values(["_t", "_seq"])
-        out = []
-        for at, number, bad in zip(
-            rows["_t"].tolist(), rows["_seq"].tolist(), rows["_failed"].tolist()
-        ):
-            admitted, outcome, held = call(held, at, bad, threshold, recovery)
-            out.append((*key, number, admitted, outcome, held[0], held[1]))
+        parts = [(b["_t"].to_numpy(), b["_seq"].to_numpy(), b["_failed"].to_numpy()) for b in batches]
+        at, number, bad = (np.concatenate(column) for column in zip(*parts))
+        order = np.lexsort((number, at))
+        for start in range(0, len(order), SLICE):
+            some = order[start : start + SLICE]
+            out = []
+            for t, n, f in zip(at[some].tolist(), number[some].tolist(), bad[some].tolist()):
+                admitted, outcome, held = call(held, t, f, threshold, recovery)
+                out.append((*key, n, admitted, outcome, held[0], held[1]))
+            yield pd.DataFrame(out, columns=out_names)
         state, failures, last = held
         kept.update((state, failures, last if last is not None else 0))
-        yield pd.DataFrame(out, columns=out_names)
 
     return narrow.groupBy(*keys).applyInPandasWithState(
         step, schema, _STATE, "append", GroupStateTimeout.NoTimeout

@@ -5,9 +5,17 @@ from pyspark.sql.types import StructType
 
 from textloom.session import new_folder
 
+MICRO_BATCH = str(16 << 30)  # bytes
+
 
 def files_stream(spark, path: str, schema: StructType, format: str = "parquet", **options):
-    """Stream of the files under ``path``; ``maxFilesPerTrigger`` bounds a micro-batch."""
+    """Stream of the files under ``path``.
+
+    A micro-batch, and with it what one key can hold in it, is bounded:
+    by ``maxFilesPerTrigger`` or, without that, by ``MICRO_BATCH`` of input.
+    """
+    if "maxFilesPerTrigger" not in options:
+        options.setdefault("maxBytesPerTrigger", MICRO_BATCH)
     return spark.readStream.format(format).schema(schema).options(**options).load(path)
 
 
