@@ -194,7 +194,7 @@ def pages(
     keys = list(keys)
     placed = positions(df.withColumn("_item", item), keys, order, "_position", chunk_rows)
     placed = placed.withColumn("page", F.floor((F.col("_position") - 1) / page_rows))
-    entries = F.array_sort(F.collect_list(F.struct("_position", "_item")))
+    entries = F.sort_array(F.collect_list(F.struct("_position", "_item")))
     return placed.groupBy(*keys, "page").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.array_join(F.transform(entries, lambda e: e["_item"]), separator).alias("items"),

@@ -48,7 +48,7 @@ def uni_strip(spark, folder):
 
 
 def distinct_tokens(spark, folder):
-    words = F.array_sort(T.tokens(F.col("text")))
+    words = F.sort_array(T.tokens(F.col("text")))
     return (
         table(spark, folder, "documents")
         .select("doc_id", words.alias("words"))
