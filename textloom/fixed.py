@@ -52,8 +52,9 @@ REQUIRED_ACTION = {"google": "generateContent"}
 PATH_PROVIDERS = ["google"]
 NAMED_PROVIDERS = ["anthropic"]
 
-# --- fixed values: dated snapshot suffix, -YYYY-MM-DD or -DDDD, then optionally -word
-DATE_SUFFIX = "-([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4})(?:-[a-z]+)?$"
+# --- fixed values: dated snapshot suffix, -YYYY-MM-DD or -DDDD in any script's digits,
+# --- then optionally -word, at the end or before a last newline
+DATE_SUFFIX = r"-(\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}|\p{Nd}{4})(?:-[a-z]+)?\n?\z"
 
 # --- fixed values: catalogue used when a provider cannot be listed (provider, id, name)
 FALLBACK_CATALOGUE = [

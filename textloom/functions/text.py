@@ -1,12 +1,18 @@
 """Text expressions.  All of them are built-in Spark functions; none needs Python workers."""
 
 import re
+import sys
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
 from textloom import fixed
 
+_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+DIGITS = "".join(_DIGITS)
+AS_ASCII = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
 SPACES = "".join(chr(c) for a, b in fixed.WHITESPACE_RANGES for c in range(a, b + 1))
 SPACE_CLASS = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in fixed.WHITESPACE_RANGES)
 # The same class for Java's regexes, which here tell a printable ASCII character by one look
@@ -120,12 +126,13 @@ def elapsed_seconds(start: Column, end: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key in which runs of digits count as whole numbers of any length.
+    """Sort key in which runs of digits, of any script, count as whole numbers of any length.
 
     One struct per run of (text, digits).  Numbers without leading zeros
     compare first by their length and then digit by digit.
     """
-    runs = F.regexp_extract_all(F.lower(text), F.lit("([^0-9]*[0-9]*)"), F.lit(1))
+    plain = F.translate(F.lower(text), DIGITS, AS_ASCII)
+    runs = F.regexp_extract_all(plain, F.lit("([^0-9]*[0-9]*)"), F.lit(1))
 
     def part(run: Column) -> Column:
         letters = F.regexp_replace(run, "[0-9]+$", "")
