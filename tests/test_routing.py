@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from textloom.operators.routing import (
     direction,
     script_language,
 )
+from textloom.plans import requests as requests_plan
 from textloom.plans.tasks import execute, prepare
 from textloom.plans.templates import TEMPLATES, template_table
 
@@ -173,3 +176,32 @@ def test_execute(spark, requests, models):
     )
     assert got[6].message == "Error: Processing error in task 'sing': Model 'm/z' not found"
     assert got[6].attempts == 0
+
+
+def test_answers(spark, models):
+    def factory(name):
+        def run(prompt):
+            if "boom" in prompt:
+                raise ValueError("boom")
+            return name + "!"
+
+        return run
+
+    bodies = [
+        '{"model": "m/a", "task_key": "1", "text": " hi "}',
+        '{"model": "m/a", "task_key": "3", "text": "boom"}',
+        '{"model": "m/z", "task_key": "1", "text": "boom"}',
+        "{",
+    ]
+    rows = spark.createDataFrame(
+        [(i, b, "en") for i, b in enumerate(bodies)], "i int, body string, lang string"
+    )
+    got = requests_plan.answer(rows, models, template_table(spark), factory).orderBy("i").collect()
+    assert [(r.http_code, json.loads(r.answer)) for r in got] == [
+        (200, {"ok": True, "result": "m/a!", "model": "m/a", "task": fixed.TASKS[0][2]}),
+        (500, {"ok": False, "error": "An unexpected error occurred: boom"}),
+        (400, {"ok": False, "error": "Unknown model: m/z"}),
+        (400, {"ok": False, "error": "model is required"}),
+    ]
+    down = requests_plan.not_ready(rows, "no models").first()
+    assert (down.http_code, json.loads(down.answer)) == (503, {"ok": False, "error": "no models"})

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from textloom import fixed
 from textloom.operators.inference import run_callable
+from textloom.plans.requests import answer
 from textloom.plans.tasks import execute, prepare
 from textloom.plans.templates import TEMPLATES, template_table
-from textloom.queries.common import sql_str, table
+from textloom.queries.common import sql_str, sql_strip, table
 from textloom.queries.routing import _models, _requests
 
 PAUSE = 0.0
@@ -64,6 +65,29 @@ def task_execution(spark, folder):
     )
 
 
+def request_answers(spark, folder):
+    """Documents as JSON requests; short ones arrive broken."""
+    n = F.length("text")
+    task = F.when(n < 300, "1").when(n < 900, "2").when(n < 1500, "7").otherwise(" 3 ")
+    body = F.to_json(
+        F.struct(
+            F.concat(F.lit(" "), F.col("source")).alias("model"),
+            task.alias("task_key"),
+            F.col("text"),
+        )
+    )
+    lang = F.when(F.col("lang") == "de", "zh").otherwise(F.col("lang"))
+    requests = table(spark, folder, "documents").select(
+        "doc_id",
+        lang.alias("lang"),
+        F.when(n < 100, F.substring(body, 1, 8)).otherwise(body).alias("body"),
+    )
+    answered = answer(requests, _models(spark, folder), template_table(spark), echo_factory)
+    return answered.select(
+        "doc_id", F.col("http_code").cast("bigint").alias("http_code"), F.md5("answer").alias("h")
+    )
+
+
 _TEMPLATE_SQL = ", ".join(f"({sql_str(i)}, {sql_str(t)})" for i, t in TEMPLATES)
 
 QUERIES = {
@@ -110,4 +134,34 @@ QUERIES = {
             ELSE 'Error: Processing error in task ''' || task_id || ''': ' || error END) AS message_h
         FROM e""",
     ),
+    "request_answers": (
+        request_answers,
+        f"""WITH t(prompt_task, template) AS (VALUES {_TEMPLATE_SQL}),
+        m AS (SELECT DISTINCT source AS model FROM documents WHERE lang = 'es' AND source <> 'src3'),
+        q AS (SELECT doc_id, lang, source AS model, {sql_strip('text')} AS text,
+          length(text) < 100 AS broken, CASE WHEN length(text) < 300 THEN '1'
+            WHEN length(text) < 900 THEN '2' WHEN length(text) < 1500 THEN '7' ELSE '3' END AS k
+          FROM documents),
+        r AS (SELECT q.*, CASE k WHEN '1' THEN 'refine' WHEN '2' THEN 'refine_presentation' ELSE
+            CASE lang WHEN 'de' THEN 'zh_to_en' WHEN 'en' THEN 'en_to_zh' ELSE 'refine' END END
+            AS prompt_task,
+          CASE k WHEN '1' THEN 'Refine Text (Email, Article, etc.)'
+            WHEN '2' THEN 'Refine Presentation (Summarize Article)'
+            ELSE 'Auto-Translate (Detect Language & Translate)' END AS task,
+          CASE WHEN broken THEN 'model is required'
+            WHEN k = '7' THEN 'task_key must be one of [''1'', ''2'', ''3'']'
+            WHEN text = '' THEN 'text is required'
+            WHEN m.model IS NULL THEN 'Unknown model: ' || q.model END AS rejected
+          FROM q LEFT JOIN m ON m.model = q.model),
+        e AS (SELECT r.*, '[' || model || '] ' || replace(template, '{{user_text}}', text) AS result,
+          coalesce(rejected, CASE
+            WHEN contains(text, '$$$') THEN 'API rate limit or quota exceeded. Please wait and try again, or select a different model.'
+            WHEN contains(text, '&&&') THEN 'An unexpected error occurred: cannot read this' END) AS error
+          FROM r JOIN t USING (prompt_task))
+        SELECT doc_id, CASE WHEN rejected IS NOT NULL THEN 400 WHEN error IS NOT NULL THEN 500
+            ELSE 200 END::BIGINT AS http_code,
+          md5(CASE WHEN error IS NULL THEN to_json({{'ok': true, 'result': result, 'model': model,
+            'task': task}})::VARCHAR ELSE to_json({{'ok': false, 'error': error}})::VARCHAR END) AS h
+        FROM e""",
+    ),
 }
