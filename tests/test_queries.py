@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, and the driver contract."""
+"""Every registered query against its SQL, the shape of its plan, and the driver contract."""
 
 import oracle
 import pytest
@@ -8,6 +8,12 @@ import __spark_entry__ as driver
 QUERIES = driver.queries()
 SQL = driver.oracle_sql()
 
+# Queries that run a caller's function or a state machine; all others stay in the JVM
+IN_PYTHON = {"batch_map", "retry_map", "task_execution", "request_answers"}
+IN_PYTHON |= {"breaker_replay", "breaker_by_type"}
+# One value over a whole table, added up per task before
+ONE_VALUE = {"ttl_snapshot"}
+
 
 @pytest.fixture(scope="module")
 def db(folder):
@@ -20,8 +26,18 @@ def test_entry(spark):
     assert rows.count() > 0
 
 
+def check_plan(name, df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert unwanted not in plan
+    assert ("InArrow" in plan) == (name in IN_PYTHON)
+    assert ("SinglePartition" in plan) == (name in ONE_VALUE)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, folder, db, name):
-    ours = QUERIES[name](spark, folder).toPandas()
+    df = QUERIES[name](spark, folder)
+    check_plan(name, df)
+    ours = df.toPandas()
     assert len(ours) > 0
     assert oracle.compare(ours, db.sql(SQL[name]).df()) == ""

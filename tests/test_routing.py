@@ -1,4 +1,6 @@
 import json
+import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,7 +100,27 @@ def test_grams(spark, length):
     assert got == sorted(by_letter(word) + by_letter("x"))
 
 
-def test_langid(spark):
+def scores(taught, text):
+    """Log-probability of every gram of a text in every language, in millionths."""
+    counts = {}
+    for row in taught.where("lang is not null").collect():
+        for word in row.text.split():
+            for gram in by_letter(word):
+                counts.setdefault(row.lang, Counter())[gram] += 1
+    size = len(set().union(*counts.values()))
+    return {
+        lang: [
+            round(math.log((c[g] + 1) / (sum(c.values()) + size)) * 1_000_000)
+            for word in text.split()
+            for g in by_letter(word)
+        ]
+        for lang, c in counts.items()
+    }
+
+
+@pytest.mark.parametrize("profile_rows", [langid.PROFILE_ROWS, 2])
+def test_langid(spark, monkeypatch, profile_rows):
+    monkeypatch.setattr(langid, "PROFILE_ROWS", profile_rows)
     taught = spark.createDataFrame(
         [("the cat and the dog", "en"), ("der hund und die katze", "de"), ("今天天气很好", "zh"),
          ("no label", None)],
@@ -110,7 +132,11 @@ def test_langid(spark):
         [(1, "the dog"), (2, "die Katze!"), (3, "今天很好"), (4, "12 34"), (5, " "), (6, "qqq")],
         "i int, text string",
     )
-    got = {r.i: r.detected for r in langid.detect(texts, profile, "i").collect()}
+    rows = langid.detect(texts, profile, "i").collect()
+    assert next(r.log_score for r in rows if r.i == 1) == sum(
+        scores(taught, "the dog")["en"]
+    )
+    got = {r.i: r.detected for r in rows}
     assert [got[i] for i in (1, 2, 3, 4, 5)] == ["en", "de", "zh", "unknown", "unknown"]
     assert got[6] in profile.languages
 

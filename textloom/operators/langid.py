@@ -14,12 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom import fixed
-from textloom.operators.lookup import lookup_join
+from textloom.operators.lookup import fits_broadcast, lookup_join
 from textloom.session import checkpointed
 
 SCALE = 1_000_000
 MAX_LANGUAGES = 500
 PIECE = 256
+PROFILE_ROWS = 2_000_000
+PROFILE_BYTES = 256 << 20
 
 
 def words(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
@@ -107,12 +109,24 @@ def fit(
 
 
 def score(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text") -> DataFrame:
-    """(id, detected, log_score) of each text that has letters.  Of equals the first language wins."""
+    """(id, detected, log_score) of each text that has letters.  Of equals the first language wins.
+
+    With a profile too large to broadcast, each text's grams are counted
+    before they are shuffled to it.
+    """
     n = range(len(profile.languages))
-    known = lookup_join(grams(df, F.col(text), F.col(id_)), profile.table, ["gram"])
+    found = grams(df, F.col(text), F.col(id_))
+    if fits_broadcast(profile.table, PROFILE_ROWS, PROFILE_BYTES):
+        once = found.withColumn("_times", F.lit(1).cast("bigint"))
+        known = once.join(F.broadcast(profile.table), "gram", "left")
+    else:
+        counted = found.groupBy(id_, "gram").agg(F.count(F.lit(1)).alias("_times"))
+        known = lookup_join(counted, profile.table, ["gram"], max_rows=PROFILE_ROWS)
     sums = known.groupBy(id_).agg(
         *[
-            F.sum(F.coalesce(F.col(f"lp_{i}"), F.lit(profile.unseen[i]))).alias(f"s_{i}")
+            F.sum(F.col("_times") * F.coalesce(F.col(f"lp_{i}"), F.lit(profile.unseen[i]))).alias(
+                f"s_{i}"
+            )
             for i in n
         ]
     )
