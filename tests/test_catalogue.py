@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from textloom.operators import catalogue as C
-from textloom.plans.catalogue import curate
+from textloom.plans.catalogue import curate, no_models_message
 from textloom.sources.listings import (
     fallback_catalogue,
     initialise,
@@ -131,8 +131,9 @@ def test_groups(spark):
     assert ids(C.distinct_groups(rows, F.col("key")), "provider") == ["openai", "xai"]
     first = C.first_by_prefix(rows, "key", ["OPENAI", "xai", "none"], -F.col("place"))
     assert sorted(map(tuple, first.collect())) == [("openai", "openai/b"), ("xai", "xai/x")]
-    sizes = {r.label: r.n for r in C.group_sizes(rows, F.lower(F.substring("key", 1, 3))).collect()}
-    assert sizes == {"ope": 2, "pla": 1, "xai": 1, None: 4}
+    group = F.when(F.col("place") != 3, F.lower(F.substring("key", 1, 3)))
+    sizes = {(r.label, r.is_total): r.n for r in C.group_sizes(rows, group).collect()}
+    assert sizes == {("ope", False): 2, (None, False): 1, ("xai", False): 1, (None, True): 4}
 
 
 def test_last_wins(spark):
@@ -225,3 +226,17 @@ def test_curate(listing):
         "anthropic/Second", "anthropic/claude-y", "google/gemini-2.5-pro",
         "openai/gpt-4o-2024-11-20", "xai/grok/3",
     ]
+
+
+def test_no_models_message(spark):
+    rows = [("a/2", "failed", "e2"), ("a/1", "failed", "e1"), ("b", "failed", "e3")]
+    entries = spark.createDataFrame(rows, "model_key string, status string, error string")
+    got = [tuple(r) for r in no_models_message(entries, 2).orderBy("page").collect()]
+    head = "No AI models were successfully initialized.\n"
+    assert got == [(0, head + "Errors:\n- a/1: e1\n- a/2: e2"), (1, "- b: e3")]
+    hint = no_models_message(entries.limit(0)).collect()
+    assert [r.message for r in hint] == [
+        head + "Please check your .env file for correct API keys and network connection."
+    ]
+    started = entries.withColumn("status", F.when(F.col("model_key") == "b", "ok").otherwise("failed"))
+    assert no_models_message(started).count() == 0

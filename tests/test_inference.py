@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators.inference import run_callable
+from textloom.operators.sessions import previous_results, refinement_chains
+from textloom.plans.tasks import execute
 
 
 def make_factory():
@@ -55,6 +57,60 @@ def test_retries(prompts, attempts, error, used):
     assert (row.call_error, row.attempts) == (error, used)
 
 
+def test_answers_that_are_no_text_and_typed_errors(spark):
+    def make():
+        class Spent(Exception):
+            error_type = "quota"
+
+        def factory(name):
+            def run(prompt):
+                if prompt == "spent":
+                    raise Spent("no more")
+                return {"none": None, "number": 5}.get(prompt, prompt)
+
+            return run
+
+        return factory
+
+    rows = spark.createDataFrame([("none",), ("number",), ("spent",), ("text",)], "prompt string")
+    got = {r.prompt: r for r in run_callable(rows, make(), concurrency=3, batch_rows=2).collect()}
+    assert got["text"].result == "text" and got["text"].error_type is None
+    assert got["none"].call_error == "the model answered with NoneType, not text"
+    assert got["number"].error_type == "other" and got["number"].result is None
+    assert (got["spent"].call_error, got["spent"].error_type) == ("no more", "quota")
+
+
+@pytest.mark.parametrize("chunk_rows", [2, 1000])
+def test_each_prompt_is_called_for_once(spark, tmp_path, chunk_rows):
+    """However often and by however many operators the results are read."""
+    log = str(tmp_path / "calls")
+
+    def make():
+        def factory(name):
+            def run(prompt):
+                with open(log, "a") as out:
+                    out.write(prompt + "\n")
+                return prompt
+
+            return run
+
+        return factory
+
+    rows = spark.range(100).select(
+        (F.col("id") % 5).alias("s"), F.col("id").alias("n"), F.format_string("p%03d", "id").alias("prompt")
+    )
+    rows = rows.withColumns(
+        {"model_key": F.lit("m"), "error": F.lit(None).cast("string"), "error_task": F.lit("t")}
+    )
+    done = execute(rows, make(), partitions=4)
+    columns = ["s"], ["n"], F.lit("t"), F.col("result"), F.col("is_error")
+    used = previous_results(done, *columns, chunk_rows=chunk_rows)
+    chains = refinement_chains(used, *columns, chunk_rows=chunk_rows)
+    assert chains.count() == 100 and chains.agg(F.max("chain_no")).first()[0] == 1
+    calls = open(log).read().split()
+    assert len(calls) == len(set(calls)) == 100
+
+
 def test_columns_pass_through_unchanged(spark):
     rows = spark.createDataFrame(
         [(1, "p", None, [1, None], None)],

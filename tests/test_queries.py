@@ -4,13 +4,10 @@ import oracle
 import pytest
 
 import __spark_entry__ as driver
+from textloom.queries import QUERIES
 
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
-
-# Queries that run a caller's function or a state machine; all others stay in the JVM
-IN_PYTHON = {"batch_map", "retry_map", "task_execution", "request_answers"}
-IN_PYTHON |= {"breaker_replay", "breaker_by_type"}
+# Queries whose last plan runs a state machine; a caller's function has run before, into parquet
+IN_PYTHON = {"breaker_replay", "breaker_by_type"}
 # One value over a whole table, added up per task before
 ONE_VALUE = {"ttl_snapshot"}
 
@@ -36,8 +33,14 @@ def check_plan(name, df):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, folder, db, name):
-    df = QUERIES[name](spark, folder)
+    query, sql = QUERIES[name]
+    df = query(spark, folder)
     check_plan(name, df)
     ours = df.toPandas()
     assert len(ours) > 0
-    assert oracle.compare(ours, db.sql(SQL[name]).df()) == ""
+    assert oracle.compare(ours, db.sql(sql).df()) == ""
+
+
+def test_driver_offers_all_queries():
+    assert set(QUERIES) <= set(driver.queries())
+    assert {n for n, (_, sql) in QUERIES.items() if sql} <= set(driver.oracle_sql())

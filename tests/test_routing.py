@@ -154,8 +154,9 @@ REQUESTS = [
     (4, "m/a", "auto_translate", "x", "fr", None, "refine"),
     (5, "m/a", "sing", "x", "en", "Prompt for task 'sing' not found", "sing"),
     (6, "m/z", "sing", "x", "en", "Model 'm/z' not found", "sing"),
-    (7, None, "refine", "x", "en", "Model 'None' not found", "refine"),
-    (8, "m/a", None, "x", "en", "Prompt for task 'None' not found", None),
+    (7, None, "refine", "x", "en", "No model selected", "refine"),
+    (8, "m/a", None, "x", "en", "No task selected", None),
+    (9, "", None, "x", "en", "No model selected", None),
 ]
 
 

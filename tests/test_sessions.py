@@ -34,10 +34,17 @@ def log(spark):
 
 @pytest.mark.parametrize("chunk_rows", [1, 2, 1000])
 def test_previous_results(log, chunk_rows):
-    got = previous_results(
-        log, ["session"], ["turn"], *stored(), F.col("processed"), chunk_rows
-    )
+    columns = (log, ["session"], ["turn"], *stored(), F.col("processed"))
+    got = previous_results(*columns, F.col("goes_on"), chunk_rows)
     rows = got.orderBy("session", "turn").collect()
+    assert [r.previous_result for r in rows] == [
+        None, "r1", "r2", None, None, "r5", "r5", None, ""
+    ]
+    assert [r.can_use_previous for r in rows] == [
+        False, True, False, False, False, True, True, False, True
+    ]
+    assert [r.after_error for r in rows] == [False] * 4 + [True] + [False] * 4
+    rows = previous_results(*columns, chunk_rows=chunk_rows).orderBy("session", "turn").collect()
     assert [r.previous_result for r in rows] == [
         None, "r1", "r2", "r3", None, "r5", "r5", None, ""
     ]
@@ -64,6 +71,13 @@ def test_chains(log, chunk_rows):
     assert (first.n_turns, first.first_text, first.last_text) == (2, "r5", "r7")
 
 
+def test_lines_of_a_null_session_and_long_lines(spark):
+    rows = [(None, 0, " a"), (None, 1, "b"), (None, 2, "done!!!"), (None, 3, "c"), ("s", 0, "x" * 50), ("s", 1, "y")]
+    table = spark.createDataFrame(rows, "session string, n int, line string").repartition(3)
+    got = {tuple(r) for r in assemble_lines(table, ["session"], ["n"], page_bytes=40).collect()}
+    assert got == {(None, 0, 2, "a\nb"), ("s", 0, 1, "x" * 50), ("s", 1, 1, "y")}
+
+
 TYPED = {
     "padded": ["a", " b ", "  DONE!!! ", "after", "done!!!"],
     "open": ["", "  x ", "", "y  ", " "],

@@ -7,7 +7,7 @@ from textloom.operators.breaker import replay
 from textloom.operators.lines import assemble_lines
 from textloom.sources.texts import text_lines
 from textloom.streaming.breaker import replay_stream
-from textloom.streaming.lines import assemble_stream
+from textloom.streaming.lines import assemble_stream, assemble_to_the_end
 from textloom.streaming.run import drain, files_stream
 
 
@@ -47,8 +47,9 @@ def test_restart_goes_on(spark, calls, tmp_path):
         assert got.count() == 1000
 
 
-@pytest.mark.parametrize("page_lines", [1000, 7])
-def test_lines(spark, folder, tmp_path, page_lines):
+@pytest.mark.parametrize("page_lines,page_bytes", [(1000, 1 << 26), (7, 1 << 26), (1000, 60), (9, 75)])
+def test_lines(spark, folder, tmp_path, page_lines, page_bytes):
+    """All texts, those without a terminator too, as the batch form gives them."""
     turns = spark.read.parquet(f"{folder}/conversations.parquet").withColumn(
         "text", F.replace("text", F.lit(" "), F.lit("\n"))
     )
@@ -61,18 +62,15 @@ def test_lines(spark, folder, tmp_path, page_lines):
     lines = text_lines(
         files_stream(spark, path, early.schema, maxFilesPerTrigger=10), "text", "conv_id", "turn"
     )
-    got = drain(
-        assemble_stream(lines, ["conv_id"], ["turn", "line_no"], "line", "at", page_lines), "lines"
-    )
+    limits = {"page_lines": page_lines, "page_bytes": page_bytes}
+    got = assemble_to_the_end(lines, ["conv_id"], ["turn", "line_no"], "line", "at", **limits)
     batch_lines = text_lines(early, "text", "conv_id", "turn")
-    wanted = assemble_lines(
-        batch_lines, ["conv_id"], ["turn", "line_no"], "line", "at", page_lines
-    )
-    ended = batch_lines.where("lower(trim(line)) = 'at'").select("conv_id").distinct()
-    wanted = wanted.join(ended, "conv_id").select("conv_id", "page", "n_lines", "text")
-    in_ended = got.join(ended, "conv_id").select("conv_id", "page", "n_lines", "text")
-    assert sorted(map(tuple, in_ended.collect())) == sorted(map(tuple, wanted.collect()))
-    assert in_ended.count() > 0
+    wanted = assemble_lines(batch_lines, ["conv_id"], ["turn", "line_no"], "line", "at", **limits)
+    columns = ["conv_id", "page", "n_lines", "text"]
+    rows = [sorted(map(tuple, d.select(*columns).collect())) for d in (got, wanted)]
+    assert rows[0] == rows[1]
+    ended = batch_lines.where("lower(trim(line)) = 'at'").select("conv_id").distinct().count()
+    assert 0 < ended < len({r[0] for r in rows[0]})
 
 
 def test_lines_end_when_idle(spark, tmp_path):

@@ -46,6 +46,11 @@ BODIES = [
     ("{broken", "", "", "", 400, "model is required"),
     ("{}", "", "", "", 400, "model is required"),
     (None, "", "", "", 400, "model is required"),
+    ("{'model': 'm/a', 'task_key': '3', 'text': 'x'}", "", "", "", 400, "model is required"),
+    ('{"model": "m/a", "task_key": "3", "text": "x"} junk', "", "", "", 400, "model is required"),
+    ('{"model": "m/a"}] x [', "", "", "", 400, "model is required"),
+    ('{"model": "m/a"}, {"model": "m/b"}', "", "", "", 400, "model is required"),
+    (' {"model": "m/a", "task_key": "3", "text": "a\\"b"} \n', "m/a", "3", 'a"b', 200, None),
     ('{"model": " m/a ", "task_key": "7"}', "m/a", "7", "", 400,
      "task_key must be one of ['1', '2', '3']"),
     ('{"model": "m/b", "task_key": " 1\\t", "text": " \\n"}', "m/b", "1", "", 400,
@@ -102,11 +107,14 @@ def test_log_and_console(spark):
 
 
 def test_envelope(spark):
-    rows = spark.createDataFrame([("r \"q\" 汉", None), (None, "bad")], "r string, e string")
+    rows = spark.createDataFrame(
+        [("r \"q\" 汉", None), (None, "bad"), (None, None)], "r string, e string"
+    )
     out = rows.select(envelope(F.col("r"), F.col("e"), F.lit("m/a"), F.lit("Refine"))).collect()
     assert [json.loads(r[0]) for r in out] == [
         {"ok": True, "result": 'r "q" 汉', "model": "m/a", "task": "Refine"},
         {"ok": False, "error": "bad"},
+        {"ok": True, "result": None, "model": "m/a", "task": "Refine"},
     ]
     assert "汉" in out[0][0]
 

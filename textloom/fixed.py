@@ -1,8 +1,9 @@
 """Fixed values.
 
 These lists, names, formats and limits are part of the behaviour: results are
-only right when they hold exactly these values.  Every operator takes them as
-defaults, so a caller may pass others.
+only right when they hold exactly these values.  Lists, names and limits are
+defaults of the operators' parameters, so a caller may pass others; the
+messages and the parts of a confidence are used as they are here.
 """
 
 # --- fixed values: code points Python's str.strip() and str.split() treat as space
@@ -134,6 +135,9 @@ MSG_MODEL_REQUIRED = "model is required"
 MSG_TASK_REQUIRED = "task_key must be one of {keys}"
 MSG_TEXT_REQUIRED = "text is required"
 MSG_UNKNOWN_MODEL = "Unknown model: {model}"
+UNKNOWN_TASK = "unknown"
+MSG_NO_MODEL = "No model selected"
+MSG_NO_TASK = "No task selected"
 MSG_MODEL_NOT_FOUND = "Model '{model}' not found"
 MSG_PROMPT_NOT_FOUND = "Prompt for task '{task}' not found"
 MSG_BREAKER_OPEN = (
@@ -147,4 +151,7 @@ MSG_QUOTA = "Google API quota exceeded. Please wait and try again, or select a d
 MSG_RATE_LIMIT = (
     "API rate limit or quota exceeded. Please wait and try again, or select a different model."
 )
+MSG_NO_MODELS = "No AI models were successfully initialized."
+MSG_NO_MODELS_ERRORS = "Errors:"
+MSG_NO_MODELS_HINT = "Please check your .env file for correct API keys and network connection."
 MSG_UNEXPECTED = "An unexpected error occurred: {message}"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom import fixed
 from textloom.functions import text as T
-from textloom.operators.lookup import fits_broadcast
+from textloom.operators.lookup import lookup_join
 from textloom.operators.ordered import CHUNK_ROWS, positions
 
 
@@ -46,26 +46,19 @@ def is_text_entry(
     return keep & T.has_any(id_, require_any) if require_any else keep
 
 
-def exclude_by_rules(
-    df: DataFrame, rules: DataFrame, id_: str, provider: str, salts: int = 32
-) -> DataFrame:
+def exclude_by_rules(df: DataFrame, rules: DataFrame, id_: str, provider: str) -> DataFrame:
     """Drop rows whose id contains a keyword that ``rules`` (provider, keyword) lists for them.
 
-    Rules proven small are broadcast.  Otherwise the rows of a provider are
-    spread over ``salts`` tasks, each of which sees all rules of that provider.
+    A provider's keywords are one list, which its rows look up; no row is paired
+    with each rule.
     """
-    rules = rules.select(
-        F.col("provider").alias("_provider"), F.lower("keyword").alias("_keyword")
-    ).distinct()
-    hit = F.contains(F.lower(F.col(id_)), F.col("_keyword"))
-    if fits_broadcast(rules):
-        match = (F.col(provider) == F.col("_provider")) & hit
-        return df.join(F.broadcast(rules), match, "left_anti")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(id_), F.lit(salts)))
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    rules = rules.withColumn("_rule_salt", F.explode(every))
-    match = (F.col(provider) == F.col("_provider")) & (F.col("_salt") == F.col("_rule_salt")) & hit
-    return salted.join(rules, match, "left_anti").drop("_salt")
+    listed = rules.where("keyword is not null").select(
+        F.col("provider").alias(provider), F.lower("keyword").alias("_keyword")
+    )
+    by_provider = listed.groupBy(provider).agg(F.collect_set("_keyword").alias("_keywords"))
+    found = lookup_join(df, by_provider, [provider])
+    hit = F.exists("_keywords", lambda k: F.contains(F.lower(F.col(id_)), k))
+    return found.where(~F.coalesce(hit, F.lit(False))).select(*df.columns)
 
 
 def available(
@@ -121,9 +114,10 @@ def last_wins(df: DataFrame, key: str, seq: Column, value: Column, name: str) ->
 
 
 def group_sizes(df: DataFrame, group: Column, name: str = "label") -> DataFrame:
-    """Rows per group, and one row with a null group for all of them."""
+    """Rows per group, a null group included, and one row where ``is_total`` for all of them."""
     sizes = df.select(group.alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.rollup(name).agg(F.sum("n").alias("n"))
+    total = (F.grouping(name) == 1).alias("is_total")
+    return sizes.rollup(name).agg(F.sum("n").alias("n"), total)
 
 
 def distinct_groups(df: DataFrame, key: Column, name: str = "provider") -> DataFrame:

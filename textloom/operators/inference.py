@@ -1,12 +1,15 @@
 """Running a caller's function from text to text over a column of prompts.
 
-Calls may cost money, and Spark may run a task again after an executor is
-lost, so a call happens at least once.  Write the result before using it
-twice, and leave speculation off.
+Calls may cost money, so results are written to the shared folder before
+anything reads them: however often they are used, each prompt is called for
+once.  Spark may still run a task again after an executor is lost; leave
+speculation off.
 """
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 import pyarrow as pa
@@ -15,25 +18,44 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from textloom import fixed
 from textloom.operators import breaker
+from textloom.session import written
 
 Factory = Callable[[str | None], Callable[[str], str]]
 
 _ADDED = [
     (StructField("result", StringType()), pa.field("result", pa.string())),
     (StructField("call_error", StringType()), pa.field("call_error", pa.string())),
+    (StructField("error_type", StringType()), pa.field("error_type", pa.string())),
     (StructField("attempts", IntegerType()), pa.field("attempts", pa.int32())),
     (StructField("elapsed_ms", LongType()), pa.field("elapsed_ms", pa.int64())),
 ]
 
 
+OTHER, API, REJECTED = "other", "api", "rejected"
+
+
+class CallFailure(Exception):
+    """An error whose type the caller's function knows: processing, model_init, api or quota.
+
+    Any exception with an ``error_type`` attribute will do.
+    """
+
+    def __init__(self, message: str, error_type: str = API):
+        super().__init__(message)
+        self.error_type = error_type
+
+
 def _attempt(run: Callable[[str], str], prompt: str, attempts: int, pause: float):
-    """(result, error, attempts used); the error of the last attempt counts."""
+    """(result, error, its type, attempts used); the error of the last attempt counts."""
     for used in range(1, attempts + 1):
         try:
-            return run(prompt), None, used
+            result = run(prompt)
+            if not isinstance(result, str):
+                raise TypeError(f"the model answered with {type(result).__name__}, not text")
+            return result, None, None, used
         except Exception as error:  # a row's failure is data, never the end of the job
             if used == attempts:
-                return None, str(error), used
+                return None, str(error), str(getattr(error, "error_type", OTHER)), used
             time.sleep(pause)
 
 
@@ -45,43 +67,54 @@ def _call_batches(
     attempts: int,
     pause: float,
     guard: tuple[int, int] | None,
+    concurrency: int,
+    batch_rows: int,
 ) -> Iterator[pa.RecordBatch]:
     built: dict = {}
     held: dict = {}
+    lock = threading.Lock()
+
+    def model_of(name: str | None):
+        with lock:
+            if name not in built:
+                try:
+                    built[name] = (factory(name), None)
+                except Exception as error:
+                    message = fixed.MSG_INIT_FAILED.format(key=name, error=error)
+                    built[name] = (None, message)
+            return built[name]
 
     def run_one(name: str | None, text: str | None):
         if text is None:
-            return None, None, 0, 0
-        if name not in built:
-            try:
-                built[name] = (factory(name), None)
-            except Exception as error:
-                message = fixed.MSG_INIT_FAILED.format(key=name, error=error)
-                built[name] = (None, message)
-        run, broken = built[name]
+            return None, None, None, 0, 0
+        run, broken = model_of(name)
         if broken:
-            return None, broken, 0, 0
+            return None, broken, OTHER, 0, 0
         started = time.time()
+        at = int(started * 1e6)
         if guard:
-            state = breaker.admit(held.get(name, breaker.START), int(started * 1e6), guard[1])
-            held[name] = state
+            with lock:
+                state = breaker.admit(held.get(name, breaker.START), at, guard[1])
+                held[name] = state
             if state[0] == breaker.OPEN:
-                return None, fixed.MSG_BREAKER_OPEN.format(key=name), 0, 0
-        result, error, used = _attempt(run, text, attempts, pause)
+                return None, fixed.MSG_BREAKER_OPEN.format(key=name), REJECTED, 0, 0
+        result, error, kind, used = _attempt(run, text, attempts, pause)
         if guard:
-            held[name] = breaker.settle(
-                held[name], int(started * 1e6), error is not None, guard[0]
-            )
-        return result, error, used, int((time.time() - started) * 1000)
+            with lock:
+                held[name] = breaker.settle(held[name], at, error is not None, guard[0])
+        return result, error, kind, used, int((time.time() - started) * 1000)
 
-    for batch in batches:
-        texts = batch.column(prompt).to_pylist()
-        names = batch.column(model).to_pylist() if model else [None] * len(texts)
-        rows = [run_one(name, text) for name, text in zip(names, texts)]
-        columns = list(zip(*rows)) if rows else [()] * len(_ADDED)
-        for (_, field), values in zip(_ADDED, columns):
-            batch = batch.append_column(field, pa.array(values, type=field.type))
-        yield batch
+    with ThreadPoolExecutor(concurrency) as pool:
+        each = pool.map if concurrency > 1 else map
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch_rows):
+                batch = whole.slice(start, batch_rows)
+                texts = batch.column(prompt).to_pylist()
+                names = batch.column(model).to_pylist() if model else [None] * len(texts)
+                columns = zip(*each(run_one, names, texts))
+                for (_, field), values in zip(_ADDED, columns):
+                    batch = batch.append_column(field, pa.array(values, type=field.type))
+                yield batch
 
 
 def run_callable(
@@ -95,13 +128,23 @@ def run_callable(
     threshold: int = fixed.FAILURE_THRESHOLD,
     recovery_seconds: float = fixed.RECOVERY_SECONDS,
     partitions: int | None = None,
+    concurrency: int = 1,
+    batch_rows: int = 64,
+    once: bool = True,
 ) -> DataFrame:
-    """Add result, call_error, attempts and elapsed_ms to each row.
+    """Add result, call_error, error_type, attempts and elapsed_ms to each row.
 
     ``factory(model)`` builds the function once per task and model; rows with
-    a null prompt are passed on without a call.  ``partitions`` bounds how
-    many calls run at once and spreads the rows evenly.  With ``guard`` each
+    a null prompt are passed on without a call.  An answer that is no text is
+    an error, too.  ``partitions`` bounds how many tasks call at once and spreads
+    the rows evenly; each has up to ``concurrency`` calls under way, for
+    functions that may be called from several threads.  With ``guard`` each
     task keeps a breaker per model; its state is not shared between tasks.
+    error_type is what the exception says it is, "other" for one that says
+    nothing, "rejected" for calls that the breaker did not let through.
+
+    The calls are made now and their results written to the shared folder;
+    with ``once=False`` they are made whenever the result is computed.
     """
     if partitions:
         df = df.repartition(partitions)
@@ -114,5 +157,8 @@ def run_callable(
         attempts=attempts,
         pause=pause,
         guard=(threshold, round(recovery_seconds * 1_000_000)) if guard else None,
+        concurrency=concurrency,
+        batch_rows=batch_rows,
     )
-    return df.mapInArrow(work, schema)
+    called = df.mapInArrow(work, schema)
+    return written(called, "calls") if once else called

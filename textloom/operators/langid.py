@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom import fixed
 from textloom.operators.lookup import fits_broadcast, lookup_join
-from textloom.session import checkpointed
+from textloom.session import written
 
 SCALE = 1_000_000
 MAX_LANGUAGES = 500
@@ -80,7 +80,7 @@ def fit(
         return LanguageProfile([], df.sparkSession.createDataFrame([], "gram string"), [])
     n = [f"n_{i}" for i in range(len(languages))]
     labelled = df.where(F.col(lang).isin(languages))
-    counted = checkpointed(
+    counted = written(
         grams(labelled, F.col(text), F.col(lang).alias("_lang"))
         .groupBy("gram")
         .agg(

@@ -5,11 +5,12 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.session import checkpointed
+from textloom.session import written
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
+SALTS = 64
 
 
 def reference_table(spark: SparkSession, rows: Sequence[tuple], schema: dict[str, str]) -> DataFrame:
@@ -26,9 +27,9 @@ def reference_table(spark: SparkSession, rows: Sequence[tuple], schema: dict[str
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Whether ``df`` is proven small.  Reads at most ``max_rows`` + 1 rows of it."""
-    size = F.sum(F.length(F.to_json(F.struct("*")))).alias("size")
-    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), size).first()
+    """Whether ``df`` is proven small, by rows and bytes that its tasks add up by themselves."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")
+    seen = df.agg(F.count(F.lit(1)).alias("n"), size).first()
     return seen["n"] <= max_rows and (seen["size"] or 0) <= max_bytes
 
 
@@ -39,8 +40,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None
     keys than rows / ``limit``; they are written down, as callers use them twice.
     """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    hot = hot.select(*keys)
-    return None if hot.isEmpty() else checkpointed(hot)
+    hot = written(hot.select(*keys), "hot-keys")
+    return None if hot.isEmpty() else hot
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -61,6 +62,8 @@ def lookup_join(
     A table proven small is broadcast.  Beyond that, the rows of hot keys meet
     a broadcast of just the table rows of those keys, and all other rows go
     through a shuffle join in which no key has more than ``hot_rows`` rows.
+    Where even the hot keys' table rows are many, they are copied ``SALTS`` times
+    and the rows of each hot key are dealt to as many tasks.
     """
     on = list(on)
     if fits_broadcast(table, max_rows):
@@ -73,4 +76,10 @@ def lookup_join(
     cold_rows = df.join(hot, on, "left_anti").join(table, on, how)
     hot_rows_ = df.join(hot, on, "left_semi")
     hot_table = table.join(hot, on, "left_semi")
-    return cold_rows.unionByName(hot_rows_.join(small(hot_table), on, how))
+    if fits_broadcast(hot_table):
+        return cold_rows.unionByName(hot_rows_.join(F.broadcast(hot_table), on, how))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = hot_rows_.withColumn("_salt", salt)
+    copied = hot_table.withColumn("_salt", every)
+    return cold_rows.unionByName(dealt.join(copied, [*on, "_salt"], how).drop("_salt"))

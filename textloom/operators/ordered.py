@@ -13,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.operators.lookup import hot_keys, small
-from textloom.session import checkpointed
+from textloom.session import written
 
 CHUNK_ROWS = 1_000_000
+PAGE_BYTES = 64 << 20
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
@@ -45,7 +46,7 @@ def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence, rows: int) ->
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     df = df.withColumn("_key", key)
     placed = df.orderBy("_key", *order).withColumn("_at", F.monotonically_increasing_id())
-    placed = checkpointed(placed)
+    placed = written(placed, "chunks")
     inside = F.col("_at").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     return placed.withColumn("_chunk", F.col("_at") - inside % rows)
 
@@ -66,6 +67,7 @@ class Ordered:
         self.keys = list(keys)
         self.order = [F.col(o) if isinstance(o, str) else o for o in order]
         self.columns = df.columns
+        self.added = 0
         self.whole, large = split_by_size(df, self.keys, chunk_rows)
         self.chunks = None if large is None else in_chunks(large, self.keys, self.order, chunk_rows)
 
@@ -92,11 +94,14 @@ class Ordered:
         if self.whole is not None:
             self.whole = self.whole.withColumn(name, whole)
         if self.chunks is not None:
+            if self.added:  # chunks are read twice below; without this, each column would double that
+                self.chunks = written(self.chunks, "chunks")
             own = self.chunks.withColumn("_own", inside)
             joined = own.join(self._carried(summary, combine), ["_key", "_chunk"])
             self.chunks = joined.withColumn(name, merge(F.col("_own"), F.col("_carry"))).drop(
                 "_own", "_carry"
             )
+        self.added += 1
         self.columns = self.columns + [name]
         return self
 
@@ -131,6 +136,7 @@ class Ordered:
         )
         placed = self.chunks.withColumn("_part", part).join(F.broadcast(starts), "_part")
         self.chunks = placed.withColumn(name, F.col("_start") + inside + 1).drop("_part", "_start")
+        self.added += 1
         self.columns = self.columns + [name]
         return self
 
@@ -186,14 +192,21 @@ def pages(
     page_rows: int = 1000,
     separator: str = "\n",
     chunk_rows: int = CHUNK_ROWS,
+    page_bytes: int = PAGE_BYTES,
 ) -> DataFrame:
     """Each group's items in order, joined into pages of at most ``page_rows`` items.
 
-    Nothing is left out: a group of any size just has more pages.
+    Nothing is left out: a group of any size just has more pages.  A page also
+    ends once it has passed another ``page_bytes`` of the group's items; a number
+    is skipped where both limits are met at one item.
     """
     keys = list(keys)
-    placed = positions(df.withColumn("_item", item), keys, order, "_position", chunk_rows)
-    placed = placed.withColumn("page", F.floor((F.col("_position") - 1) / page_rows))
+    own = F.coalesce(F.octet_length("_item"), F.lit(0)) + len(separator.encode())
+    ordered = Ordered(df.withColumn("_item", item).withColumn("_size", own), keys, order, chunk_rows)
+    placed = ordered.position("_position").running_sum(F.col("_size"), "_bytes").frame()
+    before = F.col("_bytes") - F.col("_size")
+    page = F.floor((F.col("_position") - 1) / page_rows) + F.floor(before / page_bytes)
+    placed = placed.withColumn("page", page)
     entries = F.sort_array(F.collect_list(F.struct("_position", "_item")))
     return placed.groupBy(*keys, "page").agg(
         F.count(F.lit(1)).alias("n_items"),

@@ -15,21 +15,26 @@ def previous_results(
     result: Column,
     is_error: Column,
     processed: Column | None = None,
+    goes_on: Column | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add the result each turn may reuse.
 
-    previous_result is null after an error.  can_use_previous also asks for
-    the same task as before, and offer_previous for a result that is not
-    empty.  A turn that is not ``processed``, such as one
-    with a blank text, leaves what is stored as it is.
+    previous_result is null after an error, and after a turn where ``goes_on``,
+    the answer given after it, is false: all that was stored is forgotten then.
+    can_use_previous also asks for the same task as before, and offer_previous
+    for a result that is not empty.  A turn that is not ``processed``, such as
+    one with a blank text, leaves what is stored as it is, unless it is forgotten.
     """
+    goes_on = F.lit(True) if goes_on is None else F.coalesce(goes_on, F.lit(True))
+    good = goes_on & ~is_error
     state = F.struct(
-        F.when(~is_error, result).alias("result"),
-        F.when(~is_error, task).alias("task"),
-        is_error.alias("is_error"),
+        F.when(good, result).alias("result"),
+        F.when(good, task).alias("task"),
+        (goes_on & is_error).alias("is_error"),
     )
-    turns = Ordered(df, session, order, chunk_rows).previous(state, "_before", processed).frame()
+    stores = None if processed is None else processed | ~goes_on
+    turns = Ordered(df, session, order, chunk_rows).previous(state, "_before", stores).frame()
     before = F.col("_before")
     has_result = F.coalesce(before["result"].isNotNull(), F.lit(False))
     same_task = F.coalesce(before["task"] == task, F.lit(False))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom import fixed
 from textloom.functions import text as T
-from textloom.operators.inference import Factory, run_callable
+from textloom.operators.inference import API, REJECTED, Factory, run_callable
 from textloom.operators.lookup import lookup_join
 from textloom.operators.routing import add_template, direction
 from textloom.operators.validation import console_message, friendly_message
@@ -19,20 +19,24 @@ def prepare(
     text: str = "text",
     lang: str = "lang",
 ) -> DataFrame:
-    """Add prompt, or error when the model or the task's template is missing.
+    """Add prompt, or error when model, task or template are missing, and error_task.
 
-    A missing model is noticed first.  For auto_translate the language picks
-    the template: ``prompt_task`` says whose template was taken.
+    What was not selected at all is noticed first, of a task called unknown; then
+    a model that does not exist, then a template.  For auto_translate the language
+    picks the template: ``prompt_task`` says whose template was taken.
     """
     rows = df
-    none = F.lit("None")  # how a missing name is shown
+    empty = F.lit("")
+    unselected = F.when(F.coalesce(F.col(model), empty) == "", fixed.MSG_NO_MODEL).when(
+        F.coalesce(F.col(task), empty) == "", fixed.MSG_NO_TASK
+    )
     missing_model = F.lit(None).cast("string")
     if models is not None:
         table = models.select(F.col("model_key").alias(model)).distinct()
         rows = lookup_join(rows, table.withColumn("_known", F.lit(True)), [model])
         missing_model = F.when(
             F.col("_known").isNull(),
-            T.fill(fixed.MSG_MODEL_NOT_FOUND, model=F.coalesce(F.col(model), none)),
+            T.fill(fixed.MSG_MODEL_NOT_FOUND, model=F.col(model)),
         )
     asked = rows.withColumn("_asked", F.col(task))
     routed = direction(asked.drop(task), F.col(lang)).withColumnRenamed("task_id", "_routed")
@@ -42,10 +46,13 @@ def prepare(
     ).withColumnRenamed("_asked", task)
     found = add_template(routed, templates, "prompt_task")
     no_prompt = F.when(
-        F.coalesce("template", F.lit("")) == "",
-        T.fill(fixed.MSG_PROMPT_NOT_FOUND, task=F.coalesce(F.col(task), none)),
+        F.coalesce("template", empty) == "",
+        T.fill(fixed.MSG_PROMPT_NOT_FOUND, task=F.col(task)),
+    )
+    found = found.withColumn("error", F.coalesce(unselected, missing_model, no_prompt))
+    found = found.withColumn(
+        "error_task", F.when(unselected.isNotNull(), fixed.UNKNOWN_TASK).otherwise(F.col(task))
     )
-    found = found.withColumn("error", F.coalesce(missing_model, no_prompt))
     prompt = F.when(F.col("error").isNull(), T.render(F.col("template"), F.col(text)))
     return found.withColumn("prompt", prompt).drop(
         "template", "_known", "_routed", "source_language", "target_language"
@@ -56,30 +63,27 @@ def execute(
     prepared: DataFrame,
     factory: Factory,
     model: str = "model_key",
-    task: str = "task_id",
+    guard: bool = True,
     **options,
 ) -> DataFrame:
-    """Run the prompts.  Adds result, is_error, error and the console's message.
+    """Run the prompts.  Adds result, is_error, error, error_type and the console's message.
 
     Failures are rows, never the end of the job: a failed call gets the
-    friendly message of its error.  All columns of ``prepared`` pass through
-    the Python workers, so drop the text first if the prompt is enough.
+    friendly message of its error's type.  Calls go through a breaker per model,
+    kept by each task for itself; ``guard=False`` leaves it out.  All columns of
+    ``prepared`` pass through the Python workers, so drop the text first if the
+    prompt is enough.
     """
-    ran = run_callable(prepared, factory, "prompt", model, **options)
+    ran = run_callable(prepared, factory, "prompt", model, guard=guard, **options)
+    kind = F.when(F.col("error_type") == REJECTED, API).otherwise(F.col("error_type"))
     called = F.when(
         F.col("call_error").isNotNull(),
-        friendly_message(
-            F.when(F.col("call_error").startswith("Circuit breaker is open"), "api").otherwise(
-                "other"
-            ),
-            F.col(model),
-            F.col("call_error"),
-        ),
+        friendly_message(kind, F.col(model), F.col("call_error")),
     )
     done = ran.withColumn("error", F.coalesce("error", called))
     return done.withColumn("is_error", F.col("error").isNotNull()).withColumn(
         "message",
-        F.when(F.col("is_error"), console_message(F.col(task), F.col("error"))).otherwise(
+        F.when(F.col("is_error"), console_message(F.col("error_task"), F.col("error"))).otherwise(
             F.col("result")
         ),
-    )
+    ).drop("error_task")

@@ -16,7 +16,7 @@ from textloom.operators.catalogue import (
 )
 from textloom.operators.lookup import lookup_join
 from textloom.operators.ordered import pages, positions
-from textloom.plans.catalogue import curate
+from textloom.plans.catalogue import curate, load, no_models_message
 from textloom.queries.common import sql_natural, table
 from textloom.sources.listings import initialise, kept_snapshots, with_fallback
 
@@ -101,12 +101,45 @@ _IDS_SQL = """SELECT 'cust-' || o_custkey || '-' || strftime(o_orderdate, '%Y-%m
   UNION ALL SELECT 'cust-' || c_custkey, c_custkey FROM customer WHERE c_acctbal > 0"""
 
 
+_CATALOGUE_SQL = rf"""WITH i AS ({_IDS_SQL}),
+        l AS (SELECT n_name AS provider, lower(c_mktsegment) || '-' || id AS id, upper(id) AS name,
+                lower(c_mktsegment) AS seg
+              FROM i JOIN customer ON custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+        k AS (SELECT DISTINCT provider, id, CASE WHEN provider IN ('NATION_0', 'NATION_3') THEN name
+                ELSE id END AS name FROM l
+          WHERE NOT contains(id, 'house')
+            AND NOT (provider = 'NATION_1' AND contains(id, 'machinery'))
+            AND NOT (provider = 'NATION_2' AND NOT contains(id, 'cust-1'))
+            AND NOT (provider = 'NATION_3' AND starts_with(id, 'auto'))
+            AND NOT (provider = 'NATION_4' AND seg NOT IN ('furniture', 'building'))),
+        d AS (SELECT *, regexp_extract(id, '-(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}})(?:-[a-z]+)?$', 1) AS dt,
+          regexp_replace(id, '-(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}})(?:-[a-z]+)?$', '') AS base FROM k),
+        m AS (SELECT provider, id, name FROM d WHERE dt = ''
+          UNION ALL
+          SELECT provider, id, name FROM (
+            SELECT *, row_number() OVER (PARTITION BY provider, base ORDER BY dt DESC) AS rn
+            FROM d WHERE dt <> '' AND NOT EXISTS
+              (SELECT 1 FROM k WHERE k.provider = d.provider AND k.id = d.base)) WHERE rn = 1),
+        c AS (SELECT provider, id, provider || '/' || name AS model_key FROM m)"""
+
+
 def snapshot_dedup(spark, folder):
     return latest_snapshots(_dated_ids(spark, folder).select("id")).select("id")
 
 
-def catalogue(spark, folder):
-    """Orders and customers as a listing, one provider per nation, through the whole plan."""
+_RULES = {
+    "keywords": ["house"],
+    "by_provider": {"NATION_1": ["MACHINERY"]},
+    "required": {"NATION_2": "cust-1"},
+    "retired": {"NATION_3": ["auto"]},
+    "actions": {"NATION_4": "building"},
+    "path_named": [f"NATION_{i}" for i in range(25)],
+    "named": ["NATION_0", "NATION_3"],
+}
+
+
+def _listing(spark, folder):
+    """Orders and customers as a listing, one provider per nation."""
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
     customers = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("custkey"),
@@ -115,7 +148,7 @@ def catalogue(spark, folder):
     )
     ids = lookup_join(_dated_ids(spark, folder), customers, ["custkey"], "inner")
     ids = lookup_join(ids, nations, ["n_nationkey"], "inner")
-    listing = ids.select(
+    return ids.select(
         F.col("n_name").alias("provider"),
         F.concat(F.lit("models/"), F.lower("c_mktsegment"), F.lit("-"), "id").alias("id"),
         F.upper("id").alias("display_name"),
@@ -124,17 +157,52 @@ def catalogue(spark, folder):
         ),
         F.xxhash64("id").alias("seq"),
     )
-    named = ["NATION_0", "NATION_3"]
-    return curate(
-        listing,
-        keywords=["house"],
-        by_provider={"NATION_1": ["MACHINERY"]},
-        required={"NATION_2": "cust-1"},
-        retired={"NATION_3": ["auto"]},
-        actions={"NATION_4": "building"},
-        path_named=[f"NATION_{i}" for i in range(25)],
-        named=named,
+
+
+def catalogue(spark, folder):
+    return curate(_listing(spark, folder), **_RULES)
+
+
+def _providers(spark, folder):
+    """Nations as providers: whether they can be listed, and their keys."""
+    status = (
+        F.when(F.col("n_nationkey") % 5 == 1, "error")
+        .when(F.col("n_nationkey") % 5 == 2, "no_key")
+        .when(F.col("n_nationkey") % 5 == 3, "broken")
+        .otherwise("ok")
+    )
+    key = F.when(~status.isin("no_key") & (F.col("n_nationkey") % 7 != 5), F.lit("a long key"))
+    return table(spark, folder, "nation").select(
+        F.col("n_name").alias("provider"), status.alias("status"), key.alias("api_key")
+    )
+
+
+def whole_catalogue(spark, folder):
+    """Listings, stand-ins from suppliers, keys, a few rows that fail by themselves, and menu numbers."""
+    providers = _providers(spark, folder)
+    names = table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("provider")
+    )
+    suppliers = lookup_join(table(spark, folder, "supplier"), names, ["s_nationkey"], "inner")
+    fallback = suppliers.select(
+        "provider",
+        F.concat(F.when(F.col("s_acctbal") < 0, "House-").otherwise("s-"), "s_name").alias("id"),
+        F.when(F.col("s_acctbal") > 5000, F.col("s_name")).alias("display_name"),
+    )
+    error = F.when(F.col("model_key").endswith("7"), "no route")
+    entries = load(providers, _listing(spark, folder), fallback, providers, error, **_RULES)
+    number = F.coalesce("menu_no", F.lit(0)).alias("menu_no")
+    return entries.select("provider", "id", "model_key", "origin", "status", "error", number)
+
+
+def no_models(spark, folder):
+    """The message when no provider has a key."""
+    entries = table(spark, folder, "part").select(
+        F.col("p_brand").alias("provider"),
+        F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("model_key"),
     )
+    keys = entries.select("provider", F.lit("").alias("api_key")).distinct()
+    return no_models_message(initialise(entries, keys), 100).withColumn("message", F.md5("message"))
 
 
 def last_wins_(spark, folder):
@@ -152,7 +220,9 @@ def group_counts(spark, folder):
         ["n_nationkey"],
         "inner",
     )
-    return group_sizes(named, T.group_label(F.col("n_name")))
+    # Suppliers below zero have no group here, which is not the same as all of them.
+    group = F.when(F.col("s_acctbal") >= 0, T.group_label(F.col("n_name")))
+    return group_sizes(named, group)
 
 
 def group_lists(spark, folder):
@@ -209,21 +279,15 @@ def source_fallback(spark, folder):
     )
     sources = nation.select(F.col("n_name").alias("provider"), status.alias("status"))
     names = nation.select("n_nationkey", F.col("n_name").alias("provider"))
-    primary = (
-        table(spark, folder, "supplier")
-        .where("s_acctbal > 5000")
-        .select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("id"))
+    primary = table(spark, folder, "supplier").select(
+        F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("id")
     )
-    fallback = (
-        table(spark, folder, "customer")
-        .where("c_acctbal > 9000")
-        .select(
-            F.col("c_nationkey").alias("n_nationkey"),
-            F.concat(
-                F.when(F.col("c_acctbal") > 9500, "Video-").otherwise("text-"),
-                F.col("c_custkey").cast("string"),
-            ).alias("id"),
-        )
+    fallback = table(spark, folder, "customer").select(
+        F.col("c_nationkey").alias("n_nationkey"),
+        F.concat(
+            F.when(F.col("c_acctbal") > 5000, "Video-").otherwise("text-"),
+            F.col("c_custkey").cast("string"),
+        ).alias("id"),
     )
     return with_fallback(
         sources,
@@ -308,28 +372,41 @@ QUERIES = {
         SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY base ORDER BY dt DESC, id DESC) AS rn
                         FROM d WHERE dt <> '' AND base NOT IN (SELECT id FROM i)) WHERE rn = 1""",
     ),
-    "catalogue": (
-        catalogue,
-        rf"""WITH i AS ({_IDS_SQL}),
-        l AS (SELECT n_name AS provider, lower(c_mktsegment) || '-' || id AS id, upper(id) AS name,
-                lower(c_mktsegment) AS seg
-              FROM i JOIN customer ON custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-        k AS (SELECT DISTINCT provider, id, CASE WHEN provider IN ('NATION_0', 'NATION_3') THEN name
-                ELSE id END AS name FROM l
-          WHERE NOT contains(id, 'house')
-            AND NOT (provider = 'NATION_1' AND contains(id, 'machinery'))
-            AND NOT (provider = 'NATION_2' AND NOT contains(id, 'cust-1'))
-            AND NOT (provider = 'NATION_3' AND starts_with(id, 'auto'))
-            AND NOT (provider = 'NATION_4' AND seg NOT IN ('furniture', 'building'))),
-        d AS (SELECT *, regexp_extract(id, '-(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}})(?:-[a-z]+)?$', 1) AS dt,
-          regexp_replace(id, '-(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}})(?:-[a-z]+)?$', '') AS base FROM k),
-        c AS (SELECT provider, id, name FROM d WHERE dt = ''
-          UNION ALL
-          SELECT provider, id, name FROM (
-            SELECT *, row_number() OVER (PARTITION BY provider, base ORDER BY dt DESC) AS rn
-            FROM d WHERE dt <> '' AND NOT EXISTS
-              (SELECT 1 FROM k WHERE k.provider = d.provider AND k.id = d.base)) WHERE rn = 1)
-        SELECT provider, id, provider || '/' || name AS model_key FROM c""",
+    "catalogue": (catalogue, f"""{_CATALOGUE_SQL}
+        SELECT provider, id, model_key FROM c"""),
+    "whole_catalogue": (
+        whole_catalogue,
+        rf"""{_CATALOGUE_SQL},
+        p AS (SELECT *, n_nationkey % 5 AS s, n_nationkey % 5 <> 2 AND n_nationkey % 7 <> 5 AS has_key
+              FROM nation),
+        f AS (SELECT n_name AS provider, CASE WHEN s_acctbal < 0 THEN 'House-' ELSE 's-' END || s_name
+            AS id, n_name || '/' || CASE WHEN s_acctbal > 5000 THEN s_name
+              ELSE CASE WHEN s_acctbal < 0 THEN 'House-' ELSE 's-' END || s_name END AS model_key
+          FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+        a AS (SELECT provider, id, model_key, 'primary' AS origin, has_key
+            FROM c JOIN p ON n_name = provider WHERE s IN (0, 4)
+          UNION ALL SELECT provider, id, model_key, 'fallback', has_key
+            FROM f JOIN p ON n_name = provider WHERE s IN (1, 2) AND NOT contains(lower(id), 'house')
+              AND NOT (provider = 'NATION_1' AND contains(lower(id), 'machinery'))),
+        e AS (SELECT *, CASE WHEN NOT has_key
+            THEN upper(provider[1]) || lower(provider[2:]) || ' API Key not found.'
+            WHEN ends_with(model_key, '7') THEN 'Failed to initialize ' || model_key || ': no route'
+            END AS error FROM a),
+        g AS (SELECT *, split_part(model_key, '/', 1) AS grp,
+            substr(model_key, instr(model_key, '/') + 1) AS name FROM e)
+        SELECT provider, id, model_key, origin, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END
+            AS status, error, CASE WHEN error IS NULL THEN row_number() OVER (
+              PARTITION BY error IS NULL ORDER BY upper(grp[1]) || lower(grp[2:]),
+              {sql_natural('name')}, model_key, id, origin) ELSE 0 END AS menu_no FROM g""",
+    ),
+    "no_models": (
+        no_models,
+        """WITH e AS (SELECT p_brand || '/' || p_partkey AS k, '- ' || p_brand || '/' || p_partkey || ': '
+            || upper(p_brand[1]) || lower(p_brand[2:]) || ' API Key not found.' AS item FROM part),
+        n AS (SELECT *, (row_number() OVER (ORDER BY k) - 1) // 100 AS page FROM e)
+        SELECT page::BIGINT AS page, md5(CASE WHEN page = 0 THEN
+            'No AI models were successfully initialized.' || chr(10) || 'Errors:' || chr(10) ELSE '' END
+            || string_agg(item, chr(10) ORDER BY k)) AS message FROM n GROUP BY page""",
     ),
     "last_wins": (
         last_wins_,
@@ -338,8 +415,9 @@ QUERIES = {
     ),
     "group_counts": (
         group_counts,
-        """SELECT upper(n_name[1]) || lower(n_name[2:]) AS label, count(*) AS n
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ROLLUP (1)""",
+        """SELECT label, count(*) AS n, grouping(label) = 1 AS is_total FROM (
+          SELECT CASE WHEN s_acctbal >= 0 THEN upper(n_name[1]) || lower(n_name[2:]) END AS label
+          FROM supplier JOIN nation ON s_nationkey = n_nationkey) GROUP BY ROLLUP (label)""",
     ),
     "group_lists": (
         group_lists,
@@ -381,10 +459,10 @@ QUERIES = {
         source_fallback,
         """SELECT n_name AS provider, s_name AS id, 'primary' AS origin
         FROM supplier JOIN nation ON s_nationkey = n_nationkey
-        WHERE s_acctbal > 5000 AND n_regionkey NOT IN (3, 4)
+        WHERE n_regionkey NOT IN (3, 4)
         UNION ALL SELECT n_name, 'text-' || c_custkey, 'fallback'
         FROM customer JOIN nation ON c_nationkey = n_nationkey
-        WHERE c_acctbal > 9000 AND c_acctbal <= 9500 AND n_regionkey IN (3, 4)""",
+        WHERE c_acctbal <= 5000 AND n_regionkey IN (3, 4)""",
     ),
     "ttl_snapshot": (
         ttl_snapshot,

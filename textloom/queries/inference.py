@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from textloom import fixed
-from textloom.operators.inference import run_callable
-from textloom.plans.requests import answer
+from textloom.operators.inference import CallFailure, run_callable
+from textloom.operators.sessions import previous_results, refinement_chains
+from textloom.plans.requests import answer, not_ready
 from textloom.plans.tasks import execute, prepare
 from textloom.plans.templates import TEMPLATES, template_table
 from textloom.queries.common import sql_str, sql_strip, table
@@ -26,6 +27,35 @@ def echo_factory(name):
     return run
 
 
+def typed_factory(name):
+    """As the echo, but texts with $$$ fail in one of five ways, by their length."""
+
+    def run(prompt: str) -> str:
+        if "$$$" in prompt:
+            kind = len(prompt) % 5
+            if kind == 0:
+                raise CallFailure("spent", "quota")
+            if kind == 1:
+                raise CallFailure("no answer", "api")
+            if kind == 2:
+                return None
+            raise RuntimeError("code 429" if kind == 3 else "cannot read this")
+        return f"[{name}] {prompt}"
+
+    return run
+
+
+def dead_factory(name):
+    """Two models fail whatever they are asked."""
+
+    def run(prompt: str) -> str:
+        if name in ("src0", "src1"):
+            raise RuntimeError("dead")
+        return prompt
+
+    return run
+
+
 def flaky_factory(name):
     """Fails once on a text with ### and always on a text with $$$."""
     seen: dict[str, int] = {}
@@ -58,10 +88,54 @@ def retry_map(spark, folder):
 
 
 def task_execution(spark, folder):
-    prepared = prepare(_requests(spark, folder), template_table(spark), _models(spark, folder))
-    done = execute(prepared.drop("text"), echo_factory)
+    """Some requests name no model or no task; failed calls are of all types."""
+    n = F.length("text")
+    asked = _requests(spark, folder).withColumns(
+        {
+            "model_key": F.when(n % 13 != 0, F.col("model_key")),
+            "task_id": F.when(n % 17 != 0, F.col("task_id")).otherwise(""),
+        }
+    )
+    prepared = prepare(asked, template_table(spark), _models(spark, folder))
+    done = execute(prepared.drop("text"), typed_factory, guard=False, concurrency=4)
     return done.select(
-        "doc_id", "is_error", F.md5("result").alias("h"), F.md5("message").alias("message_h")
+        "doc_id",
+        "is_error",
+        "error_type",
+        F.md5("result").alias("h"),
+        F.md5("message").alias("message_h"),
+    )
+
+
+def task_breaker(spark, folder):
+    """Models that always fail are given up after three calls; all calls of a model in one task."""
+    docs = table(spark, folder, "documents").select(
+        F.col("source").alias("model_key"),
+        F.col("text").alias("prompt"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit("refine").alias("error_task"),
+    )
+    done = execute(docs.repartition(8, "model_key"), dead_factory, recovery_seconds=1e9)
+    return done.groupBy("model_key", "error_type", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def task_sessions(spark, folder):
+    """Conversations answered turn by turn, then what each turn may reuse, and its chain."""
+    turns = table(spark, folder, "conversations").select(
+        "conv_id",
+        "turn",
+        F.col("text").alias("prompt"),
+        F.lit("m").alias("model_key"),
+        F.when(F.length("text") < 300, "short").otherwise("long").alias("task_id"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit("refine").alias("error_task"),
+    )
+    done = execute(turns, echo_factory, guard=False).drop("prompt")
+    columns = ["conv_id"], ["turn"], F.col("task_id"), F.col("result"), F.col("is_error")
+    used = previous_results(done, *columns)
+    chains = refinement_chains(used, *columns)
+    return chains.select(
+        "conv_id", "turn", F.md5("previous_result").alias("h"), "can_use_previous", "chain_no"
     )
 
 
@@ -82,12 +156,22 @@ def request_answers(spark, folder):
         lang.alias("lang"),
         F.when(n < 100, F.substring(body, 1, 8)).otherwise(body).alias("body"),
     )
-    answered = answer(requests, _models(spark, folder), template_table(spark), echo_factory)
+    models, templates = _models(spark, folder), template_table(spark)
+    answered = answer(requests, models, templates, echo_factory, guard=False)
     return answered.select(
         "doc_id", F.col("http_code").cast("bigint").alias("http_code"), F.md5("answer").alias("h")
     )
 
 
+def request_refused(spark, folder):
+    """Every request while no model could be started."""
+    bodies = table(spark, folder, "events").select("event_id", F.col("props").alias("body"))
+    refused = not_ready(bodies, "No AI models were successfully initialized.")
+    return refused.select(
+        "event_id", F.col("http_code").cast("bigint").alias("http_code"), "answer"
+    )
+
+
 _TEMPLATE_SQL = ", ".join(f"({sql_str(i)}, {sql_str(t)})" for i, t in TEMPLATES)
 
 QUERIES = {
@@ -114,26 +198,66 @@ QUERIES = {
         f"""WITH t(prompt_task, template) AS (VALUES {_TEMPLATE_SQL}),
         m AS (SELECT DISTINCT source AS model_key FROM documents
               WHERE lang = 'es' AND source <> 'src3'),
-        q AS (SELECT doc_id, text, source AS model_key, lang,
-          CASE WHEN length(text) < 300 THEN 'refine' WHEN length(text) < 900 THEN 'refine_presentation'
+        q AS (SELECT doc_id, text, CASE WHEN length(text) % 13 <> 0 THEN source END AS model_key, lang,
+          CASE WHEN length(text) % 17 = 0 THEN '' WHEN length(text) < 300 THEN 'refine'
+            WHEN length(text) < 900 THEN 'refine_presentation'
             WHEN length(text) < 1500 THEN 'summarise' ELSE 'auto_translate' END AS task_id
           FROM documents),
         r AS (SELECT *, CASE WHEN task_id <> 'auto_translate' THEN task_id
           WHEN lang = 'de' THEN 'zh_to_en' WHEN lang = 'en' THEN 'en_to_zh' ELSE 'refine' END
           AS prompt_task FROM q),
-        e AS (SELECT r.doc_id, r.task_id, r.model_key, CASE
+        w AS (SELECT r.doc_id, r.task_id, r.model_key, CASE
+            WHEN r.model_key IS NULL THEN 'No model selected' WHEN task_id = '' THEN 'No task selected'
             WHEN m.model_key IS NULL THEN 'Model ''' || r.model_key || ''' not found'
-            WHEN template IS NULL THEN 'Prompt for task ''' || task_id || ''' not found'
-            WHEN contains(text, '$$$') THEN 'API rate limit or quota exceeded. Please wait and try again, or select a different model.'
-            WHEN contains(text, '&&&') THEN 'An unexpected error occurred: cannot read this' END AS error,
-            '[' || r.model_key || '] ' || replace(template, '{{user_text}}', text) AS result
-          FROM r LEFT JOIN m ON m.model_key = r.model_key LEFT JOIN t ON t.prompt_task = r.prompt_task)
-        SELECT doc_id, error IS NOT NULL AS is_error,
+            WHEN template IS NULL THEN 'Prompt for task ''' || task_id || ''' not found' END AS wrong,
+            r.model_key IS NULL OR task_id = '' AS unselected,
+            replace(template, '{{user_text}}', text) AS prompt
+          FROM r LEFT JOIN m ON m.model_key = r.model_key LEFT JOIN t ON t.prompt_task = r.prompt_task),
+        k AS (SELECT *, CASE WHEN wrong IS NULL AND contains(prompt, '$$$')
+            THEN length(prompt) % 5 END AS kind FROM w),
+        e AS (SELECT *, coalesce(wrong, CASE kind
+            WHEN 0 THEN 'Google API quota exceeded. Please wait and try again, or select a different model.'
+            WHEN 1 THEN 'API error with ' || model_key || ': no answer'
+            WHEN 2 THEN 'An unexpected error occurred: the model answered with NoneType, not text'
+            WHEN 3 THEN 'API rate limit or quota exceeded. Please wait and try again, or select a different model.'
+            WHEN 4 THEN 'An unexpected error occurred: cannot read this' END) AS error,
+            CASE kind WHEN 0 THEN 'quota' WHEN 1 THEN 'api' WHEN 2 THEN 'other' WHEN 3 THEN 'other'
+              WHEN 4 THEN 'other' END AS error_type,
+            '[' || model_key || '] ' || prompt AS result FROM k)
+        SELECT doc_id, error IS NOT NULL AS is_error, error_type,
           CASE WHEN error IS NULL THEN md5(result) END AS h,
-          md5(CASE WHEN error IS NULL THEN result
-            ELSE 'Error: Processing error in task ''' || task_id || ''': ' || error END) AS message_h
+          md5(CASE WHEN error IS NULL THEN result ELSE 'Error: Processing error in task '''
+            || CASE WHEN unselected THEN 'unknown' ELSE task_id END || ''': ' || error END) AS message_h
         FROM e""",
     ),
+    "task_breaker": (
+        task_breaker,
+        """WITH d AS (SELECT source AS model_key, row_number() OVER (PARTITION BY source) AS k
+            FROM documents),
+        c AS (SELECT model_key, CASE WHEN model_key NOT IN ('src0', 'src1') THEN NULL
+            WHEN k <= 3 THEN 'other' ELSE 'rejected' END AS error_type FROM d)
+        SELECT model_key, error_type, CASE error_type
+            WHEN 'other' THEN 'An unexpected error occurred: dead'
+            WHEN 'rejected' THEN 'API error with ' || model_key || ': Circuit breaker is open for '''
+              || model_key || '''. The model has failed repeatedly and is temporarily unavailable.'
+            END AS error, count(*) AS n FROM c GROUP BY model_key, error_type""",
+    ),
+    "task_sessions": (
+        task_sessions,
+        """WITH t AS (SELECT conv_id, turn, CASE WHEN length(text) < 300 THEN 'short' ELSE 'long' END AS task,
+            CASE WHEN NOT contains(text, '$$$') AND NOT contains(text, '&&&')
+              THEN '[m] ' || text END AS result FROM conversations),
+        b AS (SELECT *, lag(result) OVER w AS pr, lag(task) OVER w AS pt FROM t
+              WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+        SELECT conv_id, turn, md5(pr) AS h, pr IS NOT NULL AND pt = task AS can_use_previous,
+          sum(CASE WHEN pr IS NOT NULL AND pt = task THEN 0 ELSE 1 END)
+            OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS chain_no FROM b""",
+    ),
+    "request_refused": (
+        request_refused,
+        """SELECT event_id, 503::BIGINT AS http_code,
+          '{"ok":false,"error":"No AI models were successfully initialized."}' AS answer FROM events""",
+    ),
     "request_answers": (
         request_answers,
         f"""WITH t(prompt_task, template) AS (VALUES {_TEMPLATE_SQL}),

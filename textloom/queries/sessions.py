@@ -8,7 +8,7 @@ from textloom.operators.sessions import chain_summary, previous_results, refinem
 from textloom.queries.common import sql_strip, table
 from textloom.sources.texts import text_lines
 from textloom.streaming.breaker import replay_stream
-from textloom.streaming.lines import assemble_stream
+from textloom.streaming.lines import assemble_to_the_end
 from textloom.streaming.run import drain, files_stream
 
 DAY = 86_400.0
@@ -25,6 +25,7 @@ def _turns(spark, folder):
         F.when(n >= 60, F.md5("text")).alias("result"),
         (n < 60).alias("is_error"),
         (F.col("role") != "system").alias("processed"),
+        (n % 7 != 0).alias("goes_on"),
     )
 
 
@@ -37,8 +38,15 @@ def prev_reuse(spark, folder):
         F.col("result"),
         F.col("is_error"),
         F.col("processed"),
+        F.col("goes_on"),
     ).select(
-        "conv_id", "turn", "previous_result", "can_use_previous", "after_error", "can_continue"
+        "conv_id",
+        "turn",
+        "previous_result",
+        "can_use_previous",
+        "offer_previous",
+        "after_error",
+        "can_continue",
     )
 
 
@@ -108,14 +116,13 @@ def line_stream(spark, folder):
     schema = table(spark, folder, "conversations").schema
     turns = files_stream(spark, folder, schema, pathGlobFilter="conversations.parquet")
     lines = _words_as_lines(turns)
-    stream = assemble_stream(lines, ["conv_id"], ["turn", "line_no"], "line", END, page_lines=25)
-    texts = drain(stream, "line-stream")
+    texts = assemble_to_the_end(lines, ["conv_id"], ["turn", "line_no"], "line", END, page_lines=25)
     return texts.select("conv_id", "page", "n_lines", F.md5("text").alias("h"))
 
 
 _TURNS_SQL = """SELECT conv_id, turn, CASE WHEN length(text) < 300 THEN 'short' ELSE 'long' END AS task,
     CASE WHEN length(text) >= 60 THEN md5(text) END AS result, length(text) < 60 AS is_error,
-    role <> 'system' AS processed FROM conversations"""
+    role <> 'system' AS processed, length(text) % 7 <> 0 AS goes_on FROM conversations"""
 
 
 
@@ -147,8 +154,7 @@ def _breaker_sql(key: str, failed: str, recovery_us: int) -> str:
 _BREAKER_SQL = _breaker_sql("user_id", "event_type = 'error'", 86_400_000_000)
 
 
-def _lines_sql(all_pages: bool) -> str:
-    """The stream holds back the last page of a session whose end it has not seen."""
+def _lines_sql() -> str:
     blank = sql_strip("line")
     lines = "string_split(replace(text, ' ', chr(10)), chr(10))"
     return f"""WITH l AS (SELECT conv_id, turn, unnest({lines}) AS line,
@@ -166,20 +172,20 @@ def _lines_sql(all_pages: bool) -> str:
           FROM k JOIN b ON b.conv_id = k.conv_id AND k.rn BETWEEN f AND t),
         p AS (SELECT conv_id, (place // 25)::BIGINT AS page, count(*) AS n_lines,
           md5(string_agg(line, chr(10) ORDER BY rn)) AS h FROM i GROUP BY 1, 2)
-        SELECT conv_id, page, n_lines, h FROM p
-        WHERE {str(all_pages).lower()} OR conv_id IN (SELECT conv_id FROM e)
-          OR (conv_id, page) NOT IN (SELECT conv_id, max(page) FROM p GROUP BY conv_id)"""
+        SELECT conv_id, page, n_lines, h FROM p"""
 
 
 QUERIES = {
     "prev_reuse": (
         prev_reuse,
         f"""WITH t AS ({_TURNS_SQL}),
-        p AS (SELECT *, last_value(CASE WHEN processed THEN {{'r': result, 't': task, 'e': is_error}} END
+        p AS (SELECT *, last_value(CASE WHEN NOT goes_on THEN {{'r': NULL, 't': NULL, 'e': false}}
+              WHEN processed THEN {{'r': result, 't': task, 'e': is_error}} END
             IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM t)
         SELECT conv_id, turn, b.r AS previous_result,
           coalesce(b.r IS NOT NULL AND b.t = task, false) AS can_use_previous,
+          coalesce(b.r IS NOT NULL AND b.t = task, false) AND b.r <> '' AS offer_previous,
           coalesce(b.e, false) AS after_error, result IS NOT NULL AS can_continue FROM p""",
     ),
     "refine_chains": (
@@ -199,6 +205,6 @@ QUERIES = {
         _breaker_sql("event_type", "value > 20", 3_600_000_000),
     ),
     "breaker_stream": (breaker_stream, _BREAKER_SQL),
-    "line_assembly": (line_assembly, _lines_sql(True)),
-    "line_stream": (line_stream, _lines_sql(False)),
+    "line_assembly": (line_assembly, _lines_sql()),
+    "line_stream": (line_stream, _lines_sql()),
 }

@@ -21,8 +21,12 @@ def text_scan(spark, folder):
 
 
 def json_decode(spark, folder):
-    body = F.when(F.col("event_type") == "error", F.substring("props", 1, 4)).otherwise(
-        F.col("props")
+    kind = F.col("event_type")
+    body = (
+        F.when(kind == "error", F.substring("props", 1, 4))
+        .when(kind == "view", F.replace("props", F.lit('"'), F.lit("'")))
+        .when(kind == "purchase", F.concat("props", F.lit("] junk")))
+        .otherwise(F.col("props"))
     )
     events = table(spark, folder, "events").select("event_id", body.alias("body"))
     return decode_requests(events, "body", ("k", "missing")).select("event_id", "k", "missing")
@@ -31,9 +35,8 @@ def json_decode(spark, folder):
 def result_envelope(spark, folder):
     docs = table(spark, folder, "documents")
     error = F.when(F.length("text") < 200, F.concat(F.lit("too short: "), F.col("text")))
-    answer = envelope(
-        F.col("text"), error, F.concat(F.lit("m/"), F.col("source")), F.lit("Refine")
-    )
+    result = F.when(F.length("text") <= 5000, F.col("text"))  # no result for the longest
+    answer = envelope(result, error, F.concat(F.lit("m/"), F.col("source")), F.lit("Refine"))
     return docs.select(
         "doc_id", F.md5(answer).alias("h"), F.length(answer).cast("bigint").alias("n")
     )
@@ -188,16 +191,17 @@ QUERIES = {
         """SELECT event_id,
           CASE WHEN json_valid(b) THEN coalesce(json_extract_string(b, '$.k'), '') ELSE '' END AS k,
           '' AS missing
-        FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN substr(props, 1, 4)
-                                    ELSE props END AS b FROM events)""",
+        FROM (SELECT event_id, CASE event_type WHEN 'error' THEN substr(props, 1, 4)
+            WHEN 'view' THEN replace(props, '"', '')
+            WHEN 'purchase' THEN props || '] junk' ELSE props END AS b FROM events)""",
     ),
     "result_envelope": (
         result_envelope,
         """SELECT doc_id, md5(j) AS h, length(j)::BIGINT AS n FROM (
           SELECT doc_id, CASE WHEN length(text) < 200
             THEN to_json({'ok': false, 'error': 'too short: ' || text})::VARCHAR
-            ELSE to_json({'ok': true, 'result': text, 'model': 'm/' || source,
-                          'task': 'Refine'})::VARCHAR END AS j
+            ELSE to_json({'ok': true, 'result': CASE WHEN length(text) <= 5000 THEN text END,
+                          'model': 'm/' || source, 'task': 'Refine'})::VARCHAR END AS j
           FROM documents)""",
     ),
     "uni_strip": (

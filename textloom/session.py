@@ -1,6 +1,8 @@
 """Session settings and the shared folder for cut lineage."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,11 @@ def local_session(cpus: str | int = 8, app: str = "textloom", memory: str = "8g"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local session without one gets its own."""
+    """The folder named by spark.checkpoint.dir.
+
+    A session on one machine without that setting gets a folder of its own, which
+    goes when the program ends; on a cluster of any kind the setting is needed.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -31,9 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         named = context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -44,14 +51,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there.
+def written(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Write ``df`` as parquet to the shared folder and go on from there.
 
-    Survives lost executors, and freezes values such as row positions that a
-    second evaluation could number differently.
+    Survives lost executors, freezes values such as row positions that a second
+    evaluation could number differently, and keeps a caller's function from
+    being run again by a second reader.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -63,15 +63,13 @@ def kept_snapshots(
     ttl_seconds: int = fixed.SNAPSHOT_TTL_SECONDS,
     forced: bool = False,
 ) -> DataFrame:
-    """Latest snapshot per key and whether it is still good.
+    """Latest snapshot per key, of equally late ones the greatest, and whether it is still good.
 
     Good means not empty and strictly younger than the limit; ``forced``
     refreshes all of them.
     """
-    latest = df.groupBy(key).agg(
-        F.max(fetched_at).alias("fetched_at"),
-        F.max_by(payload, F.col(fetched_at)).alias("payload"),
-    )
+    newest = F.max(F.struct(F.col(fetched_at).alias("fetched_at"), payload.alias("payload")))
+    latest = df.groupBy(key).agg(newest.alias("_newest")).select(key, "_newest.*")
     age = (
         F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))
     )

@@ -21,7 +21,8 @@ def envelope(result: Column, error: Column, model: Column, task: Column) -> Colu
             result.alias("result"),
             model.alias("model"),
             task.alias("task"),
-        )
+        ),
+        {"ignoreNullFields": "false"},
     )
     bad = F.to_json(F.struct(F.lit(False).alias("ok"), error.alias("error")))
     return F.when(error.isNull(), good).otherwise(bad)

@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from textloom.functions import text as T
 
 REQUEST_FIELDS = ("model", "task_key", "text")
+STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 
 
 def non_blank(df: DataFrame, text: str = "text") -> DataFrame:
@@ -30,12 +31,25 @@ def read_texts(
     return non_blank(df, text)
 
 
+def is_json(body: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it.
+
+    The parser stops where a value ends, so the text is read as the first of
+    two items of a list, of which the second is known.
+    """
+    mark = F.md5(body)
+    listed = F.concat(F.lit("["), body, F.lit(',"'), mark, F.lit('"]'))
+    items = F.from_json(listed, "array<string>", STRICT)
+    return F.coalesce((F.size(items) == 2) & (F.get(items, 1) == mark), F.lit(False))
+
+
 def decode_requests(
     df: DataFrame, body: str = "body", fields: Sequence[str] = REQUEST_FIELDS
 ) -> DataFrame:
-    """Fields of a JSON body, stripped; broken JSON and missing fields give empty strings."""
+    """Fields of a JSON body, stripped; what is not one JSON value, and missing fields, give empty strings."""
     schema = StructType([StructField(f, StringType()) for f in fields])
-    parsed = df.withColumn("_request", F.from_json(F.col(body), schema, {"mode": "PERMISSIVE"}))
+    request = F.from_json(F.col(body), schema, STRICT)
+    parsed = df.withColumn("_request", F.when(is_json(F.col(body)), request))
     clean = {f: T.strip(F.coalesce(F.col(f"_request.{f}"), F.lit(""))) for f in fields}
     return parsed.withColumns(clean).drop("_request")
 
