@@ -98,13 +98,11 @@ def spliced(
     return out
 
 
-class Cache(dict):
-    """Starts anew when full, so that a worker's memory stays bounded."""
-
-    def take(self, words: list, found: list) -> None:
-        if len(self) + len(words) > CACHE_WORDS:
-            self.clear()
-        self.update(zip(words, found, strict=True))
+def remember(known: dict, words: list, found: list) -> None:
+    """Add what was found for words; starts anew when full, so that a worker's memory stays bounded."""
+    if len(known) + len(words) > CACHE_WORDS:
+        known.clear()
+    known.update(zip(words, found, strict=True))
 
 
 def _by_word(tokenizer, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +135,7 @@ class TokenCounter:
             and not pre["add_prefix_space"]
         )
         self.special = special_strings(self.tokenizer)
-        self.known = Cache()
+        self.known: dict = {}  # a plain one: sets leave out its keys without going through it
 
     def _whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False))
@@ -151,7 +149,7 @@ class TokenCounter:
             _, place = _by_word(self.tokenizer, part, " ")
             counts += np.bincount(place, minlength=len(part)).tolist()
         odd = [w for w in new if not (w and w == w.strip() and len(w) <= LONGEST_WORD)]
-        self.known.take(plain + odd, counts + [self._whole(f" {w}") for w in odd])
+        remember(self.known, plain + odd, counts + [self._whole(f" {w}") for w in odd])
 
     def counts(self, texts: list[bytes]) -> list[int]:
         out, split = [0] * len(texts), []
@@ -203,7 +201,7 @@ class IdEncoder:
         )
         self.special = [s.lower().encode() for s in special_strings(self.tokenizer)]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known = Cache()
+        self.known: dict = {}  # a plain one: sets leave out its keys without going through it
 
     def _whole(self, text: bytes) -> bytes:
         found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
@@ -220,7 +218,7 @@ class IdEncoder:
             raw = ids.astype("<u4").tobytes()
             found += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         long = [w for w in new if len(w) > LONGEST_WORD]
-        self.known.take(short + long, found + [self._whole(w) for w in long])
+        remember(self.known, short + long, found + [self._whole(w) for w in long])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
