@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -125,3 +126,12 @@ def test_large_key_equals_small_one(spark, folder):
     ]
     assert both[0] == both[1]
     assert {r[3] for r in both[0]} == {"closed", "open", "half-open"} or len(both[0]) == 1000
+
+
+@pytest.mark.parametrize("fails", [lambda i: True, lambda i: i % 2 == 0, lambda i: i % 7 < 3])
+def test_summaries_of_long_chunks_stay_small(fails):
+    """A chunk has runs for the calls of its first recovery time only."""
+    minute, n = 60_000_000, 20_000
+    at = [i * 1_000_000 for i in range(n)]  # a call each second
+    _, closing, runs = B.chunk_exits(at, [fails(i) for i in range(n)], 3, minute)
+    assert len(closing) <= 3 and len(runs) <= 62

@@ -96,7 +96,7 @@ def by_letter(word):
 def test_grams(spark, length):
     word = "".join(chr(ord("a") + (i * i) % 26) if i % 5 else "汉" for i in range(length))
     texts = spark.createDataFrame([(f"{word}, 12 x",)], "t string")
-    got = sorted(r.gram for r in langid.grams(texts, F.col("t")).collect())
+    got = sorted(r.gram for r in langid.grams(langid.words(texts, F.col("t"))).collect())
     assert got == sorted(by_letter(word) + by_letter("x"))
 
 
@@ -141,6 +141,18 @@ def test_langid(spark, monkeypatch, profile_rows):
     assert got[6] in profile.languages
 
 
+def test_many_languages(spark):
+    """Each of 600 languages has a letter of its own."""
+    taught = [(chr(0x4E00 + k) * 3 + " ab", f"l{k:03d}") for k in range(600)]
+    profile = langid.fit(spark.createDataFrame(taught, "text string, lang string"))
+    assert len(profile.languages) == 600
+    texts = [(k, chr(0x4E00 + k)) for k in range(0, 600, 37)] + [(1000, "zzz")]
+    found = langid.detect(spark.createDataFrame(texts, "i int, text string"), profile, "i")
+    got = {r.i: r.detected for r in found.collect()}
+    assert got.pop(1000) == "l000"  # all languages are alike for it
+    assert got == {k: f"l{k:03d}" for k in got}
+
+
 def test_langid_without_languages(spark):
     nothing = langid.fit(spark.createDataFrame([("x", None)], "text string, lang string"))
     texts = spark.createDataFrame([(1, "the dog")], "i int, text string")

@@ -136,6 +136,10 @@ def chunk_exits(at: list[int], failed: list[bool], threshold: int, recovery: int
     Returns the number of failures in it, the exits for a closed breaker that
     opens inside it by failures still missing (1, 2, …), and for an open
     breaker the exits by the first call let through, as (time, exit) runs.
+
+    An open breaker last failed before the chunk, so it lets a call through no
+    later than the first one beyond the recovery time after the chunk's start:
+    there are runs up to that call only, however long the chunk is.
     """
     n = len(at)
     failures = [i for i in range(n) if failed[i]]
@@ -163,7 +167,8 @@ def chunk_exits(at: list[int], failed: list[bool], threshold: int, recovery: int
             probed[i] = closed_from(seen, threshold)
     closing = [closed_from(0, missing) for missing in range(1, min(threshold, total) + 1)]
     runs: list[tuple] = []
-    for time, exit_ in zip(at, probed):
+    reach = bisect_right(at, at[0] + recovery) + 1 if at else 0
+    for time, exit_ in zip(at[:reach], probed):
         if runs and runs[-1][1] == exit_:
             runs[-1] = (time, exit_)
         else:

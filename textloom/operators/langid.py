@@ -1,11 +1,11 @@
 """Language identification by naive Bayes over character 1- to 3-grams.
 
-Grams are counted where the text lies: a task adds its grams up before
-anything is shuffled, so what moves grows with the number of distinct grams
-(learning) or of texts (scoring), never with the length of the texts.  The
-learned table is broadcast when its size allows it.  Log-probabilities are
-held as whole millionths, so sums come out the same in whatever order Spark
-adds them.
+Words are counted first, per language to learn and per text to score, and only
+the grams of distinct words are ever made: a word's score in each language is
+worked out once, however many texts hold it.  Tasks add up before anything is
+shuffled.  The learned table has a row per gram and language, so any number of
+languages will do.  Log-probabilities are held as whole millionths, so sums
+come out the same in whatever order Spark adds them.
 """
 
 from collections.abc import Sequence
@@ -14,14 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom import fixed
-from textloom.operators.lookup import fits_broadcast, lookup_join
+from textloom.operators.lookup import lookup_join, reference_table
 from textloom.session import written
 
 SCALE = 1_000_000
-MAX_LANGUAGES = 500
 PIECE = 256
 PROFILE_ROWS = 2_000_000
-PROFILE_BYTES = 256 << 20
 
 
 def words(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
@@ -30,15 +28,14 @@ def words(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
     return df.select(*keep, found).where(F.col("_word") != "")
 
 
-def grams(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
-    """Three rows per letter: itself, with the one after it, and with both its neighbours.
+def grams(found: DataFrame) -> DataFrame:
+    """Three rows per letter of ``_word``: itself, with the one after it, and with both neighbours.
 
     A blank stands before and after each word.  Finding a place in a string
     takes longer the further in it lies, so words without end, such as
     letters run together by accident, are looked at in overlapping pieces.
     """
-    found = words(df, text, *keep)
-    names = [c for c in found.columns if c != "_word"]
+    names = found.columns
     padded = F.concat(F.lit(" "), F.col("_word"), F.lit(" "))
     cut = F.lit(f"(?s)(?=(.{{1,{PIECE + 2}}})).{{1,{PIECE}}}")
     pieces = F.when(F.length("_word") <= PIECE, F.array(padded)).otherwise(
@@ -59,7 +56,11 @@ def grams(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
 
 @dataclass
 class LanguageProfile:
-    """Log-probabilities of grams: table (gram, lp_0, lp_1, …) and the value of an unseen gram."""
+    """What a gram adds in a language that has it: table (gram, lang, gain) over ``unseen``.
+
+    ``languages`` are in order; ``unseen`` is the log-probability of a gram that a
+    language has never shown.
+    """
 
     languages: list[str]
     table: DataFrame
@@ -70,71 +71,90 @@ def fit(
     df: DataFrame, text: str = "text", lang: str = "lang", languages: Sequence[str] | None = None
 ) -> LanguageProfile:
     """Count grams per language over all labelled texts of ``df`` and take logarithms."""
-    if languages is None:
-        found = df.where(F.col(lang).isNotNull()).select(lang).distinct()
-        languages = sorted(r[0] for r in found.limit(MAX_LANGUAGES + 1).collect())
-        if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = list(languages)
-    if not languages:
-        return LanguageProfile([], df.sparkSession.createDataFrame([], "gram string"), [])
-    n = [f"n_{i}" for i in range(len(languages))]
-    labelled = df.where(F.col(lang).isin(languages))
+    labelled = df.where(F.col(lang).isNotNull())
+    if languages is not None:
+        labelled = labelled.where(F.col(lang).isin(list(languages)))
+    n = F.count(F.lit(1)).alias("_n")
+    by_word = words(labelled, F.col(text), F.col(lang).alias("lang")).groupBy("lang", "_word").agg(n)
     counted = written(
-        grams(labelled, F.col(text), F.col(lang).alias("_lang"))
-        .groupBy("gram")
-        .agg(
-            *[
-                F.count(F.when(F.col("_lang") == code, 1)).alias(name)
-                for code, name in zip(languages, n)
-            ]
-        )
+        grams(by_word).groupBy("lang", "gram").agg(F.sum("_n").alias("n")), "gram-counts"
+    )
+    size = counted.select("gram").distinct().count()
+    sums = dict(counted.groupBy("lang").agg(F.sum("n")).collect())  # a row per language
+    found = sorted(sums if languages is None else languages)
+    totals = reference_table(
+        df.sparkSession,
+        [(code, float(sums.get(code, 0) + size)) for code in found if sums.get(code, 0) + size],
+        {"lang": "string", "total": "float64"},
     )
-    sums = counted.agg(F.count(F.lit(1)).alias("size"), *[F.sum(c).alias(c) for c in n]).first()
-    totals = [float((sums[c] or 0) + sums["size"]) for c in n]
 
-    def log_probability(count: Column, total: float) -> Column:
-        share = (count + 1).cast("double") / F.lit(total)
+    def log_probability(count: Column) -> Column:
+        share = (count + 1).cast("double") / F.col("total")
         return F.round(F.log(share) * F.lit(float(SCALE))).cast("bigint")
 
-    table = counted.select(
-        "gram",
-        *[log_probability(F.col(c), totals[i]).alias(f"lp_{i}") for i, c in enumerate(n)],
+    none = log_probability(F.lit(0))
+    unseen = dict(totals.select("lang", none).collect())
+    table = lookup_join(counted, totals, ["lang"]).select(
+        "gram", "lang", (log_probability(F.col("n")) - none).alias("gain")
     )
-    unseen = [0] * len(n)
-    if sums["size"]:
-        zero = [log_probability(F.lit(0), t).alias(f"u_{i}") for i, t in enumerate(totals)]
-        unseen = list(counted.limit(1).select(*zero).first())
-    return LanguageProfile(languages, table, unseen)
+    return LanguageProfile(found, table, [unseen.get(code, 0) for code in found])
 
 
 def score(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text") -> DataFrame:
     """(id, detected, log_score) of each text that has letters.  Of equals the first language wins.
 
-    With a profile too large to broadcast, each text's grams are counted
-    before they are shuffled to it.
+    Texts of one id count as one text.
     """
-    n = range(len(profile.languages))
-    found = grams(df, F.col(text), F.col(id_))
-    if fits_broadcast(profile.table, PROFILE_ROWS, PROFILE_BYTES):
-        once = found.withColumn("_times", F.lit(1).cast("bigint"))
-        known = once.join(F.broadcast(profile.table), "gram", "left")
-    else:
-        counted = found.groupBy(id_, "gram").agg(F.count(F.lit(1)).alias("_times"))
-        known = lookup_join(counted, profile.table, ["gram"], max_rows=PROFILE_ROWS)
-    sums = known.groupBy(id_).agg(
-        *[
-            F.sum(F.col("_times") * F.coalesce(F.col(f"lp_{i}"), F.lit(profile.unseen[i]))).alias(
-                f"s_{i}"
-            )
-            for i in n
-        ]
+    times = F.count(F.lit(1)).alias("_times")
+    by_text = words(df, F.col(text), F.col(id_)).groupBy(id_, "_word").agg(times)
+    by_text = written(by_text, "text-words")
+    each = grams(by_text.select("_word").distinct()).groupBy("_word", "gram").agg(
+        F.count(F.lit(1)).alias("_often")
+    )
+    known = lookup_join(each, profile.table, ["gram"], max_rows=PROFILE_ROWS)
+    gains = (
+        known.where("lang is not null")
+        .groupBy("_word", "lang")
+        .agg(F.sum(F.col("_often") * F.col("gain")).alias("gain"))
+    )
+    # Three grams per letter: the row without a language says how many a word has.
+    letters = by_text.select("_word").distinct().select(
+        "_word", F.lit(None).cast("string").alias("lang"), (F.length("_word") * 3).cast("bigint").alias("gain")
+    )
+    listed = F.collect_list(F.struct("lang", "gain")).alias("_gains")
+    by_word = gains.unionByName(letters).groupBy("_word").agg(listed)
+    sums = (
+        by_text.join(by_word, "_word")
+        .select(id_, "_times", F.explode("_gains").alias("_g"))
+        .groupBy(id_, F.col("_g.lang").alias("lang"))
+        .agg(F.sum(F.col("_times") * F.col("_g.gain")).alias("_sum"))
+    )
+    rows = [(code, u, -k) for k, (code, u) in enumerate(zip(profile.languages, profile.unseen))]
+    # A language that has none of a text's grams can only win by the highest value of an unseen one.
+    best = max(rows, key=lambda r: (r[1], r[2]))
+    table = reference_table(
+        df.sparkSession, rows, {"lang": "string", "_unseen": "int64", "_place": "int64"}
+    )
+    total = F.max(F.when(F.col("lang").isNull(), F.col("_sum"))).alias("_total")
+    known = F.collect_list(
+        F.when(F.col("lang").isNotNull(), F.struct("_sum", "_unseen", "_place", "lang"))
+    ).alias("_known")
+    per_text = lookup_join(sums, table, ["lang"]).groupBy(id_).agg(total, known)
+
+    def candidate(sum_: Column, unseen: Column, place: Column, lang: Column) -> Column:
+        return F.struct(
+            (sum_ + F.col("_total") * unseen).alias("s"), place.alias("place"), lang.alias("lang")
+        )
+
+    zero = F.lit(0).cast("bigint")
+    fallback = candidate(zero, F.lit(best[1]).cast("bigint"), F.lit(best[2]).cast("bigint"), F.lit(best[0]))
+    others = F.transform(
+        "_known", lambda g: candidate(g["_sum"], g["_unseen"], g["_place"], g["lang"])
     )
-    best = F.array_max(F.array(*[f"s_{i}" for i in n]))
-    winner = F.coalesce(
-        *[F.when(F.col(f"s_{i}") == best, code) for i, code in enumerate(profile.languages)]
+    winner = F.greatest(F.coalesce(F.array_max(others), fallback), fallback)
+    return per_text.select(id_, winner.alias("_w")).select(
+        id_, F.col("_w.lang").alias("detected"), F.col("_w.s").alias("log_score")
     )
-    return sums.select(id_, winner.alias("detected"), best.cast("bigint").alias("log_score"))
 
 
 def detect(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text") -> DataFrame:

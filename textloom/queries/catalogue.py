@@ -159,6 +159,24 @@ def _listing(spark, folder):
     )
 
 
+def snapshot_cases(spark, folder):
+    """Parts with four-digit dates, words after them, equal dates and repeated ids."""
+    size = F.col("p_size")
+    digits = F.lpad((size * 37 % 12 + 1).cast("string"), 4, "0")
+    tail = (
+        F.when(size % 4 == 0, "")
+        .when(size % 4 == 1, F.concat(F.lit("-"), digits))
+        .when(size % 4 == 2, F.concat(F.lit("-"), digits, F.lit("-preview")))
+        .otherwise(F.concat(F.lit("-2024-05-"), F.lpad((size % 28 + 1).cast("string"), 2, "0")))
+    )
+    rows = table(spark, folder, "part").select(
+        F.col("p_brand").alias("provider"),
+        F.concat(F.col("p_type"), F.when(size % 4 == 0, (size % 3).cast("string")).otherwise(""), tail).alias("id"),
+        F.col("p_partkey").alias("seq"),
+    )
+    return latest_snapshots(rows, "id", ["provider"], "seq")
+
+
 def catalogue(spark, folder):
     return curate(_listing(spark, folder), **_RULES)
 
@@ -372,6 +390,21 @@ QUERIES = {
         SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY base ORDER BY dt DESC, id DESC) AS rn
                         FROM d WHERE dt <> '' AND base NOT IN (SELECT id FROM i)) WHERE rn = 1""",
     ),
+    "snapshot_cases": (
+        snapshot_cases,
+        r"""WITH i AS (SELECT p_brand AS provider, p_partkey AS seq, p_size AS s,
+            lpad((p_size * 37 % 12 + 1)::VARCHAR, 4, '0') AS dd, p_type FROM part),
+        r AS (SELECT provider, seq, p_type || CASE s % 4 WHEN 0 THEN (s % 3)::VARCHAR
+            WHEN 1 THEN '-' || dd WHEN 2 THEN '-' || dd || '-preview'
+            ELSE '-2024-05-' || lpad((s % 28 + 1)::VARCHAR, 2, '0') END AS id FROM i),
+        d AS (SELECT *, regexp_extract(id, '-(\d{4}-\d{2}-\d{2}|\d{4})(?:-[a-z]+)?$', 1) AS dt,
+          regexp_replace(id, '-(\d{4}-\d{2}-\d{2}|\d{4})(?:-[a-z]+)?$', '') AS base FROM r)
+        SELECT provider, id, seq FROM d WHERE dt = ''
+        UNION ALL
+        SELECT provider, id, seq FROM (SELECT *, row_number() OVER (
+            PARTITION BY provider, base ORDER BY dt DESC, seq) AS rn FROM d WHERE dt <> ''
+            AND NOT EXISTS (SELECT 1 FROM r WHERE r.provider = d.provider AND r.id = d.base)) WHERE rn = 1""",
+    ),
     "catalogue": (catalogue, f"""{_CATALOGUE_SQL}
         SELECT provider, id, model_key FROM c"""),
     "whole_catalogue": (

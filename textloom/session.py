@@ -62,12 +62,3 @@ def written(df: DataFrame, name: str = "kept") -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input comes in fewer pieces than there are cores.
-
-    A large input has more pieces than cores and stays as it is, unshuffled.
-    Meant for a plain scan, where the number of pieces is known without work.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
