@@ -139,7 +139,7 @@ class Shard:
 
     def documents(self) -> Iterator[np.ndarray]:
         """Ids of one document after the other; a block is unpacked once."""
-        ends = [*self.starts[1:].tolist(), self.n]
+        ends = [*self.starts[1:].tolist(), self.n][: len(self.starts)]
         held, low, k = np.zeros(0, "<u4"), 0, 0
         for start, stop in zip(self.starts.tolist(), ends, strict=True):
             parts = [held[start - low :]]
