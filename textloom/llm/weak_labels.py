@@ -20,7 +20,7 @@ from textloom.llm.common import as_bytes, fresh, sampled, values
 from textloom.llm.statistics import share, text_statistics
 
 #: Buckets of hashed features, and most texts that the scorer is fitted on.
-BUCKETS, SAMPLE_ROWS = 1 << 14, 20_000
+BUCKETS, SAMPLE_ROWS = 1 << 14, 10_000
 #: A text is kept from this score on.
 LEAST_SCORE = 0.5
 #: Words whose features a worker remembers.
@@ -33,8 +33,8 @@ _FEATURES = pa.schema(
         ("crc", pa.int64()),
         ("pattern", pa.int64()),
         ("i", pa.string()),
-        ("place", pa.list_(pa.int64())),
-        ("value", pa.list_(pa.float64())),
+        ("place", pa.binary()),  # unsigned 16-bit integers
+        ("value", pa.binary()),  # 32-bit floats
     ]
 )
 
@@ -209,8 +209,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     """Accuracies from the votes on all texts; the scorer from about ``sample_rows`` of them.
 
     What comes to the driver is a count for each pattern of votes, at most
-    3 ** labellers, and the sample's texts in words that the scorer needs. An
-    empty table gives a model that scores 0.5.
+    3 ** labellers, and for each text of the sample at most six bytes for each of
+    BUCKETS features. An empty table gives a model that scores 0.5.
     """
     stats, own = fresh(docs, "statistics"), fresh(docs, "pattern")
     voted = docs.withColumn(stats, text_statistics(text_col)).withColumn(own, pattern(stats))
@@ -232,15 +232,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
             for k, text in enumerate(values(b.column(1))):
                 made = {"crc": crc32(text), "pattern": b.column(2)[k].as_py(), "i": b.column(0)[k].as_py()}
                 place, value = features(text, known)
-                made |= {"place": place.tolist(), "value": value.tolist()}
+                made |= {"place": place.astype("<u2").tobytes(), "value": value.astype("<f4").tobytes()}
                 yield pa.RecordBatch.from_pylist([made], _FEATURES)
 
     rows = chosen.withColumn("_s", text_statistics("t")).select(
         F.col("i").cast("string").alias("i"), as_bytes("t").alias("t"), pattern("_s").cast("long").alias("p")
     )
-    got = rows.mapInArrow(featured, "crc long, pattern long, i string, place array<long>, value array<double>")
+    got = rows.mapInArrow(featured, "crc long, pattern long, i string, place binary, value binary")
     held = sorted(got.collect(), key=lambda r: (r["i"] or "", r["crc"]))
-    made = [(np.array(r["place"]), np.array(r["value"])) for r in held]
+    made = [(np.frombuffer(r["place"], "<u2"), np.frombuffer(r["value"], "<f4")) for r in held]
     good = np.array([posteriors.get(r["pattern"], 0.5) for r in held])
     return Model(accuracies, train(made, good), posteriors)
 
