@@ -18,7 +18,7 @@ WEIGHTS, SHARE, MOST_PASSES = (3, 1, 2), 1.5, 2
 #: Words in a block.
 BLOCK_WORDS = 256
 #: Documents of a source whose places are worked out together.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 4096
 #: Numbers of the schedule that are made together.
 STRETCH = 1 << 13
 
@@ -173,7 +173,8 @@ def segments(sizes: DataFrame, sources: DataFrame, block_words: int, passes: int
         (F.greatest(start, block * block_words) - start).alias("from_word"),
         (F.least(end, (block + 1) * block_words) - start).alias("to_word"),
     )
-    return cut.join(schedule(sources.select("s", "blocks")), ["s", "block"])
+    # The schedule grows with the words, which Spark can't tell from its small source: never broadcast.
+    return cut.join(schedule(sources.select("s", "blocks")).hint("merge"), ["s", "block"])
 
 
 def mix(
