@@ -33,7 +33,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged, out = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    urls = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged, out = url_filter.judge(urls, URL_RULES)
     return judged.select("page_id", f"{out}.*")
 
 

@@ -67,11 +67,13 @@ def with_rules(urls: DataFrame, rules: DataFrame, host_col: str, path_col: str)
         F.col("verdict").alias("verdict"),
         F.col("_rule_path").alias("path"),
     )
-    by_host = (
+    # Written, so that Spark knows its size, and so that the join may split a host's many urls.
+    by_host = stored(
         hosts.withColumn("_rule_host", F.explode(suffixes(F.col("_host"))))
         .join(listed, "_rule_host")
         .groupBy("_host")
-        .agg(F.array_sort(F.collect_list(order)).alias("_rules"))
+        .agg(F.array_sort(F.collect_list(order)).alias("_rules")),
+        "host-rules",
     )
     out = fresh(urls, "ruled")
     joined = urls.join(by_host, F.col(host_col) == F.col("_host"), "left")
