@@ -66,6 +66,11 @@ LEAST_SCORE, CONTEXT = 0.5, 40
 _SPAN = "array<struct<start:bigint,kind_no:int,stop:bigint,kind:string,score:double>>"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _scan(numbers: Column) -> Column:
     """Sums up to and with each number of a short array."""
     start = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("all"))
@@ -79,38 +84,70 @@ def _scan(numbers: Column) -> Column:
 
 def running_sums(numbers: Column) -> Column:
     """Sums up to and with each number, by stretches of about the square root of their count."""
-    n = F.size(numbers)
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-    places = F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1)
-    part = lambda k: F.slice(numbers, k * step + 1, step)
     zero = F.lit(0).cast("long")
-    totals = F.transform(places, lambda k: F.aggregate(part(k), zero, lambda a, x: a + x))
-    before = F.concat(F.array(zero), _scan(totals))
-    sums = F.flatten(
-        F.transform(places, lambda k: F.transform(_scan(part(k)), lambda x: x + F.get(before, k)))
-    )
-    return F.when(n > 0, sums).otherwise(F.array().cast("array<bigint>"))
+
+    def sums(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        places = F.sequence(F.lit(0), F.ceil(F.size(v) / step).cast("int") - 1)
+        part = lambda k: F.slice(v, k * step + 1, step)
+        totals = F.transform(places, lambda k: F.aggregate(part(k), zero, lambda a, x: a + x))
+        moved = lambda k, by: F.transform(_scan(part(k)), lambda x: x + by)
+        return let(
+            F.concat(F.array(zero), _scan(totals)),
+            lambda before: F.flatten(
+                F.transform(places, lambda k: let(F.get(before, k), lambda by: moved(k, by)))
+            ),
+        )
+
+    none = F.array().cast("array<bigint>")
+    return let(numbers, lambda v: F.when(F.size(v) > 0, sums(v)).otherwise(none))
 
 
 def proposals(text: Column, pattern: str, hint: tuple[str, str]) -> Column:
-    """Matches as (start, stop, value), in code points, leftmost and without overlap.
+    """Matches as (start, stop, value, near), in code points, leftmost and without overlap.
 
-    The text between matches and the matches themselves, in turns, give the places.
+    The text between matches and the matches themselves, in turns, give the places;
+    ``near`` is a match with up to CONTEXT characters of the text on both sides of it.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    both = F.zip_with(
-        F.slice(between, 1, F.size(found)), found, lambda a, b: F.length(a).cast("long") + F.length(b)
-    )
-    spans = F.zip_with(
-        found,
-        running_sums(both),
-        lambda value, stop: F.struct((stop - F.length(value)).alias("start"), stop.alias("stop"), value.alias("value")),
-    )
-    none = F.array().cast("array<struct<start:bigint,stop:bigint,value:string>>")
+
+    def spans(found: Column, between: Column) -> Column:
+        n = F.size(found)
+        sizes = F.zip_with(
+            F.slice(between, 1, n), found, lambda a, b: F.length(a).cast("long") + F.length(b)
+        )
+        around = F.zip_with(
+            F.slice(between, 1, n),
+            F.slice(between, 2, n),
+            lambda a, b: F.struct(F.right(a, F.lit(CONTEXT)).alias("a"), F.left(b, F.lit(CONTEXT)).alias("b")),
+        )
+        placed = F.zip_with(
+            found,
+            running_sums(sizes),
+            lambda value, stop: F.struct(
+                (stop - F.length(value)).alias("start"), stop.alias("stop"), value.alias("value")
+            ),
+        )
+        return F.zip_with(
+            placed,
+            around,
+            lambda s, x: F.struct(
+                s["start"].alias("start"),
+                s["stop"].alias("stop"),
+                s["value"].alias("value"),
+                F.concat(x["a"], s["value"], x["b"]).alias("near"),
+            ),
+        )
+
+    none = F.array().cast("array<struct<start:bigint,stop:bigint,value:string,near:string>>")
     kind, what = hint
     there = F.contains(text, F.lit(what)) if kind == "contains" else F.rlike(text, F.lit(what))
-    return F.when(there, F.when(F.size(found) > 0, spans).otherwise(none)).otherwise(none)
+    matched = let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda found: F.when(
+            F.size(found) > 0, let(F.split(text, pattern, -1), lambda between: spans(found, between))
+        ).otherwise(none),
+    )
+    return F.when(there, matched).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -174,9 +211,8 @@ def further_spans(text: Column, name: str) -> Column:
     kind, pattern, score, words, more = FURTHER[name]
 
     def scored(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        near = F.lower(F.substr(text, (first + 1).cast("int"), (s["stop"] - first + CONTEXT).cast("int")))
-        return F.least(F.lit(score) + F.when(F.rlike(near, F.lit(words)), more).otherwise(0.0), F.lit(1.0))
+        bonus = F.when(F.rlike(F.lower(s["near"]), F.lit(words)), more).otherwise(0.0)
+        return F.least(F.lit(score) + bonus, F.lit(1.0))
 
     found = F.filter(proposals(text, pattern, _HINTS[name]), lambda s: confirmed(kind, s["value"]))
     return F.filter(_spans(found, kind, scored), lambda s: s["score"] >= LEAST_SCORE)
