@@ -108,51 +108,36 @@ def score(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text")
     times = F.count(F.lit(1)).alias("_times")
     by_text = words(df, F.col(text), F.col(id_)).groupBy(id_, "_word").agg(times)
     by_text = written(by_text, "text-words")
-    each = grams(by_text.select("_word").distinct()).groupBy("_word", "gram").agg(
-        F.count(F.lit(1)).alias("_often")
+    gains = [f"_g_{k}" for k in range(len(profile.languages))]
+    # A row per gram with a value per language, so that a gram is looked up once for all of them
+    wide = profile.table.groupBy("gram").agg(
+        *[
+            F.max(F.when(F.col("lang") == code, F.col("gain"))).alias(g)
+            for code, g in zip(profile.languages, gains)
+        ]
     )
-    known = lookup_join(each, profile.table, ["gram"], max_rows=PROFILE_ROWS)
-    gains = (
-        known.where("lang is not null")
-        .groupBy("_word", "lang")
-        .agg(F.sum(F.col("_often") * F.col("gain")).alias("gain"))
-    )
-    # Three grams per letter: the row without a language says how many a word has.
-    letters = by_text.select("_word").distinct().select(
-        "_word", F.lit(None).cast("string").alias("lang"), (F.length("_word") * 3).cast("bigint").alias("gain")
-    )
-    listed = F.collect_list(F.struct("lang", "gain")).alias("_gains")
-    by_word = gains.unionByName(letters).groupBy("_word").agg(listed)
+    each = grams(by_text.select("_word").distinct())
+    known = lookup_join(each, written(wide, "gram-gains"), ["gram"], max_rows=PROFILE_ROWS)
+    by_word = known.groupBy("_word").agg(*[F.sum(F.coalesce(g, F.lit(0))).alias(g) for g in gains])
+    often = F.col("_times")
     sums = (
         by_text.join(by_word, "_word")
-        .select(id_, "_times", F.explode("_gains").alias("_g"))
-        .groupBy(id_, F.col("_g.lang").alias("lang"))
-        .agg(F.sum(F.col("_times") * F.col("_g.gain")).alias("_sum"))
-    )
-    rows = [(code, u, -k) for k, (code, u) in enumerate(zip(profile.languages, profile.unseen))]
-    # A language that has none of a text's grams can only win by the highest value of an unseen one.
-    best = max(rows, key=lambda r: (r[1], r[2]))
-    table = reference_table(
-        df.sparkSession, rows, {"lang": "string", "_unseen": "int64", "_place": "int64"}
-    )
-    total = F.max(F.when(F.col("lang").isNull(), F.col("_sum"))).alias("_total")
-    known = F.collect_list(
-        F.when(F.col("lang").isNotNull(), F.struct("_sum", "_unseen", "_place", "lang"))
-    ).alias("_known")
-    per_text = lookup_join(sums, table, ["lang"]).groupBy(id_).agg(total, known)
-
-    def candidate(sum_: Column, unseen: Column, place: Column, lang: Column) -> Column:
-        return F.struct(
-            (sum_ + F.col("_total") * unseen).alias("s"), place.alias("place"), lang.alias("lang")
+        .groupBy(id_)
+        .agg(
+            # Three grams per letter
+            F.sum(often * F.length("_word") * 3).alias("_total"),
+            *[F.sum(often * F.col(g)).alias(g) for g in gains],
         )
-
-    zero = F.lit(0).cast("bigint")
-    fallback = candidate(zero, F.lit(best[1]).cast("bigint"), F.lit(best[2]).cast("bigint"), F.lit(best[0]))
-    others = F.transform(
-        "_known", lambda g: candidate(g["_sum"], g["_unseen"], g["_place"], g["lang"])
     )
-    winner = F.greatest(F.coalesce(F.array_max(others), fallback), fallback)
-    return per_text.select(id_, winner.alias("_w")).select(
+    each_language = [
+        F.struct(
+            (F.col(g) + F.col("_total") * F.lit(unseen)).cast("bigint").alias("s"),
+            F.lit(-k).alias("place"),
+            F.lit(code).alias("lang"),
+        )
+        for k, (code, unseen, g) in enumerate(zip(profile.languages, profile.unseen, gains))
+    ]
+    return sums.select(id_, F.array_max(F.array(*each_language)).alias("_w")).select(
         id_, F.col("_w.lang").alias("detected"), F.col("_w.s").alias("log_score")
     )
 
