@@ -10,7 +10,7 @@ lies. The n-th slot of a source takes its n-th block.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stored
+from textloom.llm.common import fresh, stored
 
 #: Weights of the sources in order, repeating; part of all words that they share;
 #: most times that a source may be read.
@@ -126,10 +126,13 @@ def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(ahead, ["s", "bucket"]).withColumn("at", F.col("ahead") + F.col("inside"))
 
 
-def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+def sized(
+    docs: DataFrame, id_col: str, source_col: str, text_col: str, row_col: str | None = None
+) -> DataFrame:
     """row, doc_id, source and size of every row, written once."""
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(text_col).alias("size"),
@@ -186,14 +189,16 @@ def mix(
     share: float = SHARE,
     passes: int = MOST_PASSES,
     block_words: int = BLOCK_WORDS,
+    row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sizes, sources, segments) of the mix.
 
     Null and empty texts have no words and are never drawn. A null source is a
     source of its own, the last. Repeated rows, and rows without an id, count
-    each for itself. An empty table gives an empty mix.
+    each for itself. An empty table gives an empty mix. ``row_col`` may name a
+    key of the rows, which is then ``row``.
     """
-    sizes = sized(docs, id_col, source_col, text_col)
+    sizes = sized(docs, id_col, source_col, text_col, row_col)
     sources = stored(with_takes(targets(sizes, weights, share, passes), block_words), "targets")
     return sizes, sources, segments(sizes, sources, block_words, passes)
 
@@ -223,16 +228,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     """``docs`` with each row as many times as the mix reads it, to the nearest whole number.
 
     Documents cut by the end of their source's share are taken whole or left out.
-    Rows that repeat an id are treated alike, by their words together.
+    Rows that repeat an id, and rows without one, count each for itself.
     """
-    drawn = taken(docs, id_col=id_col, **options).groupBy("doc_id")
-    times = drawn.agg(F.sum("taken").alias("t"), F.sum("size").alias("n")).select(
-        F.col("doc_id").alias("_drawn_id"),
-        F.floor(F.col("t") / F.col("n") + 0.5).cast("int").alias("_drawn_times"),
-    )
-    times = times.filter(F.col("_drawn_times") > 0)
-    kept = docs.join(times, docs[id_col].eqNullSafe(times["_drawn_id"]))
-    repeats = F.explode(F.array_repeat(F.lit(0), times["_drawn_times"])).alias("_drawn_copy")
-    return kept.select(*(docs[c] for c in docs.columns), repeats).select(
-        *(F.col(f"`{c}`") for c in docs.columns)
+    row = fresh(docs, "row")
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    sizes, _, found = mix(keyed, id_col, row_col=row, **options)
+    sums = found.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("t"))
+    times = sums.join(sizes.select("row", "size"), "row").select(
+        F.col("row").alias(row),
+        F.floor(F.col("t") / F.col("size") + 0.5).cast("int").alias("times"),
     )
+    times = times.filter("times > 0").select(row, F.array_repeat(F.lit(0), F.col("times")).alias("copies"))
+    times = times.select(row, F.explode("copies")).select(row)
+    return keyed.join(times, row).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import as_bytes, stored, values
+from textloom.llm.common import as_bytes, fresh, stored, values
 
 #: Words in a shingle, seed of its hash, and bits in which linked fingerprints may differ.
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -293,6 +293,14 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _placed(own: DataFrame, radius: int, tile: int) -> DataFrame:
+    """fp, root and first of distinct fingerprints with ``first``: root is alike in a component."""
+    roots = stored(components(near_links(own.select("fp"), radius, tile)), "roots")
+    return own.join(roots, own["fp"] == roots["node"], "left").select(
+        own["fp"], F.coalesce("root", "fp").alias("root"), "first"
+    )
+
+
 def linked(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -313,10 +321,7 @@ def linked(
         docs.select(F.col(id_col).alias("doc_id"), fingerprints(text_col, words).alias("fp")), "fingerprints"
     )
     own = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = stored(components(near_links(own.select("fp"), radius, tile)), "roots")
-    placed = own.join(roots, own["fp"] == roots["node"], "left").select(
-        own["fp"], F.coalesce("root", "fp").alias("root"), "first"
-    )
+    placed = _placed(own, radius, tile)
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     # Only components of several fingerprints need the second lookup.
     classes = stored(placed.join(smallest, "root").select("fp", "component_id"), "classes")
@@ -327,12 +332,25 @@ def linked(
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document with the smallest id of each component, all columns kept.
+def one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    radius: int = RADIUS,
+    tile: int = TILE,
+) -> DataFrame:
+    """One row of each component, all columns kept: that with the smallest id.
 
-    Of repeated rows with that id one stays, so a component leaves one row. Rows
-    without an id stay only where their component has no id at all, one of them.
+    Rows are told apart by a key of their own, written once. Rows without an id
+    come last, so they stay only where no row of the component has one; of equal
+    ids one row stays. An id whose texts are in several components may stay for each.
     """
-    found = linked(docs, id_col, text_col, **options)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates([id_col])
+    row = fresh(docs, "row")
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = stored(keyed.select(first.alias("first"), fingerprints(text_col, words).alias("fp")), "fingerprints")
+    own = stored(found.groupBy("fp").agg(F.min("first").alias("first")), "own")
+    kept = _placed(own, radius, tile).groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.row").alias(row))
+    return keyed.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
