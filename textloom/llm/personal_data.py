@@ -62,6 +62,8 @@ FURTHER = {
 }
 #: Score from which a further span counts, and characters before and after that are its context.
 LEAST_SCORE, CONTEXT = 0.5, 40
+#: Fewest characters of a match of a further pattern.
+LEAST_MATCH = 11
 
 _SPAN = "array<struct<start:bigint,kind_no:int,stop:bigint,kind:string,score:double>>"
 
@@ -103,11 +105,37 @@ def running_sums(numbers: Column) -> Column:
     return let(numbers, lambda v: F.when(F.size(v) > 0, sums(v)).otherwise(none))
 
 
-def proposals(text: Column, pattern: str, hint: tuple[str, str]) -> Column:
-    """Matches as (start, stop, value, near), in code points, leftmost and without overlap.
+def _around(found: Column, between: Column, k: Column, before: int, after: int) -> tuple[Column, Column]:
+    """Up to so many characters of the text before and after match ``k``, other matches included.
 
-    The text between matches and the matches themselves, in turns, give the places;
-    ``near`` is a match with up to CONTEXT characters of the text on both sides of it.
+    Each match with the text up to the next has LEAST_MATCH characters at least, so
+    few neighbours fill a side, and a match costs the same however many there are.
+    """
+    n = F.size(found)
+
+    def pair(j: Column) -> Column:
+        text = F.coalesce(F.get(between, j), F.lit(""))
+        return F.concat(F.right(text, F.lit(before)), F.get(found, j))
+
+    def next_pair(j: Column) -> Column:
+        text = F.coalesce(F.get(between, j + 1), F.lit(""))
+        return F.concat(F.get(found, j), F.left(text, F.lit(after)))
+
+    back, on = -(-before // LEAST_MATCH), -(-after // LEAST_MATCH)
+    none = F.array().cast("array<int>")
+    earlier = F.when(k > 0, F.sequence(F.greatest(k - back, F.lit(0)), k - 1)).otherwise(none)
+    later = F.when(k < n - 1, F.sequence(k + 1, F.least(k + on, n - 1))).otherwise(none)
+    ahead = F.concat(F.array_join(F.transform(earlier, pair), ""), F.right(F.get(between, k), F.lit(before)))
+    behind = F.concat(F.left(F.get(between, k + 1), F.lit(after)), F.array_join(F.transform(later, next_pair), ""))
+    return F.right(ahead, F.lit(before)), F.left(behind, F.lit(after))
+
+
+def proposals(text: Column, pattern: str, hint: tuple[str, str], after: int | None = None) -> Column:
+    """Matches as (start, stop, value), in code points, leftmost and without overlap.
+
+    The text between matches and the matches themselves, in turns, give the places.
+    With ``after`` they also have ``before``, up to CONTEXT characters of the text
+    before the match, and ``after``, up to so many behind it.
     """
 
     def spans(found: Column, between: Column) -> Column:
@@ -115,30 +143,27 @@ def proposals(text: Column, pattern: str, hint: tuple[str, str]) -> Column:
         sizes = F.zip_with(
             F.slice(between, 1, n), found, lambda a, b: F.length(a).cast("long") + F.length(b)
         )
-        around = F.zip_with(
-            F.slice(between, 1, n),
-            F.slice(between, 2, n),
-            lambda a, b: F.struct(F.right(a, F.lit(CONTEXT)).alias("a"), F.left(b, F.lit(CONTEXT)).alias("b")),
-        )
-        placed = F.zip_with(
-            found,
-            running_sums(sizes),
-            lambda value, stop: F.struct(
-                (stop - F.length(value)).alias("start"), stop.alias("stop"), value.alias("value")
-            ),
-        )
-        return F.zip_with(
-            placed,
-            around,
-            lambda s, x: F.struct(
+        fields = lambda value, stop: (
+            (stop - F.length(value)).alias("start"), stop.alias("stop"), value.alias("value")
+        )
+        placed = F.zip_with(found, running_sums(sizes), lambda value, stop: F.struct(*fields(value, stop)))
+        if after is None:
+            return placed
+
+        def with_context(s: Column, k: Column) -> Column:
+            ahead, behind = _around(found, between, k, CONTEXT, after)
+            return F.struct(
                 s["start"].alias("start"),
                 s["stop"].alias("stop"),
                 s["value"].alias("value"),
-                F.concat(x["a"], s["value"], x["b"]).alias("near"),
-            ),
-        )
+                ahead.alias("before"),
+                behind.alias("after"),
+            )
+
+        return F.transform(placed, with_context)
 
-    none = F.array().cast("array<struct<start:bigint,stop:bigint,value:string,near:string>>")
+    more = "" if after is None else ",before:string,after:string"
+    none = F.array().cast(f"array<struct<start:bigint,stop:bigint,value:string{more}>>")
     kind, what = hint
     there = F.contains(text, F.lit(what)) if kind == "contains" else F.rlike(text, F.lit(what))
     matched = let(
@@ -211,10 +236,12 @@ def further_spans(text: Column, name: str) -> Column:
     kind, pattern, score, words, more = FURTHER[name]
 
     def scored(s: Column) -> Column:
-        bonus = F.when(F.rlike(F.lower(s["near"]), F.lit(words)), more).otherwise(0.0)
+        near = F.concat(s["before"], s["value"], s["after"])
+        bonus = F.when(F.rlike(F.lower(near), F.lit(words)), more).otherwise(0.0)
         return F.least(F.lit(score) + bonus, F.lit(1.0))
 
-    found = F.filter(proposals(text, pattern, _HINTS[name]), lambda s: confirmed(kind, s["value"]))
+    found = proposals(text, pattern, _HINTS[name], CONTEXT)
+    found = F.filter(found, lambda s: confirmed(kind, s["value"]))
     return F.filter(_spans(found, kind, scored), lambda s: s["score"] >= LEAST_SCORE)
 
 
