@@ -37,3 +37,21 @@ def test_several_numbers_after_one_word(spark):
     assert [len(w) for w in want[:2]] == [2, 3] and 2 < len(want[2]) < 12
     assert spans_of(spark, texts) == want
     assert spans_of(spark, ["SSN 078-05-1120 / 219-09-9999"]) == [["078-05-1120", "219-09-9999"]]
+
+
+def test_account_numbers_before_other_words_and_numbers(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    flat = de.replace(" ", "")
+    after = {
+        f"IBAN {de} Please pay": [de],
+        f"IBAN {flat} BIC COBADEFFXXX": [flat],
+        f"IBAN {de} 2 weeks": [de],
+        f"{de} {gb} {flat} {de}": [de, gb, flat, de],
+        f"AB12 {flat} AND MORE OF THAT": [flat],
+        f"IBAN {flat}X and {flat}x or x{flat}": [],
+        f"{de[:-1]}1 Please": [],
+        f"é {gb}, {flat}.": [gb, flat],
+        "MT84 MALT 0110 0001 2345 MTLC AST0 01S Then": ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"],
+        f"{flat} " * 300: [flat] * 300,
+    }
+    assert spans_of(spark, list(after)) == list(after.values())

@@ -36,11 +36,12 @@ _HINTS = {
     "phone_words": ("rlike", r"[0-9]{3}[\x20.)-]"),
     "ssn": ("rlike", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
 }
-#: Further patterns: kind, pattern, score, words nearby and what they add.
+#: Further patterns: kind, pattern, score, words nearby and what they add. That of
+#: account numbers is their start only; ``account_numbers`` finds where they end.
 FURTHER = {
     "iban": (
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?+[A-Z0-9]){11})",
         0.8,
         r"iban|account|konto|compte|cuenta|bank",
         0.2,
@@ -62,8 +63,11 @@ FURTHER = {
 }
 #: Score from which a further span counts, and characters before and after that are its context.
 LEAST_SCORE, CONTEXT = 0.5, 40
-#: Fewest characters of a match of a further pattern.
-LEAST_MATCH = 11
+#: Fewest characters from a match of a further pattern to the next one.
+LEAST_MATCH = {"iban": 5, "phone_words": 11, "ssn": 11}
+#: What may go on from an account number's start: as much as fits, and a character that doesn't.
+_REST, _REST_CHARS = r"^(?:\x20?+[A-Z0-9]){11,30}+[A-Za-z0-9]?", 61
+_ACCOUNT = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}$"
 
 _SPAN = "array<struct<start:bigint,kind_no:int,stop:bigint,kind:string,score:double>>"
 
@@ -105,10 +109,12 @@ def running_sums(numbers: Column) -> Column:
     return let(numbers, lambda v: F.when(F.size(v) > 0, sums(v)).otherwise(none))
 
 
-def _around(found: Column, between: Column, k: Column, before: int, after: int) -> tuple[Column, Column]:
+def _around(
+    found: Column, between: Column, k: Column, before: int, after: int, least: int
+) -> tuple[Column, Column]:
     """Up to so many characters of the text before and after match ``k``, other matches included.
 
-    Each match with the text up to the next has LEAST_MATCH characters at least, so
+    Each match with the text up to the next has ``least`` characters at least, so
     few neighbours fill a side, and a match costs the same however many there are.
     """
     n = F.size(found)
@@ -121,7 +127,7 @@ def _around(found: Column, between: Column, k: Column, before: int, after: int)
         text = F.coalesce(F.get(between, j + 1), F.lit(""))
         return F.concat(F.get(found, j), F.left(text, F.lit(after)))
 
-    back, on = -(-before // LEAST_MATCH), -(-after // LEAST_MATCH)
+    back, on = -(-before // least), -(-after // least)
     none = F.array().cast("array<int>")
     earlier = F.when(k > 0, F.sequence(F.greatest(k - back, F.lit(0)), k - 1)).otherwise(none)
     later = F.when(k < n - 1, F.sequence(k + 1, F.least(k + on, n - 1))).otherwise(none)
@@ -130,12 +136,15 @@ def _around(found: Column, between: Column, k: Column, before: int, after: int)
     return F.right(ahead, F.lit(before)), F.left(behind, F.lit(after))
 
 
-def proposals(text: Column, pattern: str, hint: tuple[str, str], after: int | None = None) -> Column:
+def proposals(
+    text: Column, pattern: str, hint: tuple[str, str], after: int | None = None, least: int = 1
+) -> Column:
     """Matches as (start, stop, value), in code points, leftmost and without overlap.
 
     The text between matches and the matches themselves, in turns, give the places.
     With ``after`` they also have ``before``, up to CONTEXT characters of the text
-    before the match, and ``after``, up to so many behind it.
+    before the match, and ``after``, up to so many behind it; matches start ``least``
+    characters apart or more.
     """
 
     def spans(found: Column, between: Column) -> Column:
@@ -151,7 +160,7 @@ def proposals(text: Column, pattern: str, hint: tuple[str, str], after: int | No
             return placed
 
         def with_context(s: Column, k: Column) -> Column:
-            ahead, behind = _around(found, between, k, CONTEXT, after)
+            ahead, behind = _around(found, between, k, CONTEXT, after, least)
             return F.struct(
                 s["start"].alias("start"),
                 s["stop"].alias("stop"),
@@ -213,6 +222,43 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def account_numbers(found: Column) -> Column:
+    """Account numbers from their proposed starts: the longest run of whole groups with right check digits.
+
+    What follows a number, such as a capitalised word, another number or a bank's
+    code, may look like more groups of it, so each end of a group is tried. A
+    number that starts inside an earlier one is left out.
+    """
+
+    def ends(s: Column) -> Column:
+        rest = F.regexp_extract(s["after"], _REST, 0)
+        runs = let(
+            F.split(F.concat(s["value"], rest), " "),
+            lambda groups: F.transform(
+                F.sequence(F.lit(1), F.size(groups)), lambda j: F.array_join(F.slice(groups, 1, j), " ")
+            ),
+        )
+        right = F.filter(runs, lambda r: F.rlike(r, F.lit(_ACCOUNT)) & confirmed("iban", r))
+        return let(right, lambda r: F.get(r, F.size(r) - 1))
+
+    def whole(s: Column, value: Column) -> Column:
+        return F.struct(
+            s["start"].alias("start"),
+            (s["start"] + F.length(value)).alias("stop"),
+            value.alias("value"),
+            s["before"].alias("before"),
+            F.substr(s["after"], F.length(value) - F.length(s["value"]) + 1, F.lit(CONTEXT)).alias("after"),
+        )
+
+    placed = F.transform(found, lambda s: let(ends(s), lambda value: whole(s, value)))
+    # A number has 64 characters at most, and starts are 5 apart.
+    earlier = lambda all_, k: F.slice(all_, F.greatest(k - 13, F.lit(0)) + 1, F.least(k, F.lit(13)))
+    return let(
+        F.filter(placed, lambda s: s["value"].isNotNull()),
+        lambda right: F.filter(right, lambda s, k: ~F.exists(earlier(right, k), lambda e: e["stop"] > s["start"])),
+    )
+
+
 def _spans(found: Column, kind: str, score) -> Column:
     return F.transform(
         found,
@@ -240,8 +286,9 @@ def further_spans(text: Column, name: str) -> Column:
         bonus = F.when(F.rlike(F.lower(near), F.lit(words)), more).otherwise(0.0)
         return F.least(F.lit(score) + bonus, F.lit(1.0))
 
-    found = proposals(text, pattern, _HINTS[name], CONTEXT)
-    found = F.filter(found, lambda s: confirmed(kind, s["value"]))
+    after = CONTEXT + _REST_CHARS * (kind == "iban")
+    found = proposals(text, pattern, _HINTS[name], after, LEAST_MATCH[name])
+    found = account_numbers(found) if kind == "iban" else F.filter(found, lambda s: confirmed(kind, s["value"]))
     return F.filter(_spans(found, kind, scored), lambda s: s["score"] >= LEAST_SCORE)
 
 
