@@ -1,6 +1,6 @@
 """Benchmark passages in documents by the q-gram lemma (operator 6).
 
-Texts are compared as bytes, with A-Z in lower case and white space as blanks.
+Texts are compared as bytes, with A-Z in lower case and runs of white space as one blank.
 Benchmark items are cut into overlapping windows. A window of m bytes that
 stands in a text with at most k edits shares at least m + 1 - q * (k + 1) of its
 q-grams with it, all within k + 1 neighbouring diagonals (place in the text less
@@ -83,6 +83,18 @@ def normal(text: bytes) -> bytes:
     return text.translate(_LOWER)
 
 
+def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Texts with a zero byte after each, runs of white space as one blank, and two arrays:
+    where each byte stood before the runs were cut, and where each text started."""
+    data = np.frombuffer(b"\0".join(map(normal, texts)) + b"\0", np.uint8)
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    blank = data == 32
+    blank[1:] &= blank[:-1].copy()
+    blank[0] = False
+    places = np.flatnonzero(~blank)
+    return data[places].tobytes(), places, starts
+
+
 def build(items: list[tuple[int, bytes]], edits: float = EDITS) -> Index:
     """Index of (id, text) items; blanks around an item don't count, short items are left out."""
     kept = [(i, b" ".join(normal(t).split())) for i, t in items]
@@ -201,11 +213,12 @@ def search(index: Index, texts: list[bytes]) -> list[list[dict]]:
     Windows of an item that overlap in the text are one finding.
     """
     out: list[list[dict]] = []
-    data = b"\0".join(map(normal, texts)) + b"\0"
-    starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    data, at, starts = joined(texts)
     places = [
-        (int(np.searchsorted(starts, (start + end) // 2, "right")) - 1, item, start, end, edits)
-        for item, start, end, edits in _find(index, data)
+        (int(np.searchsorted(starts, at[(start + end) // 2], "right")) - 1, item, start, end, edits)
+        for item, start, end, edits in (
+            (item, max(0, start), min(len(data), end), edits) for item, start, end, edits in _find(index, data)
+        )
     ]
     merged: list[list[int]] = []
     for own, item, start, end, edits in sorted(places):
@@ -218,7 +231,8 @@ def search(index: Index, texts: list[bytes]) -> list[list[dict]]:
             merged.append([own, item, start, end, edits, 1])
     out = [[] for _ in texts]
     for own, item, start, end, edits, n in merged:
-        cut = [max(0, x - int(starts[own])) for x in (start, end)]
+        # An end is where the last byte stood, and one on.
+        cut = [max(0, int(x - starts[own])) for x in (at[start], at[end - 1] + 1)]
         first, stop = (len(texts[own][:x].decode("utf-8", "ignore")) for x in cut)
         names = ("item_id", "start", "stop", "edits", "windows")
         out[own].append(dict(zip(names, (int(index.ids[item]), first, stop, edits, n), strict=True)))
