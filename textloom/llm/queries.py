@@ -13,8 +13,10 @@ from textloom.llm import (
     simhash,
     tokenizing,
     url_filter,
+    variants,
     warc,
     weak_labels,
+    whitening,
 )
 from textloom.llm.common import table
 
@@ -88,6 +90,15 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, out = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", f"{out}.*")
+
+
 QUERIES = {
     "op1_mixing": (op1_mixing, None),
     "op2_url_filter": (op2_url_filter, None),
@@ -99,4 +110,6 @@ QUERIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_packed_ids": (op9_packed_ids, None),
     "op10_decision_list": (op10_decision_list, None),
+    "op11_spelling_variants": (op11_spelling_variants, None),
+    "op13_whitening": (op13_whitening, None),
 }
