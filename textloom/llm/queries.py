@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.llm import (
     decision_lists,
     decontamination,
+    minhash,
     mixing,
     packing,
     personal_data,
@@ -94,6 +95,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.linked(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, out = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.select("vec_id", f"{out}.*")
@@ -111,5 +116,6 @@ QUERIES = {
     "op9_packed_ids": (op9_packed_ids, None),
     "op10_decision_list": (op10_decision_list, None),
     "op11_spelling_variants": (op11_spelling_variants, None),
+    "op12_minhash": (op12_minhash, None),
     "op13_whitening": (op13_whitening, None),
 }
