@@ -44,17 +44,41 @@ def test_chunks_compose(calls, threshold, recovery, size):
         for at, failed in part:
             admitted, outcome, state = B.call(state, at, failed, threshold, recovery)
             got.append((admitted, outcome, state[0], state[1]))
-        total, closing, runs = B.chunk_exits(
-            [a for a, _ in part], [f for _, f in part], threshold, recovery
-        )
-        held = B.leave(
-            held, total, closing, [u for u, _ in runs], [e for _, e in runs], threshold, recovery
-        )
+        function = B.chunk_exits([a for a, _ in part], [f for _, f in part], threshold, recovery)
+        held = B.leave(held, function, threshold, recovery)
         assert held[:2] == state[:2]
         assert held[0] == "closed" or held[2] == state[2]
     assert got == brute_force(calls, threshold, recovery)
 
 
+@given(CALLS, st.integers(1, 4), st.integers(0, 9), st.integers(1, 5), st.integers(2, 4))
+def test_functions_compose(calls, threshold, recovery, size, fan):
+    """However chunks are joined, the function of all of them leads from any state where one chunk after the other leads."""
+    calls = sorted(calls, key=lambda c: c[0])
+    first = next((at for at, failed in calls if failed), calls[-1][0])
+    parts = [calls[k : k + size] for k in range(0, len(calls), size)]
+    nodes = [
+        (p[0][0], B.chunk_exits([a for a, _ in p], [f for _, f in p], threshold, recovery, first))
+        for p in parts
+    ]
+    singles = nodes
+    while len(nodes) > 1:
+        above = []
+        for k in range(0, len(nodes), fan):
+            start, function = nodes[k]
+            for _, other in nodes[k + 1 : k + fan]:
+                function = B.compose(function, other, start, threshold, recovery)
+            above.append((start, function))
+        nodes = above
+    for entry in [("closed", n, None) for n in range(threshold)] + [
+        ("open", threshold + 2, at) for at in range(first, calls[0][0] + 1)
+    ]:
+        held = entry
+        for _, function in singles:
+            held = B.leave(held, function, threshold, recovery)
+        assert B.leave(entry, nodes[0][1], threshold, recovery) == held
+
+
 def frame(spark, logs):
     rows = [
         (key, n, at, failed)
@@ -135,3 +159,45 @@ def test_summaries_of_long_chunks_stay_small(fails):
     at = [i * 1_000_000 for i in range(n)]  # a call each second
     _, closing, runs = B.chunk_exits(at, [fails(i) for i in range(n)], 3, minute)
     assert len(closing) <= 3 and len(runs) <= 62
+
+
+def large_key(spark, monkeypatch, calls, chunk_rows, recovery):
+    """(levels, outcomes) of one key cut into chunks."""
+    seen, levels = [], B._levels
+
+    def kept(*args):
+        seen.extend(levels(*args))
+        return seen
+
+    monkeypatch.setattr(B, "_levels", kept)
+    got = replayed(
+        frame(spark, {"k": calls}), threshold=3, recovery_seconds=recovery, chunk_rows=chunk_rows
+    )
+    return seen, got["k"]
+
+
+def test_a_thousand_chunks_inside_one_recovery_time(spark, monkeypatch):
+    """Each chunk is one small row, and no task is given more than FAN of them at a time."""
+    calls = [(n // 100, n % 3 > 0) for n in range(10_000)]
+    levels, got = large_key(spark, monkeypatch, calls, 10, 3600)
+    assert got == brute_force(calls, 3, 3600)
+    sizes = [level.count() for level in levels]
+    assert sizes[0] >= 1000 and sizes[-1] == 1
+    assert all(b <= -(-a // B.FAN) for a, b in zip(sizes, sizes[1:]))
+    for level in levels:
+        rows = level.select(F.size("until").alias("runs"), F.size("closing").alias("closing")).collect()
+        assert max(r.runs for r in rows) == 0 and max(r.closing for r in rows) <= 3
+        together = level.groupBy((F.col("_node") / B.FAN).cast("long")).count()
+        assert together.agg(F.max("count")).first()[0] <= B.FAN
+
+
+@pytest.mark.parametrize("most_runs", [1 << 17, 40])
+def test_many_recovery_times(spark, monkeypatch, most_runs):
+    """Also where functions would be too long to compose: their key then stays lower and gives the same."""
+    calls = [(n // 4, n % 5 != 2 or n % 400 < 90) for n in range(4000)]
+    monkeypatch.setattr(B, "MOST_RUNS", most_runs)
+    levels, got = large_key(spark, monkeypatch, calls, 20, 30)
+    assert got == brute_force(calls, 3, 30)
+    assert (levels[-1].count() == 1) == (most_runs > 40)
+    # Runs are calls of a recovery time at most, not all calls.
+    assert all(r[0] <= 30 * 4 + 4 for level in levels for r in level.select(F.size("until")).collect())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textloom.operators.breaker import replay
 from textloom.operators.lines import assemble_lines
 from textloom.sources.texts import text_lines
-from textloom.streaming.breaker import replay_stream
+from textloom.streaming.breaker import LATE, replay_stream, replay_to_the_end
 from textloom.streaming.lines import assemble_stream, assemble_to_the_end
 from textloom.streaming.run import drain, files_stream
 
@@ -37,6 +37,36 @@ def test_breaker_keeps_its_state_between_batches(spark, calls):
     assert {"half-open", "open"} <= {r[2] for r in rows[0]}
 
 
+@pytest.fixture(scope="module")
+def shuffled(spark, folder, tmp_path_factory):
+    """Events in four files, each with events of all times."""
+    path = str(tmp_path_factory.mktemp("shuffled") / "in")
+    events = spark.read.parquet(f"{folder}/events.parquet").select(
+        "event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed")
+    )
+    for part in range(4):
+        events.where(f"event_id * 31 % 97 % 4 = {part}").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@pytest.mark.parametrize("delay_days,held", [(40, 200_000), (40, 1), (5, 200_000), (0, 200_000)])
+def test_breaker_in_the_order_of_time(spark, shuffled, delay_days, held):
+    """With time to wait, shuffled calls give the batch result; else some are late, and none is lost."""
+    batch = spark.read.parquet(shuffled)
+    stream = files_stream(spark, shuffled, batch.schema, maxFilesPerTrigger=1)
+    args = ["user_id"], "event_id", "ts", "failed"
+    got = replay_to_the_end(stream, *args, delay_days * 86_400, 3, 86_400, most_held=held)
+    columns = ["user_id", "event_id", "admitted_as", "outcome", "state_after", "failures"]
+    rows = sorted(map(tuple, got.select(*columns).collect()))
+    assert len(rows) == 1000 == len({r[1] for r in rows})
+    late = {r[1] for r in rows if r[3] == LATE}
+    assert bool(late) == (delay_days < 40 or held == 1)
+    # What is not late comes out as if the late calls had never been.
+    rest = batch.where(~F.col("event_id").isin(sorted(late))) if late else batch
+    wanted = replay(rest, ["user_id"], ["ts", "event_id"], "ts", "failed", 3, 86_400)
+    assert [r for r in rows if r[1] not in late] == sorted(map(tuple, wanted.select(*columns).collect()))
+
+
 def test_restart_goes_on(spark, calls, tmp_path):
     schema = spark.read.parquet(calls).schema
     for _ in range(2):

@@ -4,9 +4,10 @@ Per key the breaker is a state machine over the calls in time order, so it
 cannot be an aggregate.  Keys of up to ``chunk_rows`` calls are scanned in one
 pass over sorted partitions, holding one Arrow batch at a time.  The calls of
 larger keys are cut into chunks: each chunk first works out, for every state
-it could be entered in, the state it is left in; these small summaries are
-then followed from chunk to chunk; and with its entry state known each chunk
-is replayed by itself.
+it could be entered in, the state it is left in.  These functions from state to
+state are composed, FAN neighbours at a time, until a key has one; entry states
+are then handed down the same way; and with its entry state known each chunk is
+replayed by itself.  No step of this takes more than FAN of a key's functions.
 """
 
 from bisect import bisect_right
@@ -14,7 +15,7 @@ from collections.abc import Iterator, Sequence
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import (
     ArrayType,
     BooleanType,
@@ -25,11 +26,15 @@ from pyspark.sql.types import (
 )
 
 from textloom import fixed
+from textloom.operators.lookup import small
 from textloom.operators.ordered import in_chunks, split_by_size
+from textloom.session import written
 
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half-open"
 START = (CLOSED, 0, None)
 CHUNK_ROWS = 200_000
+#: Neighbouring functions composed into one, and most runs that they may have together.
+FAN, MOST_RUNS = 16, 1 << 17
 
 CALL_FIELDS = [
     StructField("admitted_as", StringType()),
@@ -130,7 +135,13 @@ def _counted(exit_: tuple, base: int) -> tuple:
     return (state, failures + base, last, added) if added else exit_
 
 
-def chunk_exits(at: list[int], failed: list[bool], threshold: int, recovery: int):
+def chunk_exits(
+    at: list[int],
+    failed: list[bool],
+    threshold: int,
+    recovery: int,
+    first_failure: int | None = None,
+):
     """How a chunk of calls is left, for every way to enter it.
 
     Returns the number of failures in it, the exits for a closed breaker that
@@ -139,7 +150,9 @@ def chunk_exits(at: list[int], failed: list[bool], threshold: int, recovery: int
 
     An open breaker last failed before the chunk, so it lets a call through no
     later than the first one beyond the recovery time after the chunk's start:
-    there are runs up to that call only, however long the chunk is.
+    there are runs up to that call only, however long the chunk is.  It did not
+    fail before ``first_failure``, the first one of the key, where that is
+    known: there are no runs for calls within the recovery time after it.
     """
     n = len(at)
     failures = [i for i in range(n) if failed[i]]
@@ -168,27 +181,63 @@ def chunk_exits(at: list[int], failed: list[bool], threshold: int, recovery: int
     closing = [closed_from(0, missing) for missing in range(1, min(threshold, total) + 1)]
     runs: list[tuple] = []
     reach = bisect_right(at, at[0] + recovery) + 1 if at else 0
-    for time, exit_ in zip(at[:reach], probed):
-        if runs and runs[-1][1] == exit_:
-            runs[-1] = (time, exit_)
-        else:
-            runs.append((time, exit_))
+    skip = 0 if first_failure is None else bisect_right(at, first_failure + recovery)
+    for time, exit_ in zip(at[skip:reach], probed[skip:reach]):
+        _add_run(runs, time, exit_)
     return total, closing, runs
 
 
-def leave(held: tuple, total: int, closing: list, until: list, exits: list, threshold: int,
-          recovery: int) -> tuple:
-    """State after a chunk that was entered as ``held``."""
-    state, failures, last = held
+def _add_run(runs: list[tuple], time: int, exit_: tuple) -> None:
+    if runs and runs[-1][1] == exit_:
+        runs[-1] = (time, exit_)
+    else:
+        runs.append((time, exit_))
+
+
+def follow(exit_: tuple, function: tuple, threshold: int, recovery: int) -> tuple:
+    """The exit from calls with ``function`` (total, closing, runs) that are entered at ``exit_``."""
+    state, failures, last, added = exit_
+    total, closing, runs = function
     if state == CLOSED:
         missing = threshold - failures
-        if missing > total:
-            return CLOSED, failures + total, last
-        return tuple(closing[missing - 1][:3])
-    run = bisect_right(until, last + recovery)
-    if run == len(until):
-        return held
-    return tuple(_counted(exits[run], failures)[:3])
+        return closing[missing - 1] if missing <= total else (CLOSED, failures + total, None, False)
+    run = bisect_right(runs, last + recovery, key=lambda r: r[0])
+    if run == len(runs):
+        return exit_
+    state_, more, last_, on = runs[run][1]
+    # Where this exit counts on from its entry, it counts on from whatever the entry counts on from.
+    return (state_, failures + more, last_, added) if on else runs[run][1]
+
+
+def compose(first: tuple, second: tuple, start: int, threshold: int, recovery: int) -> tuple:
+    """The function of calls with function ``first``, which begin at ``start``, and then ``second``.
+
+    Runs of ``second`` are needed up to the first call beyond the recovery time after
+    ``start`` only, and equal neighbours become one.
+    """
+    total = first[0] + second[0]
+    closing = [
+        follow(first[1][missing - 1], second, threshold, recovery)
+        if missing <= first[0]
+        else second[1][missing - first[0] - 1]
+        for missing in range(1, min(threshold, total) + 1)
+    ]
+    runs: list[tuple] = []
+    for time, exit_ in first[2]:
+        _add_run(runs, time, follow(exit_, second, threshold, recovery))
+    beyond = first[2][-1][0] if first[2] else None
+    if beyond is None or beyond <= start + recovery:
+        for time, exit_ in second[2]:
+            if beyond is None or time > beyond:
+                _add_run(runs, time, exit_)
+            if time > start + recovery:
+                break
+    return total, closing, runs
+
+
+def leave(held: tuple, function: tuple, threshold: int, recovery: int) -> tuple:
+    """State after calls with ``function`` (total, closing, runs) that were entered as ``held``."""
+    return follow((*held, False), function, threshold, recovery)[:3]
 
 
 def _as_dict(exit_: tuple) -> dict:
@@ -199,54 +248,134 @@ def _as_tuple(exit_: dict) -> tuple:
     return exit_["state"], exit_["failures"], exit_["last"], exit_["added"]
 
 
+_FUNCTION_FIELDS = [
+    StructField("start", LongType()),
+    StructField("total", LongType()),
+    StructField("closing", ArrayType(_EXIT_TYPE)),
+    StructField("until", ArrayType(LongType())),
+    StructField("exits", ArrayType(_EXIT_TYPE)),
+]
+_FUNCTION = [f.name for f in _FUNCTION_FIELDS]
+
+
+def _function_columns(start: int, function: tuple) -> dict:
+    total, closing, runs = function
+    return {
+        "start": pa.array([start], pa.int64()),
+        "total": pa.array([total], pa.int64()),
+        "closing": pa.array([[_as_dict(e) for e in closing]], pa.list_(_EXIT)),
+        "until": pa.array([[t for t, _ in runs]], pa.list_(pa.int64())),
+        "exits": pa.array([[_as_dict(e) for _, e in runs]], pa.list_(_EXIT)),
+    }
+
+
+def _function_of(row: dict) -> tuple:
+    runs = list(zip(row["until"], map(_as_tuple, row["exits"])))
+    return row["total"], [_as_tuple(e) for e in row["closing"]], runs
+
+
 def _summarise(table: pa.Table, threshold: int, recovery: int) -> pa.Table:
     table = table.sort_by("_at")
-    total, closing, runs = chunk_exits(
-        table.column("_t").to_pylist(), table.column("_failed").to_pylist(), threshold, recovery
-    )
-    return pa.table(
-        {
-            "_key": table.column("_key").slice(0, 1),
-            "_chunk": table.column("_chunk").slice(0, 1),
-            "total": pa.array([total], pa.int64()),
-            "closing": pa.array([[_as_dict(e) for e in closing]], pa.list_(_EXIT)),
-            "until": pa.array([[t for t, _ in runs]], pa.list_(pa.int64())),
-            "exits": pa.array([[_as_dict(e) for _, e in runs]], pa.list_(_EXIT)),
-        }
-    )
+    at = table.column("_t").to_pylist()
+    failures = table.column("_first")[0].as_py()
+    # Without any failure of the key the breaker is never open.
+    first = at[-1] if failures is None else failures
+    function = chunk_exits(at, table.column("_failed").to_pylist(), threshold, recovery, first)
+    names = {c: table.column(c).slice(0, 1) for c in ("_key", "_chunk")}
+    return pa.table(names | _function_columns(at[0], function))
+
+
+def _composed(table: pa.Table, threshold: int, recovery: int) -> pa.Table:
+    """One function of up to FAN neighbours, named after the first of them."""
+    table = table.sort_by("_node")
+    rows = table.select(_FUNCTION).to_pylist()
+    start, function = rows[0]["start"], _function_of(rows[0])
+    for row in rows[1:]:
+        function = compose(function, _function_of(row), start, threshold, recovery)
+    names = {c: table.column(c).slice(0, 1) for c in ("_key", "_chunk")}
+    node = pa.array([table.column("_node")[0].as_py() // FAN], pa.int64())
+    return pa.table(names | {"_node": node} | _function_columns(start, function))
 
 
 def _follow(
     batches: Iterator[pa.RecordBatch], threshold: int, recovery: int
 ) -> Iterator[pa.RecordBatch]:
-    """Entry state of each chunk, over summaries sorted by key and chunk."""
-    key, held = None, START
+    """Entry state of each node, over rows sorted by key, parent and node with the parent's entry state."""
+    group, held = None, START
     for batch in batches:
         entries = []
-        for row in batch.to_pylist():
-            if row["_key"] != key:
-                key, held = row["_key"], START
+        for row in batch.select(["_key", "_parent", "_state", "_failures", "_last", *_FUNCTION]).to_pylist():
+            if (row["_key"], row["_parent"]) != group:
+                group = (row["_key"], row["_parent"])
+                held = (row["_state"], row["_failures"], row["_last"])
             entries.append(held)
-            held = leave(
-                held,
-                row["total"],
-                [_as_tuple(e) for e in row["closing"]],
-                row["until"],
-                [_as_tuple(e) for e in row["exits"]],
-                threshold,
-                recovery,
-            )
+            held = leave(held, _function_of(row), threshold, recovery)
         state, failures, last = zip(*entries) if entries else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("_key"),
                 batch.column("_chunk"),
+                batch.column("_node"),
                 pa.array(state, pa.string()),
                 pa.array(failures, pa.int64()),
                 pa.array(last, pa.int64()),
             ],
-            names=["_key", "_chunk", "_state", "_failures", "_last"],
+            names=["_key", "_chunk", "_node", "_state", "_failures", "_last"],
+        )
+
+
+def _levels(leaves: DataFrame, threshold: int, recovery: int) -> list[DataFrame]:
+    """Functions of the chunks, of FAN neighbours each, of FAN of those, … until each key has one.
+
+    A key whose neighbours would have more than MOST_RUNS runs together goes no further up.
+    """
+    levels = [leaves]
+    schema = StructType([leaves.schema[c] for c in ("_key", "_chunk", "_node")] + _FUNCTION_FIELDS)
+
+    def composed(functions: pa.Table) -> pa.Table:
+        return _composed(functions, threshold, recovery)
+
+    parent = F.floor(F.col("_node") / FAN).alias("_parent")
+    while True:
+        sums = levels[-1].groupBy("_key", parent).agg(F.sum(F.size("until")).alias("runs"))
+        sums = sums.groupBy("_key").agg(F.max("runs").alias("runs"))
+        many = levels[-1].groupBy("_key").agg(F.max("_node").alias("last"))
+        on = many.where("last > 0").join(sums.where(F.col("runs") <= MOST_RUNS), "_key").select("_key")
+        on = written(on, "composed-keys")
+        if on.isEmpty():
+            return levels
+        below = levels[-1].join(small(on), "_key", "left_semi")
+        levels.append(written(below.groupBy("_key", parent).applyInArrow(composed, schema), "functions"))
+
+
+def _entries(levels: list[DataFrame], threshold: int, recovery: int) -> DataFrame:
+    """(_key, _chunk, _node, _state, _failures, _last): the state in which each chunk is entered."""
+    above = None
+    own = ["_key", "_chunk", "_node", *_FUNCTION]
+    state = ["_state", "_failures", "_last"]
+    start = [F.lit(v).cast(t).alias(c) for v, t, c in zip(START, ("string", "long", "long"), state)]
+    for level in reversed(levels):
+        # A key that went no further up is entered closed, and its nodes are one sequence.
+        if above is None:
+            rows = level.select(*own, F.lit(-1).cast("long").alias("_parent"), *start)
+        else:
+            entered = above.select("_key", F.col("_node").alias("_parent"), *state, F.lit(True).alias("_has"))
+            rows = level.withColumn("_parent", F.floor(F.col("_node") / FAN)).join(
+                entered, ["_key", "_parent"], "left"
+            )
+            known = F.col("_has").isNotNull()
+            rows = rows.select(
+                *own,
+                F.when(known, F.col("_parent")).otherwise(-1).cast("long").alias("_parent"),
+                *[F.when(known, F.col(c)).otherwise(s).alias(c) for c, s in zip(state, start)],
+            )
+        schema = StructType(
+            [level.schema[c] for c in ("_key", "_chunk", "_node")]
+            + [StructField("_state", StringType()), StructField("_failures", LongType()), StructField("_last", LongType())]
         )
+        sorted_ = rows.repartition("_key", "_parent").sortWithinPartitions("_key", "_parent", "_node")
+        above = sorted_.mapInArrow(partial(_follow, threshold=threshold, recovery=recovery), schema)
+    return above
 
 
 def _replay_chunk(
@@ -280,34 +409,16 @@ def _replay_large(
     def replay_chunk(calls: pa.Table) -> pa.Table:
         return _replay_chunk(calls, columns, threshold, recovery)
 
-    summaries = chunks.select("_key", "_chunk", "_at", "_t", "_failed").groupBy("_key", "_chunk")
-    summaries = summaries.applyInArrow(
-        summarise,
-        StructType(
-            group
-            + [
-                StructField("total", LongType()),
-                StructField("closing", ArrayType(_EXIT_TYPE)),
-                StructField("until", ArrayType(LongType())),
-                StructField("exits", ArrayType(_EXIT_TYPE)),
-            ]
-        ),
-    )
-    entries = (
-        summaries.repartition("_key")
-        .sortWithinPartitions("_key", "_chunk")
-        .mapInArrow(
-            partial(_follow, threshold=threshold, recovery=recovery),
-            StructType(
-                group
-                + [
-                    StructField("_state", StringType()),
-                    StructField("_failures", LongType()),
-                    StructField("_last", LongType()),
-                ]
-            ),
-        )
-    )
+    # A row per large key, of which there are no more than calls / chunk_rows.
+    firsts = chunks.groupBy("_key").agg(F.min(F.when(F.col("_failed"), F.col("_t"))).alias("_first"))
+    calls = chunks.select("_key", "_chunk", "_at", "_t", "_failed").join(small(written(firsts, "firsts")), "_key")
+    summaries = calls.groupBy("_key", "_chunk").applyInArrow(summarise, StructType(group + _FUNCTION_FIELDS))
+    summaries = written(summaries, "functions")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_chunk")) - 1
+    places = summaries.select("_key", "_chunk", place.cast("long").alias("_node"))
+    leaves = written(summaries.join(places, ["_key", "_chunk"]), "functions")
+    levels = _levels(leaves, threshold, recovery)
+    entries = _entries(levels, threshold, recovery).drop("_node")
     entered = chunks.join(entries, ["_key", "_chunk"])
     return entered.groupBy("_key", "_chunk").applyInArrow(replay_chunk, schema)
 

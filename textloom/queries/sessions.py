@@ -7,7 +7,8 @@ from textloom.operators.lines import assemble_lines
 from textloom.operators.sessions import chain_summary, previous_results, refinement_chains
 from textloom.queries.common import sql_strip, table
 from textloom.sources.texts import text_lines
-from textloom.streaming.breaker import replay_stream
+from textloom.session import new_folder, written
+from textloom.streaming.breaker import LATE, replay_stream, replay_to_the_end
 from textloom.streaming.lines import assemble_to_the_end
 from textloom.streaming.run import drain, files_stream
 
@@ -100,6 +101,47 @@ def breaker_stream(spark, folder):
     return drain(stream, "breaker-stream")
 
 
+#: Calls come in windows of so many days, up to 23 hours after their time.
+_WINDOW_DAYS = 8
+
+
+def _arriving(spark, folder, delay_seconds):
+    """Calls of the events, arriving window by window and there in any order, replayed by their times."""
+    events = table(spark, folder, "events")
+    late_hours = F.col("event_id") * 7919 % 24
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) + late_hours * 3_600_000_000
+    window = F.floor(micros / (_WINDOW_DAYS * DAY * 1_000_000))
+    calls = written(
+        events.select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
+        .withColumn("window", window),
+        "arrivals",
+    )
+    windows = sorted(r[0] for r in calls.select("window").distinct().collect())
+    path = new_folder(spark, "arriving")
+    progress = new_folder(spark, "ordered-calls")
+    for window in windows:
+        some = calls.where(F.col("window") == window)
+        some.repartition(4, F.xxhash64("event_id")).write.mode("append").parquet(path)
+        stream = files_stream(spark, path, calls.schema)
+        options = {"recovery_seconds": DAY, "folder": progress}
+        found = replay_to_the_end(
+            stream, ["user_id"], "event_id", "ts", "failed", delay_seconds, **options
+        )
+    return found
+
+
+def breaker_reordered(spark, folder):
+    """Calls that come up to 23 hours late, with a day to wait for them: as if all came in order."""
+    return _arriving(spark, folder, DAY)
+
+
+def breaker_late(spark, folder):
+    """Calls that come up to 23 hours late, with six hours to wait: how many of a user's are too late."""
+    found = _arriving(spark, folder, 6 * 3600)
+    too_late = F.count(F.when(F.col("outcome") == LATE, 1)).alias("n_late")
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_calls"), too_late)
+
+
 def _words_as_lines(turns):
     """Conversations typed one word per line, so that the word ``END`` ends some of them."""
     words = turns.withColumn("text", F.replace("text", F.lit(" "), F.lit("\n")))
@@ -205,6 +247,19 @@ QUERIES = {
         _breaker_sql("event_type", "value > 20", 3_600_000_000),
     ),
     "breaker_stream": (breaker_stream, _BREAKER_SQL),
+    "breaker_reordered": (breaker_reordered, _BREAKER_SQL),
+    "breaker_late": (
+        breaker_late,
+        f"""WITH c AS (SELECT user_id, event_id, epoch_us(ts) AS t,
+            floor((epoch_us(ts) + event_id * 7919 % 24 * 3600000000)::DOUBLE
+              / {_WINDOW_DAYS * 86_400_000_000}::DOUBLE) AS w FROM events),
+          m AS (SELECT user_id, w, max(t) AS newest FROM c GROUP BY ALL),
+          b AS (SELECT user_id, w, max(newest) OVER (PARTITION BY user_id ORDER BY w
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM m)
+        SELECT c.user_id, count(*) AS n_calls,
+          count(*) FILTER (WHERE t < b.newest - {6 * 3_600_000_000}) AS n_late
+        FROM c JOIN b ON b.user_id = c.user_id AND b.w = c.w GROUP BY 1""",
+    ),
     "line_assembly": (line_assembly, _lines_sql()),
     "line_stream": (line_stream, _lines_sql()),
 }

@@ -1,15 +1,17 @@
-"""Circuit breaker over a stream of calls."""
+"""Circuit breaker over a stream of calls, as they come or in the order of their times."""
 
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from textloom import fixed
-from textloom.operators.breaker import CALL_FIELDS, CLOSED, START, call
+from textloom.operators.breaker import CALL_FIELDS, CLOSED, OPEN, START, call
+from textloom.session import new_folder
+from textloom.streaming.run import drain
 
 SLICE = 10_000
 _STATE = StructType(
@@ -38,12 +40,7 @@ def replay_stream(
     rate limit of the source bounds how many calls of a key are ordered at once.
     """
     recovery = round(recovery_seconds * 1_000_000)
-    narrow = calls.select(
-        *keys,
-        F.col(seq).cast("bigint").alias("_seq"),
-        F.unix_micros(F.col(time).cast("timestamp")).alias("_t"),
-        F.col(failed).cast("boolean").alias("_failed"),
-    )
+    narrow = _narrow(calls, keys, seq, time, failed)
     out_names = [*keys, seq, *[f.name for f in CALL_FIELDS]]
     schema = StructType(
         [narrow.schema[k] for k in keys] + [StructField(seq, LongType())] + CALL_FIELDS
@@ -70,3 +67,164 @@ def replay_stream(
     return narrow.groupBy(*keys).applyInPandasWithState(
         step, schema, _STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+# ---- in the order of event time
+
+#: Most calls of a key that wait for earlier ones.
+MOST_HELD = 200_000
+LATE = "late"
+_ORDERED_STATE = StructType(
+    _STATE.fields
+    + [
+        StructField("newest", LongType()),
+        StructField("released", LongType()),
+        StructField("at", ArrayType(LongType())),
+        StructField("seq", ArrayType(LongType())),
+        StructField("failed", ArrayType(BooleanType())),
+    ]
+)
+
+
+def _narrow(calls: DataFrame, keys: Sequence[str], seq: str, time: str, failed: str) -> DataFrame:
+    return calls.select(
+        *keys,
+        F.col(seq).cast("bigint").alias("_seq"),
+        F.unix_micros(F.col(time).cast("timestamp")).alias("_t"),
+        F.col(failed).cast("boolean").alias("_failed"),
+    )
+
+
+def replay_in_order(
+    calls: DataFrame,
+    keys: Sequence[str],
+    seq: str,
+    time: str,
+    failed: str,
+    delay_seconds: float,
+    threshold: int = fixed.FAILURE_THRESHOLD,
+    recovery_seconds: float = fixed.RECOVERY_SECONDS,
+    idle_ms: int | None = None,
+    most_held: int = MOST_HELD,
+) -> DataFrame:
+    """As the batch replay for calls that come up to ``delay_seconds`` out of order.
+
+    A key's watermark is the latest time it has shown in earlier micro-batches,
+    less the delay.  Calls from the watermark on wait in the key's state, and are
+    taken in the order of (time, seq) once it has passed them.  A call from before
+    the watermark comes out at once, with ``late`` as admitted_as and outcome, and
+    leaves the breaker as it is: late calls are counted, not lost.  (Spark's own
+    watermark would drop them before any operator sees them.)
+
+    Where more than ``most_held`` calls of a key would wait, the earliest go ahead
+    and the watermark with them.  With ``idle_ms``, a key that shows nothing for so
+    long no longer waits.  ``waiting`` has the calls that a stopped stream still holds.
+    Calls without a time are late.
+    """
+    recovery = round(recovery_seconds * 1_000_000)
+    delay = round(delay_seconds * 1_000_000)
+    narrow = _narrow(calls, keys, seq, time, failed)
+    out_names = [*keys, seq, *[f.name for f in CALL_FIELDS]]
+    schema = StructType([narrow.schema[k] for k in keys] + [StructField(seq, LongType())] + CALL_FIELDS)
+    before = -(1 << 62)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState):
+        held, newest, released = START, before, before
+        at, number, bad = (np.zeros(0, t) for t in (np.int64, np.int64, bool))
+        if kept.exists:
+            state, failures, last, newest, released, *waiting = kept.get
+            held = (state, failures, None if state == CLOSED else last)
+            at, number, bad = (np.array(w, a.dtype) for w, a in zip(waiting, (at, number, bad)))
+        late: list[tuple] = []
+        if not kept.hasTimedOut:
+            parts = [(at, number, bad)]
+            top = newest
+            for b in batches:
+                t = b["_t"].fillna(before - 1).astype(np.int64).to_numpy()
+                n, f = b["_seq"].to_numpy(), b["_failed"].fillna(False).astype(bool).to_numpy()
+                good = t >= released
+                late += [(*key, x, LATE, LATE, held[0], held[1]) for x in n[~good].tolist()]
+                parts.append((t[good], n[good], f[good]))
+                top = max(top, int(t.max(initial=before)))
+            newest = top
+            at, number, bad = (np.concatenate(column) for column in zip(*parts))
+            released = max(released, newest - delay)
+        else:
+            released = newest + 1
+        for start in range(0, len(late), SLICE):
+            yield pd.DataFrame(late[start : start + SLICE], columns=out_names)
+        order = np.lexsort((number, at))
+        ready = int(np.searchsorted(at[order], released))
+        if len(order) - ready > most_held:
+            ready = len(order) - most_held
+            released = int(at[order[ready - 1]]) + 1
+            ready = int(np.searchsorted(at[order], released))
+        for start in range(0, ready, SLICE):
+            some = order[start : min(ready, start + SLICE)]
+            out = []
+            for t, n, f in zip(at[some].tolist(), number[some].tolist(), bad[some].tolist()):
+                admitted, outcome, held = call(held, t, f, threshold, recovery)
+                out.append((*key, n, admitted, outcome, held[0], held[1]))
+            yield pd.DataFrame(out, columns=out_names)
+        rest = order[ready:]
+        state, failures, last = held
+        waiting = [w[rest].tolist() for w in (at, number, bad)]
+        kept.update((state, failures, last if last is not None else 0, newest, released, *waiting))
+        if idle_ms and len(rest):
+            kept.setTimeoutDuration(idle_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return narrow.groupBy(*keys).applyInPandasWithState(step, schema, _ORDERED_STATE, "append", timeout)
+
+
+def waiting(
+    spark: SparkSession,
+    progress: str,
+    keys: Sequence[str],
+    seq: str,
+    threshold: int = fixed.FAILURE_THRESHOLD,
+    recovery_seconds: float = fixed.RECOVERY_SECONDS,
+) -> DataFrame:
+    """Outcomes of the calls that a stopped ``replay_in_order`` still holds, as if no earlier ones were to come.
+
+    ``progress`` is the stream's checkpoint folder; a stream that goes on from it is not disturbed.
+    """
+    recovery = round(recovery_seconds * 1_000_000)
+    state = spark.read.format("statestore").load(progress).select("key.*", "value.groupState.*")
+    schema = StructType([state.schema[k] for k in keys] + [StructField(seq, LongType())] + CALL_FIELDS)
+    names = schema.names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                *key, state, failures, last, at, number, bad = row
+                held, out = (state, failures, last if state == OPEN else None), []
+                for t, n, f in zip(at, number, bad):
+                    admitted, outcome, held = call(held, int(t), bool(f), threshold, recovery)
+                    out.append((*key, int(n), admitted, outcome, held[0], held[1]))
+                yield pd.DataFrame(out, columns=names)
+
+    held = state.where(F.size("at") > 0)
+    return held.select(*keys, "state", "failures", "last", "at", "seq", "failed").mapInPandas(run, schema)
+
+
+def replay_to_the_end(
+    calls: DataFrame,
+    keys: Sequence[str],
+    seq: str,
+    time: str,
+    failed: str,
+    delay_seconds: float,
+    threshold: int = fixed.FAILURE_THRESHOLD,
+    recovery_seconds: float = fixed.RECOVERY_SECONDS,
+    most_held: int = MOST_HELD,
+    folder: str | None = None,
+) -> DataFrame:
+    """All calls of a stream once all that is there now has been read; the end of input ends the waiting."""
+    folder = folder or new_folder(calls.sparkSession, "ordered-calls")
+    stream = replay_in_order(
+        calls, keys, seq, time, failed, delay_seconds, threshold, recovery_seconds, most_held=most_held
+    )
+    done = drain(stream, "ordered-calls", folder)
+    rest = waiting(calls.sparkSession, f"{folder}/progress", keys, seq, threshold, recovery_seconds)
+    return done.unionByName(rest)
