@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -62,6 +63,45 @@ def test_rules_table(spark):
     assert ids(C.exclude_by_rules(rows, many, "id", "provider"), "i") == [1, 2, 3, 4]
 
 
+def test_long_rule_lists_against_each_rule(spark):
+    """Overlapping keywords, keywords of one character, case, blanks and repeated rows."""
+    draw = random.Random(4)
+    word = lambda n: "".join(draw.choice("abAé ") for _ in range(n))
+    rows = [(k, draw.choice(["p", "q", None]), draw.choice([word(draw.randint(0, 12)), None])) for k in range(400)]
+    rules = [(draw.choice(["p", "q", "r", None]), word(draw.randint(3, 6))) for _ in range(90)]
+    for extra in ([], [("q", "É"), ("q", "a "), ("p", None)], [("p", "")]):
+        listed = rules + extra
+        hit = lambda p, i: any(a == p and k is not None and k.lower() in i.lower() for a, k in listed)
+        want = [k for k, p, i in rows if p is None or i is None or not hit(p, i)]
+        df = spark.createDataFrame(rows, "i int, provider string, id string")
+        table = spark.createDataFrame(listed, "provider string, keyword string")
+        for long_list in (2, 1000):
+            kept = C.exclude_by_rules(df, table, "id", "provider", long_list)
+            assert ids(kept, "i") == want and kept.columns == df.columns
+    nothing = C.exclude_by_rules(df, table.where("false"), "id", "provider")
+    assert nothing.count() == len(rows)
+
+
+def test_a_hundred_thousand_rules_of_one_provider(spark):
+    """An id meets the few keywords that share its rarest characters, not the list."""
+    rules = spark.range(100_000).select(
+        F.lit("c").alias("_provider"), F.concat(F.lit("word"), F.col("id").cast("string"), F.lit("x")).alias("_keyword")
+    )
+    rows = spark.range(3000).select(
+        F.lit("c").alias("_provider"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("my word"), (F.col("id") * 33).cast("string"), F.lit("x")))
+        .otherwise(F.concat(F.lit("my word"), F.col("id").cast("string"), F.lit("y"))).alias("_id"),
+    )
+    found = C.rule_candidates(rows, rules).cache()
+    n = found.count()
+    right = found.where(F.contains("_id", F.col("_keyword")))
+    assert right.select("_id").distinct().count() == rows.where("_id like '%x'").distinct().count() == 1000
+    assert n < 0.002 * 3000 * 100_000
+    found.unpersist()
+    kept = C.exclude_by_rules(rows, rules.toDF("provider", "keyword"), "_id", "_provider")
+    assert kept.count() == 2000
+
+
 def test_snapshots(spark):
     given_ids = [
         "gpt-4o", "gpt-4o-2024-05-13", "gpt-4o-2024-11-20",

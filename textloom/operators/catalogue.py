@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom import fixed
 from textloom.functions import text as T
-from textloom.operators.lookup import lookup_join
+from textloom.operators.lookup import lookup_join, small
 from textloom.operators.ordered import CHUNK_ROWS, positions
+from textloom.session import written
+
+#: Most keywords of a provider that its rows try one after the other, and characters in a q-gram.
+LONG_LIST, GRAM = 64, 3
 
 
 def exclusion_reason(
@@ -46,19 +50,76 @@ def is_text_entry(
     return keep & T.has_any(id_, require_any) if require_any else keep
 
 
-def exclude_by_rules(df: DataFrame, rules: DataFrame, id_: str, provider: str) -> DataFrame:
+def exclude_by_rules(
+    df: DataFrame, rules: DataFrame, id_: str, provider: str, long_list: int = LONG_LIST
+) -> DataFrame:
     """Drop rows whose id contains a keyword that ``rules`` (provider, keyword) lists for them.
 
-    A provider's keywords are one list, which its rows look up; no row is paired
-    with each rule.
+    Where every provider has at most ``long_list`` keywords they are one list, which
+    its rows look up.  Beyond that keywords are found by an index (``rule_candidates``),
+    and no row is held against each keyword.  Rows without an id or provider stay, and
+    an empty keyword drops all other rows of its provider.
+    """
+    listed = rules.where("keyword is not null and provider is not null").select(
+        F.col("provider").alias("_provider"), F.lower("keyword").alias("_keyword")
+    )
+    listed = written(listed.distinct(), "rules")
+    longest = listed.groupBy("_provider").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if longest is None:
+        return df
+    if longest <= long_list:
+        by_provider = listed.groupBy(F.col("_provider").alias(provider)).agg(
+            F.collect_set("_keyword").alias("_keywords")
+        )
+        found = lookup_join(df, by_provider, [provider])
+        hit = F.exists("_keywords", lambda k: F.contains(F.lower(F.col(id_)), k))
+        return found.where(~F.coalesce(hit, F.lit(False))).select(*df.columns)
+    ids = df.select(F.col(provider).alias("_provider"), F.lower(F.col(id_)).alias("_id"))
+    hits = rule_candidates(ids, listed).where(F.contains("_id", F.col("_keyword")))
+    hits = written(hits.select("_provider", "_id").distinct(), "rule-hits")
+    same = (df[provider] == hits["_provider"]) & (F.lower(df[id_]) == hits["_id"])
+    return df.join(small(hits), same, "left_anti")
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters."""
+    last = F.length(text) - size + 1
+    places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def rule_candidates(ids: DataFrame, listed: DataFrame) -> DataFrame:
+    """(_provider, _id, _keyword): distinct ids with the keywords that they may contain.
+
+    ``ids`` (_provider, _id) and ``listed`` (_provider, _keyword) in lower case.  Each
+    keyword is filed under that of its q-grams which fewest ids of the provider hold;
+    a keyword of which some q-gram is in no id at all is in none and goes.  Ids look
+    their own q-grams up.  Keywords shorter than a q-gram are filed under themselves.
     """
-    listed = rules.where("keyword is not null").select(
-        F.col("provider").alias(provider), F.lower("keyword").alias("_keyword")
+    lengths = F.least(F.length("_keyword"), F.lit(GRAM)).alias("size")
+    sizes = sorted(r[0] for r in listed.select(lengths).distinct().collect())
+    known = ids.join(small(listed.select("_provider").distinct()), "_provider", "left_semi")
+    known = known.where(F.col("_id").isNotNull()).distinct()
+    every = [_grams(F.col("_id"), size) if size else F.array(F.lit("")) for size in sizes]
+    held = known.select("_provider", "_id", F.explode(F.flatten(F.array(*every))).alias("_gram"))
+    held = written(held, "id-grams")
+    often = held.groupBy("_provider", "_gram").agg(F.count(F.lit(1)).alias("_often"))
+    short = F.length("_keyword") < GRAM
+    own = F.when(short, F.array("_keyword")).otherwise(_grams(F.col("_keyword"), GRAM))
+    filed = listed.select("_provider", "_keyword", F.size(own).alias("_grams"), F.explode(own).alias("_gram"))
+    filed = (
+        filed.join(often, ["_provider", "_gram"])
+        .groupBy("_provider", "_keyword")
+        .agg(
+            F.min(F.struct("_often", "_gram")).alias("_rarest"),
+            F.count(F.lit(1)).alias("_known"),
+            F.first("_grams").alias("_grams"),
+        )
+        .where("_known = _grams")
+        .select("_provider", F.col("_rarest._gram").alias("_gram"), "_keyword")
     )
-    by_provider = listed.groupBy(provider).agg(F.collect_set("_keyword").alias("_keywords"))
-    found = lookup_join(df, by_provider, [provider])
-    hit = F.exists("_keywords", lambda k: F.contains(F.lower(F.col(id_)), k))
-    return found.where(~F.coalesce(hit, F.lit(False))).select(*df.columns)
+    filed = written(filed, "rule-index")
+    return held.join(small(filed), ["_provider", "_gram"]).drop("_gram")
 
 
 def available(

@@ -47,6 +47,21 @@ def kw_filter_by_group(spark, folder):
     )
 
 
+def _part_ids(part):
+    return part.withColumn("id", F.concat_ws("-", "p_partkey", "p_name"))
+
+
+def kw_filter_long(spark, folder):
+    """Rule lists too long to be tried one by one: as many keywords as a brand has parts, some of two characters."""
+    part = _part_ids(table(spark, folder, "part"))
+    end = F.substring(F.col("p_partkey").cast("string"), -1, 1)
+    long = F.concat(end, F.lit("-"), F.substring("p_name", 1, 4))
+    keyword = F.when(F.col("p_size") == 3, F.concat(end, F.lit("-"))).otherwise(F.upper(long))
+    rules = part.where("p_size % 2 = 1").select(F.col("p_brand").alias("provider"), keyword.alias("keyword"))
+    kept = exclude_by_rules(part, rules, "id", "p_brand", long_list=8)
+    return kept.select("p_partkey", "p_brand", "id")
+
+
 def kw_allow(spark, folder):
     name = F.col("p_name")
     return table(spark, folder, "part").select(
@@ -365,6 +380,15 @@ QUERIES = {
                                              OR contains(lower(p_name), 'blue')))
           AND NOT EXISTS (SELECT 1 FROM r WHERE r.b = p.p_brand AND contains(lower(p.p_name), r.k))""",
     ),
+    "kw_filter_long": (
+        kw_filter_long,
+        """WITH p AS (SELECT p_partkey, p_brand, p_size, p_partkey || '-' || p_name AS id,
+            right(p_partkey::VARCHAR, 1) AS last_digit, p_name FROM part),
+        r AS (SELECT DISTINCT p_brand AS b, CASE WHEN p_size = 3 THEN last_digit || '-'
+            ELSE lower(last_digit || '-' || left(p_name, 4)) END AS k FROM p WHERE p_size % 2 = 1)
+        SELECT p_partkey, p_brand, id FROM p
+        WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.b = p.p_brand AND contains(lower(p.id), r.k))""",
+    ),
     "kw_allow": (
         kw_allow,
         """SELECT p_partkey, NOT contains(lower(p_name), 'hot') AND (contains(lower(p_name), 'widget')
