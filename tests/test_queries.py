@@ -7,7 +7,8 @@ import __spark_entry__ as driver
 from textloom.queries import QUERIES
 
 # Queries whose last plan runs a state machine; a caller's function has run before, into parquet
-IN_PYTHON = {"breaker_replay", "breaker_by_type"}
+# or scores words with a profile that has gone to the texts
+IN_PYTHON = {"breaker_replay", "breaker_by_type", "langid", "langid_hold_out"}
 # One value over a whole table, added up per task before
 ONE_VALUE = {"ttl_snapshot"}
 

@@ -118,9 +118,10 @@ def scores(taught, text):
     }
 
 
-@pytest.mark.parametrize("profile_rows", [langid.PROFILE_ROWS, 2])
-def test_langid(spark, monkeypatch, profile_rows):
-    monkeypatch.setattr(langid, "PROFILE_ROWS", profile_rows)
+@pytest.mark.parametrize("limits", [(langid.PROFILE_ROWS, 1 << 20), (langid.PROFILE_ROWS, 0), (2, 0)])
+def test_langid(spark, monkeypatch, limits):
+    monkeypatch.setattr(langid, "PROFILE_ROWS", limits[0])
+    monkeypatch.setattr(langid, "PROFILE_GAINS", limits[1])
     taught = spark.createDataFrame(
         [("the cat and the dog", "en"), ("der hund und die katze", "de"), ("今天天气很好", "zh"),
          ("no label", None)],
@@ -153,6 +154,61 @@ def test_many_languages(spark):
     assert got == {k: f"l{k:03d}" for k in got}
 
 
+def test_five_thousand_languages(spark, monkeypatch):
+    """Plans are no wider than for two languages, and both ways to score agree."""
+    taught = [(f"{chr(0x4E00 + k)}{chr(0x4E00 + k // 3)} ab{k % 7}", f"l{k:04d}") for k in range(5000)]
+    profile = langid.fit(spark.createDataFrame(taught, "text string, lang string"))
+    few = langid.fit(spark.createDataFrame(taught[:2], "text string, lang string"))
+    texts = [(k, f"ab {chr(0x4E00 + 250 * k)} {chr(0x4E00 + 83 * k)}") for k in range(20)] + [(3, "x"), (None, "ab")]
+    df = spark.createDataFrame(texts, "i int, text string")
+    rows, widths = [], []
+    for gains in (1 << 40, 0):
+        monkeypatch.setattr(langid, "PROFILE_GAINS", gains)
+        monkeypatch.setattr(langid, "CACHE_BYTES", 200_000)
+        found = langid.scores(df, profile, "i")
+        rows.append({r.i: [tuple(x) for x in r.scores] for r in found.collect()})
+        plans = [langid.scores(df, p, "i")._jdf.queryExecution().analyzed().toString() for p in (profile, few)]
+        widths.append([len(p.splitlines()) for p in plans])
+        assert max(map(len, plans[0].splitlines())) < 3000
+    assert rows[0] == rows[1] and len(rows[0]) == 21 and all(len(x) == 5000 for x in rows[0].values())
+    assert widths[0][0] == widths[0][1] and widths[1][0] == widths[1][1]
+
+
+def test_probabilities(spark, folder):
+    """On texts that were not learned from, the probability says how often the language is right."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    # A few words of each text, so that some are hard to tell
+    words = F.concat_ws(" ", F.slice(F.split("text", " "), 1 + F.col("doc_id").cast("int") % 3, 1))
+    short = docs.withColumn("text", words)
+    profile = langid.fit(short.where("doc_id % 3 = 0"))
+    held = short.where("doc_id % 3 = 1")
+    temperature = langid.fit_temperature(held, profile, "doc_id")
+    assert temperature in langid.TEMPERATURES
+    told = langid.detect(short.where("doc_id % 3 = 2"), profile, "doc_id", temperature=temperature).collect()
+    assert all(0 <= r.probability <= 1 for r in told)
+    unknown = [r.probability for r in told if r.detected == "unknown"]
+    assert set(unknown) <= {0.0}
+    said = sum(r.probability for r in told) / len(told)
+    right = sum(r.detected == r.lang for r in told) / len(told)
+    assert abs(said - right) < 0.12
+    # By brute force: no other temperature makes the true languages more probable.
+    known = {r.doc_id: r.lang for r in held.collect()}
+    rows = langid.scores(held, profile, "doc_id").collect()
+
+    def loss(t):
+        total = 0.0
+        for r in rows:
+            by_lang = {profile.languages[-x.place]: x.s / t for x in r.scores}
+            top = max(by_lang.values())
+            if known[r.doc_id] in by_lang:
+                total += math.log(sum(math.exp(v - top) for v in by_lang.values())) + top - by_lang[known[r.doc_id]]
+        return total
+
+    assert temperature == min(langid.TEMPERATURES, key=loss)
+    nothing = langid.detect(held, profile, "doc_id", temperature=1e6).where("false")
+    assert nothing.columns[-2:] == ["log_score", "probability"]
+
+
 def test_langid_without_languages(spark):
     nothing = langid.fit(spark.createDataFrame([("x", None)], "text string, lang string"))
     texts = spark.createDataFrame([(1, "the dog")], "i int, text string")

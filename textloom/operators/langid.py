@@ -1,25 +1,39 @@
 """Language identification by naive Bayes over character 1- to 3-grams.
 
-Words are counted first, per language to learn and per text to score, and only
-the grams of distinct words are ever made: a word's score in each language is
-worked out once, however many texts hold it.  Tasks add up before anything is
-shuffled.  The learned table has a row per gram and language, so any number of
-languages will do.  Log-probabilities are held as whole millionths, so sums
-come out the same in whatever order Spark adds them.
+Words are counted first, per language to learn and per text to score: a word's
+score in each language is worked out once and not for each text that holds it.
+A learned profile that is proven small goes to the texts, which then stay where
+they are; beyond that the grams of distinct words meet the profile in joins.
+Either way a language is a place in an array or a row, never a column, so plans
+are as wide for thousands of languages as for two.  Log-probabilities are held as
+whole millionths, so sums come out the same in whatever order Spark adds them.
+
+Of the scores a posterior is made, with a temperature fitted on texts that were
+not learned from: grams of one text are not independent, and without it nearly
+every text would be called certain.
 """
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom import fixed
-from textloom.operators.lookup import lookup_join, reference_table
+from textloom.operators.lookup import lookup_join, reference_table, small
 from textloom.session import written
 
 SCALE = 1_000_000
 PIECE = 256
 PROFILE_ROWS = 2_000_000
+#: Most gains (grams times languages) of a profile that goes to the texts.
+PROFILE_GAINS = 4_000_000
+#: Bytes of word scores that a task keeps at hand.
+CACHE_BYTES = 32 << 20
+#: Temperatures tried: millionths of a log-probability that count as one.
+TEMPERATURES = tuple(SCALE * 2**k for k in range(13))
 
 
 def words(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
@@ -59,12 +73,13 @@ class LanguageProfile:
     """What a gram adds in a language that has it: table (gram, lang, gain) over ``unseen``.
 
     ``languages`` are in order; ``unseen`` is the log-probability of a gram that a
-    language has never shown.
+    language has never shown; ``grams`` is how many distinct ones there are.
     """
 
     languages: list[str]
     table: DataFrame
     unseen: list[int]
+    grams: int
 
 
 def fit(
@@ -97,61 +112,183 @@ def fit(
     table = lookup_join(counted, totals, ["lang"]).select(
         "gram", "lang", (log_probability(F.col("n")) - none).alias("gain")
     )
-    return LanguageProfile(found, table, [unseen.get(code, 0) for code in found])
+    return LanguageProfile(found, table, [unseen.get(code, 0) for code in found], size)
 
 
-def score(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text") -> DataFrame:
-    """(id, detected, log_score) of each text that has letters.  Of equals the first language wins.
+def _parts(df: DataFrame, profile: LanguageProfile, id_: str, text: str) -> DataFrame:
+    """(id, place, s): parts of each text's score in each language, to be added up; a small profile."""
+    learned = profile.table.join(
+        reference_table(
+            df.sparkSession, list(enumerate(profile.languages)), {"_place": "int32", "lang": "string"}
+        ),
+        "lang",
+    )
+    rows = learned.select("gram", "_place", "gain").toArrow()
+    grams_ = rows.column("gram").combine_chunks().dictionary_encode()
+    row_of = {g: k for k, g in enumerate(grams_.dictionary.to_pylist())}
+    n = len(profile.languages)
+    gains = np.zeros((len(row_of) + 1, n), np.int64)
+    gains[grams_.indices.to_numpy(), rows.column("_place").to_numpy()] = rows.column("gain").to_numpy()
+    unseen = np.array(profile.unseen, np.int64)
+    most = max(1, CACHE_BYTES // (8 * n))
 
-    Texts of one id count as one text.
-    """
+    def word_score(word: str) -> np.ndarray:
+        padded, found = f" {word} ", []
+        for i in range(len(word)):
+            found += (padded[i + 1], padded[i + 1 : i + 3], padded[i : i + 3])
+        own = [row_of[g] for g in found if g in row_of]
+        return gains[own].sum(axis=0) + unseen * len(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        scores = np.zeros((0, n), np.int64)
+        for batch in batches:
+            at, sums = [], []
+            for k, words_ in enumerate(batch.column(1)):
+                times = Counter(words_.as_py() or ())
+                times.pop("", None)
+                if not times:
+                    continue
+                total = np.zeros(n, np.int64)
+                left = list(times)
+                for start in range(0, len(left), most):
+                    some = left[start : start + most]
+                    new = [w for w in some if w not in known]
+                    if len(known) + len(new) > most:
+                        known, scores, new = {}, scores[:0], some
+                    if new:
+                        first = len(known)
+                        known.update(zip(new, range(first, first + len(new))))
+                        if len(known) > len(scores):
+                            grown = np.zeros((min(most, max(2 * len(scores), len(known), 1024)), n), np.int64)
+                            grown[:first] = scores[:first]
+                            scores = grown
+                        for j, w in enumerate(new, first):
+                            scores[j] = word_score(w)
+                    total += np.array([times[w] for w in some]) @ scores[[known[w] for w in some]]
+                at.append(k)
+                sums.append(total)
+            if at:
+                ids = batch.column(0).take(pa.array(np.repeat(at, n)))
+                place = pa.array(np.tile(np.arange(n, dtype=np.int32), len(at)))
+                yield pa.RecordBatch.from_arrays([ids, place, pa.array(np.concatenate(sums))], ["i", "p", "s"])
+
+    found = F.split(F.lower(F.col(text)), r"[^\p{L}]+")
+    kind = df.schema[id_].dataType.simpleString()
+    return df.select(id_, found.alias("_words")).mapInArrow(run, f"_id {kind}, _place int, s long")
+
+
+def _joined_parts(df: DataFrame, profile: LanguageProfile, id_: str, text: str) -> DataFrame:
+    """As ``_parts`` for profiles of any size: grams of distinct words look their gains up."""
     times = F.count(F.lit(1)).alias("_times")
-    by_text = words(df, F.col(text), F.col(id_)).groupBy(id_, "_word").agg(times)
+    by_text = words(df, F.col(text), F.col(id_).alias("_id")).groupBy("_id", "_word").agg(times)
     by_text = written(by_text, "text-words")
-    gains = [f"_g_{k}" for k in range(len(profile.languages))]
-    # A row per gram with a value per language, so that a gram is looked up once for all of them
-    wide = profile.table.groupBy("gram").agg(
-        *[
-            F.max(F.when(F.col("lang") == code, F.col("gain"))).alias(g)
-            for code, g in zip(profile.languages, gains)
-        ]
+    codes = reference_table(
+        df.sparkSession,
+        list(zip(range(len(profile.languages)), profile.languages, profile.unseen)),
+        {"_place": "int32", "lang": "string", "unseen": "int64"},
     )
+    learned = lookup_join(profile.table, codes.drop("unseen"), ["lang"])
+    gains = learned.groupBy("gram").agg(F.collect_list(F.struct("_place", "gain")).alias("gains"))
     each = grams(by_text.select("_word").distinct())
-    known = lookup_join(each, written(wide, "gram-gains"), ["gram"], max_rows=PROFILE_ROWS)
-    by_word = known.groupBy("_word").agg(*[F.sum(F.coalesce(g, F.lit(0))).alias(g) for g in gains])
-    often = F.col("_times")
-    sums = (
-        by_text.join(by_word, "_word")
-        .groupBy(id_)
-        .agg(
-            # Three grams per letter
-            F.sum(often * F.length("_word") * 3).alias("_total"),
-            *[F.sum(often * F.col(g)).alias(g) for g in gains],
-        )
+    known = lookup_join(each, written(gains, "gram-gains"), ["gram"], max_rows=PROFILE_ROWS)
+    by_word = known.select("_word", F.explode("gains").alias("g")).groupBy("_word", "g._place")
+    by_word = by_word.agg(F.sum("g.gain").alias("s"))
+    by_word = by_word.groupBy("_word").agg(F.collect_list(F.struct("_place", "s")).alias("own"))
+    # Hot words are dealt out by the lookup.
+    placed = lookup_join(by_text, written(by_word, "word-scores"), ["_word"])
+    parts = placed.select("_id", "_times", F.explode("own").alias("o"))
+    parts = parts.select("_id", "o._place", (F.col("_times") * F.col("o.s")).alias("s"))
+    # Three grams per letter
+    totals = by_text.groupBy("_id").agg(F.sum(F.col("_times") * F.length("_word") * 3).alias("_total"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(profile.languages) - 1))).alias("_place")
+    none = totals.select("_id", every, "_total").join(small(codes), "_place")
+    none = none.select("_id", "_place", (F.col("_total") * F.col("unseen")).cast("bigint").alias("s"))
+    return parts.unionByName(none)
+
+
+def scores(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text") -> DataFrame:
+    """(id, scores) of each text that has letters: its log-probability and place of each language, best first.
+
+    Of equals the first language comes first.  Texts of one id count as one text.
+    """
+    fits = profile.grams * len(profile.languages) <= PROFILE_GAINS
+    parts = (_parts if fits else _joined_parts)(df, profile, id_, text)
+    sums = parts.groupBy("_id", "_place").agg(F.sum("s").alias("s"))
+    each = F.collect_list(F.struct("s", (-F.col("_place")).alias("place")))
+    return sums.groupBy(F.col("_id").alias(id_)).agg(F.sort_array(each, asc=False).alias("scores"))
+
+
+def posterior(all_scores: Column, temperature: float) -> Column:
+    """Probability of the best language among all, by log-sum-exp of its distance to the others."""
+    best = all_scores[0]["s"]
+    far = F.transform(all_scores, lambda x: F.exp((x["s"] - best).cast("double") / F.lit(float(temperature))))
+    return F.lit(1.0) / F.aggregate(far, F.lit(0.0), lambda a, b: a + b)
+
+
+def fit_temperature(
+    df: DataFrame,
+    profile: LanguageProfile,
+    id_: str,
+    text: str = "text",
+    lang: str = "lang",
+    temperatures: Sequence[float] = TEMPERATURES,
+) -> float:
+    """The temperature under which the true languages of ``df`` are most probable.
+
+    ``df`` must not be what ``profile`` was learned from.  Texts without letters
+    and of languages that the profile does not know say nothing; without any
+    others, the smallest temperature.
+    """
+    if not profile.languages:
+        return float(temperatures[0])
+    places = reference_table(
+        df.sparkSession, [(-k, code) for k, code in enumerate(profile.languages)], {"place": "int32", "_true": "string"}
     )
-    each_language = [
-        F.struct(
-            (F.col(g) + F.col("_total") * F.lit(unseen)).cast("bigint").alias("s"),
-            F.lit(-k).alias("place"),
-            F.lit(code).alias("lang"),
-        )
-        for k, (code, unseen, g) in enumerate(zip(profile.languages, profile.unseen, gains))
+    known = scores(df, profile, id_, text).join(df.select(id_, F.col(lang).alias("_true")), id_)
+    known = known.join(small(places), "_true")
+    own = F.filter("scores", lambda x: x["place"] == F.col("place"))[0]["s"]
+    loss = [
+        F.sum(
+            -F.log(posterior(F.col("scores"), t))
+            - (own - F.col("scores")[0]["s"]).cast("double") / F.lit(float(t))
+        ).alias(f"t{k}")
+        for k, t in enumerate(temperatures)
     ]
-    return sums.select(id_, F.array_max(F.array(*each_language)).alias("_w")).select(
-        id_, F.col("_w.lang").alias("detected"), F.col("_w.s").alias("log_score")
-    )
+    row = known.agg(*loss).first()
+    return float(min(zip((x if x is not None else 0.0 for x in row), temperatures))[1])
 
 
-def detect(df: DataFrame, profile: LanguageProfile, id_: str, text: str = "text") -> DataFrame:
-    """``df`` without its text, with ``detected``; unknown for texts without any letter.
+def detect(
+    df: DataFrame,
+    profile: LanguageProfile,
+    id_: str,
+    text: str = "text",
+    temperature: float | None = None,
+) -> DataFrame:
+    """``df`` without its text, with ``detected`` and ``log_score``; unknown for texts without any letter.
 
-    The text itself is not shuffled; join by id where it is wanted.
+    With a ``temperature`` also ``probability``, that of the detected language; 0
+    where it is unknown.  The text itself is not shuffled; join by id where it is wanted.
     """
     rest = df.drop(text)
     unknown = F.lit(fixed.UNKNOWN_LANGUAGE)
     if not profile.languages:
-        return rest.select(
-            "*", unknown.alias("detected"), F.lit(None).cast("bigint").alias("log_score")
-        )
-    joined = rest.join(score(df, profile, id_, text), id_, "left")
-    return joined.withColumn("detected", F.coalesce(F.col("detected"), unknown))
+        out = rest.withColumn("detected", unknown).withColumn("log_score", F.lit(None).cast("bigint"))
+        return out if temperature is None else out.withColumn("probability", F.lit(0.0))
+    found = scores(df, profile, id_, text)
+    best = F.col("scores")[0]
+    kept = [id_, best["s"].alias("log_score"), (-best["place"]).alias("_place")]
+    if temperature is not None:
+        kept.append(posterior(F.col("scores"), temperature).alias("probability"))
+    found = found.select(*kept)
+    names = reference_table(
+        df.sparkSession, list(enumerate(profile.languages)), {"_place": "int32", "detected": "string"}
+    )
+    found = found.join(small(names), "_place").drop("_place")
+    joined = rest.join(found, id_, "left")
+    joined = joined.withColumn("detected", F.coalesce(F.col("detected"), unknown))
+    if temperature is not None:
+        joined = joined.withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    names_ = [*rest.columns, "detected", "log_score"] + (["probability"] if temperature is not None else [])
+    return joined.select(*names_)
