@@ -93,11 +93,19 @@ def by_letter(word):
 
 
 @pytest.mark.parametrize("length", [1, 2, 3, 255, 256, 257, 258, 511, 512, 513, 1000])
-def test_grams(spark, length):
+def test_grams(spark, monkeypatch, length):
     word = "".join(chr(ord("a") + (i * i) % 26) if i % 5 else "汉" for i in range(length))
     texts = spark.createDataFrame([(f"{word}, 12 x",)], "t string")
     got = sorted(r.gram for r in langid.grams(langid.words(texts, F.col("t"))).collect())
     assert got == sorted(by_letter(word) + by_letter("x"))
+    monkeypatch.setattr(langid, "RUN", 200)
+    letters = texts.select(langid._letters(F.col("t"))).first()[0]
+    keys = [k for part in langid._keys(letters) for k in part.tolist()]
+    assert sorted(map(langid._gram, keys)) == got and [langid._key(g) for g in map(langid._gram, keys)] == keys
+    monkeypatch.setattr(langid, "HELD", 100)
+    taught = spark.createDataFrame([(word, "a"), ("x " + word, "b"), ("", "c")], "text string, lang string")
+    counted = langid.fit(taught.coalesce(1)).table
+    assert counted.where("lang = 'a'").count() == len(set(by_letter(word)))
 
 
 def scores(taught, text):
@@ -164,7 +172,7 @@ def test_five_thousand_languages(spark, monkeypatch):
     rows, widths = [], []
     for gains in (1 << 40, 0):
         monkeypatch.setattr(langid, "PROFILE_GAINS", gains)
-        monkeypatch.setattr(langid, "CACHE_BYTES", 200_000)
+        monkeypatch.setattr(langid, "RUN", 5)
         found = langid.scores(df, profile, "i")
         rows.append({r.i: [tuple(x) for x in r.scores] for r in found.collect()})
         plans = [langid.scores(df, p, "i")._jdf.queryExecution().analyzed().toString() for p in (profile, few)]

@@ -1,10 +1,9 @@
 """Language identification by naive Bayes over character 1- to 3-grams.
 
-Words are counted first, per language to learn and per text to score: a word's
-score in each language is worked out once and not for each text that holds it.
-A learned profile that is proven small goes to the texts, which then stay where
-they are; beyond that the grams of distinct words meet the profile in joins.
-Either way a language is a place in an array or a row, never a column, so plans
+Grams are made of whole texts at a time, as arrays of numbers, and each task adds
+up its own before anything is shuffled.  A learned profile that is proven small
+goes to the texts, which then stay where they are; beyond that the grams of
+distinct words meet the profile in joins.  Either way a language is a place in an array or a row, never a column, so plans
 are as wide for thousands of languages as for two.  Log-probabilities are held as
 whole millionths, so sums come out the same in whatever order Spark adds them.
 
@@ -13,7 +12,6 @@ not learned from: grams of one text are not independent, and without it nearly
 every text would be called certain.
 """
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -30,8 +28,8 @@ PIECE = 256
 PROFILE_ROWS = 2_000_000
 #: Most gains (grams times languages) of a profile that goes to the texts.
 PROFILE_GAINS = 4_000_000
-#: Bytes of word scores that a task keeps at hand.
-CACHE_BYTES = 32 << 20
+#: Characters looked at together, and distinct grams that a task counts before it passes them on.
+RUN, HELD = 1 << 20, 1 << 20
 #: Temperatures tried: millionths of a log-probability that count as one.
 TEMPERATURES = tuple(SCALE * 2**k for k in range(13))
 
@@ -68,6 +66,65 @@ def grams(found: DataFrame) -> DataFrame:
     )
 
 
+def _letters(text: Column) -> Column:
+    """A text's words as ``words`` finds them, with a blank before and after each."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
+
+
+def _keys(letters: str) -> Iterator[np.ndarray]:
+    """The grams that ``grams`` makes, of each run of a text, as numbers: 21 bits a character."""
+    codes = np.frombuffer(letters.encode("utf-32-le"), "<u4").astype(np.int64)
+    for start in range(1, len(codes) - 1, RUN):
+        inside = slice(start, min(start + RUN, len(codes) - 1))
+        at = np.flatnonzero(codes[inside] != 32) + start
+        one = codes[at] << 21
+        two = one | codes[at + 1]
+        yield np.concatenate([one, two, two | codes[at - 1] << 42])
+
+
+def _gram(key: int) -> str:
+    return "".join(chr(c) for c in (key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF) if c)
+
+
+def _key(gram: str) -> int:
+    codes = [ord(c) for c in gram]
+    if len(codes) == 3:
+        return codes[0] << 42 | codes[1] << 21 | codes[2]
+    return codes[0] << 21 | (codes[1] if len(codes) == 2 else 0)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of rows (lang, letters): what a task has seen."""
+    held: dict[str, list[np.ndarray]] = {}
+    size = 0
+
+    def merged() -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        for lang, parts in held.items():
+            keys, counts = (np.concatenate(x) for x in zip(*parts))
+            found, place = np.unique(keys, return_inverse=True)
+            out[lang] = found, np.bincount(place, counts).astype(np.int64)
+        return out
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        for lang, (keys, counts) in merged().items():
+            columns = [pa.array([lang] * len(keys), pa.string()), pa.array(map(_gram, keys.tolist()), pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], ["lang", "gram", "n"])
+
+    for batch in batches:
+        for lang, letters in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for keys in _keys(letters.as_py() or ""):
+                held.setdefault(lang, []).append(np.unique(keys, return_counts=True))
+                size += len(held[lang][-1][0])
+            if size > HELD:
+                held = {k: [v] for k, v in merged().items()}
+                size = sum(len(v[0][0]) for v in held.values())
+                if size > HELD // 2:
+                    yield from flushed()
+                    held, size = {}, 0
+    yield from flushed()
+
+
 @dataclass
 class LanguageProfile:
     """What a gram adds in a language that has it: table (gram, lang, gain) over ``unseen``.
@@ -89,11 +146,9 @@ def fit(
     labelled = df.where(F.col(lang).isNotNull())
     if languages is not None:
         labelled = labelled.where(F.col(lang).isin(list(languages)))
-    n = F.count(F.lit(1)).alias("_n")
-    by_word = words(labelled, F.col(text), F.col(lang).alias("lang")).groupBy("lang", "_word").agg(n)
-    counted = written(
-        grams(by_word).groupBy("lang", "gram").agg(F.sum("_n").alias("n")), "gram-counts"
-    )
+    seen = labelled.select(F.col(lang).cast("string"), _letters(F.col(text)))
+    counted = seen.mapInArrow(_counted, "lang string, gram string, n long")
+    counted = written(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     size = counted.select("gram").distinct().count()
     sums = dict(counted.groupBy("lang").agg(F.sum("n")).collect())  # a row per language
     found = sorted(sums if languages is None else languages)
@@ -125,57 +180,38 @@ def _parts(df: DataFrame, profile: LanguageProfile, id_: str, text: str) -> Data
     )
     rows = learned.select("gram", "_place", "gain").toArrow()
     grams_ = rows.column("gram").combine_chunks().dictionary_encode()
-    row_of = {g: k for k, g in enumerate(grams_.dictionary.to_pylist())}
-    n = len(profile.languages)
-    gains = np.zeros((len(row_of) + 1, n), np.int64)
-    gains[grams_.indices.to_numpy(), rows.column("_place").to_numpy()] = rows.column("gain").to_numpy()
+    keys = np.array([_key(g) for g in grams_.dictionary.to_pylist()], np.int64)
+    order = np.argsort(keys)
+    keys, n = keys[order], len(profile.languages)
+    # The last row is that of grams which no language has.
+    gains = np.zeros((len(keys) + 1, n), np.int64)
+    row = np.argsort(order)[grams_.indices.to_numpy()]
+    gains[row, rows.column("_place").to_numpy()] = rows.column("gain").to_numpy()
     unseen = np.array(profile.unseen, np.int64)
-    most = max(1, CACHE_BYTES // (8 * n))
-
-    def word_score(word: str) -> np.ndarray:
-        padded, found = f" {word} ", []
-        for i in range(len(word)):
-            found += (padded[i + 1], padded[i + 1 : i + 3], padded[i : i + 3])
-        own = [row_of[g] for g in found if g in row_of]
-        return gains[own].sum(axis=0) + unseen * len(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        scores = np.zeros((0, n), np.int64)
         for batch in batches:
             at, sums = [], []
-            for k, words_ in enumerate(batch.column(1)):
-                times = Counter(words_.as_py() or ())
-                times.pop("", None)
-                if not times:
-                    continue
-                total = np.zeros(n, np.int64)
-                left = list(times)
-                for start in range(0, len(left), most):
-                    some = left[start : start + most]
-                    new = [w for w in some if w not in known]
-                    if len(known) + len(new) > most:
-                        known, scores, new = {}, scores[:0], some
-                    if new:
-                        first = len(known)
-                        known.update(zip(new, range(first, first + len(new))))
-                        if len(known) > len(scores):
-                            grown = np.zeros((min(most, max(2 * len(scores), len(known), 1024)), n), np.int64)
-                            grown[:first] = scores[:first]
-                            scores = grown
-                        for j, w in enumerate(new, first):
-                            scores[j] = word_score(w)
-                    total += np.array([times[w] for w in some]) @ scores[[known[w] for w in some]]
-                at.append(k)
-                sums.append(total)
+            for k, letters in enumerate(batch.column(1)):
+                total, size = np.zeros(n, np.int64), 0
+                for own in _keys(letters.as_py() or ""):
+                    place = np.searchsorted(keys, own)
+                    known = keys[np.minimum(place, len(keys) - 1)] == own
+                    counts = np.bincount(np.where(known, place, len(keys)), minlength=len(gains))
+                    some = np.flatnonzero(counts)
+                    total += counts[some] @ gains[some]
+                    size += len(own)
+                if size:
+                    at.append(k)
+                    sums.append(total + size * unseen)
             if at:
                 ids = batch.column(0).take(pa.array(np.repeat(at, n)))
                 place = pa.array(np.tile(np.arange(n, dtype=np.int32), len(at)))
                 yield pa.RecordBatch.from_arrays([ids, place, pa.array(np.concatenate(sums))], ["i", "p", "s"])
 
-    found = F.split(F.lower(F.col(text)), r"[^\p{L}]+")
     kind = df.schema[id_].dataType.simpleString()
-    return df.select(id_, found.alias("_words")).mapInArrow(run, f"_id {kind}, _place int, s long")
+    read = df.select(id_, _letters(F.col(text)))
+    return read.mapInArrow(run, f"_id {kind}, _place int, s long")
 
 
 def _joined_parts(df: DataFrame, profile: LanguageProfile, id_: str, text: str) -> DataFrame:

@@ -16,7 +16,7 @@ from textloom.operators.routing import (
 from textloom.plans.tasks import prepare
 from textloom.plans.templates import TEMPLATES, template_table
 from textloom.queries.common import sql_list, sql_str, sql_strip, sql_tokens, table
-from textloom.sources.texts import non_blank
+from textloom.sources.texts import non_blank, spread_out
 
 
 def lang_confidence(spark, folder):
@@ -94,7 +94,7 @@ def prompt_lookup(spark, folder):
 
 def language_id(spark, folder):
     """Learn the languages from all labelled documents, then identify each document."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = spread_out(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     profile = langid.fit(docs)
     docs = docs.withColumn("all", confidences(F.col("text")))
     return langid.detect(docs, profile, "doc_id").select(

@@ -57,3 +57,13 @@ def decode_requests(
 def text_lines(df: DataFrame, text: str = "text", *keep: str | Column) -> DataFrame:
     """One row per line of each text: the kept columns, line_no and line."""
     return df.select(*keep, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions than there are; larger tables stay as read.
+
+    A small file may be one piece however many tasks read it.  Worth its shuffle only
+    where much is done with each text.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
