@@ -145,3 +145,78 @@ def test_guard_opens_and_recovers(spark):
         rows, failing, model="model", guard=True, recovery_seconds=-1
     ).collect()
     assert all(r.attempts == 1 for r in recovering)
+
+
+def counting_factory(folder):
+    """Writes each call down, and takes the whole worker with it on the first call of "kill"."""
+
+    def factory(name):
+        import os
+
+        def run(prompt):
+            with open(f"{folder}/calls", "a") as log:
+                log.write(prompt + "\n")
+            if prompt == "kill" and not os.path.exists(f"{folder}/killed"):
+                open(f"{folder}/killed", "w").close()
+                os._exit(1)
+            return prompt.upper()
+
+        return run
+
+    return factory
+
+
+def test_a_killed_task_does_not_call_again(spark, tmp_path):
+    """The job fails midway; started again, it asks for the unanswered prompts only."""
+    prompts = [f"p{k}" for k in range(60)]
+    rows = [(k, p, "m") for k, p in enumerate([*prompts[:40], "kill", *prompts[40:], None])]
+    df = spark.createDataFrame(rows, "i int, prompt string, _other string").coalesce(1)
+    options = {"journal": str(tmp_path / "journal"), "key": ["i"], "batch_rows": 8}
+    run = counting_factory(str(tmp_path))
+    with pytest.raises(Exception, match="(?i)crashed|exit|EOF|Job aborted"):
+        run_callable(df, run, **options)
+    first = (tmp_path / "calls").read_text().split()
+    assert "kill" in first and 40 <= len(first) < 60
+    got = {r.i: r for r in run_callable(df, run, **options).collect()}
+    assert {i: got[i].result for i, p, _ in rows} == {i: p and p.upper() for i, p, _ in rows}
+    calls = (tmp_path / "calls").read_text().split()
+    assert calls.count("kill") == 2 and sorted({c for c in calls}) == sorted([*prompts, "kill"])
+    # Only the batch that was under way is asked for again.
+    assert len(calls) - len(set(calls)) <= 8
+    run_callable(df, run, **options)
+    assert (tmp_path / "calls").read_text().split() == calls
+
+
+def test_a_repeated_task_reads_its_own_answers(tmp_path):
+    """Within one job: a second attempt of a partition makes the calls that the first had no answer to."""
+    import pyarrow as pa
+
+    from textloom.operators.inference import _ADDED, _call_batches
+
+    known = pa.struct([f for _, f in _ADDED])
+    batch = pa.record_batch(
+        {"prompt": [f"p{k}" for k in range(20)], "_call": [str(k) for k in range(20)], "_known": pa.nulls(20, known)}
+    )
+    asked = []
+
+    def factory(name):
+        def run(prompt):
+            asked.append(prompt)
+            if prompt == "p13" and asked.count("p13") == 1:
+                raise ValueError("no")
+            return prompt + "!"
+
+        return run
+
+    def attempt():
+        return _call_batches(
+            iter([batch]), factory, "prompt", None, 1, 0.0, None, 1, 5, (str(tmp_path), "job")
+        )
+
+    first = attempt()
+    got = [next(first) for _ in range(3)]
+    first.close()
+    assert got[2].column("call_error").to_pylist()[3] == "no"
+    rest = pa.Table.from_batches(list(attempt()))
+    assert rest.column("result").to_pylist() == [f"p{k}!" for k in range(20)]
+    assert len(asked) == 21 and asked.count("p13") == 2 and "_call" not in rest.column_names

@@ -3,17 +3,23 @@
 Calls may cost money, so results are written to the shared folder before
 anything reads them: however often they are used, each prompt is called for
 once.  Spark may still run a task again after an executor is lost; leave
-speculation off.
+speculation off.  With a journal, answers are also put down while a task goes
+on, so that a repeated task, or a job started again after it failed, makes only
+the calls that had not been answered.
 """
 
 import threading
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from textloom import fixed
@@ -32,6 +38,49 @@ _ADDED = [
 
 
 OTHER, API, REJECTED = "other", "api", "rejected"
+_ANSWER = pa.schema([("_call", pa.string()), *[field for _, field in _ADDED]])
+
+
+class Journal:
+    """Answers of one task's calls, in files of its own below ``folder``, which all executors share.
+
+    A file is complete or not there: it gets its name once it is written.
+    """
+
+    def __init__(self, folder: str, job: str):
+        self.files, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        context = TaskContext.get()
+        self.own = f"{root}/{job}/part-{context.partitionId() if context else 0}"
+
+    def answers(self) -> dict[str, tuple]:
+        """What an earlier attempt of this task was answered, by call."""
+        place = fs.FileSelector(self.own, allow_not_found=True)
+        known: dict[str, tuple] = {}
+        for file in self.files.get_file_info(place):
+            if file.path.endswith(".parquet"):
+                with self.files.open_input_file(file.path) as source:
+                    rows = pq.read_table(source).to_pylist()
+                known |= {r["_call"]: tuple(r[field.name] for _, field in _ADDED) for r in rows}
+        return known
+
+    def put_down(self, answers: list[tuple]) -> None:
+        self.files.create_dir(self.own, recursive=True)
+        name = uuid.uuid4().hex
+        table = pa.table(dict(zip(_ANSWER.names, zip(*answers))), schema=_ANSWER)
+        with self.files.open_output_stream(f"{self.own}/.{name}") as out:
+            pq.write_table(table, out)
+        self.files.move(f"{self.own}/.{name}", f"{self.own}/{name}.parquet")
+
+
+def journalled(df: DataFrame, journal: str) -> DataFrame:
+    """``df`` with ``_known``, what earlier jobs with this journal were answered to a row's ``_call``."""
+    spark = df.sparkSession
+    schema = StructType([StructField("_call", StringType())] + [f for f, _ in _ADDED])
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{journal}/none")
+    seen = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(journal)
+    answer = F.struct(*[f.name for f, _ in _ADDED])
+    first = seen.groupBy("_call").agg(F.min(answer).alias("_known"))
+    return df.join(first, "_call", "left")
 
 
 class CallFailure(Exception):
@@ -69,10 +118,13 @@ def _call_batches(
     guard: tuple[int, int] | None,
     concurrency: int,
     batch_rows: int,
+    journal: tuple[str, str] | None = None,
 ) -> Iterator[pa.RecordBatch]:
     built: dict = {}
     held: dict = {}
     lock = threading.Lock()
+    notes = Journal(*journal) if journal else None
+    known = notes.answers() if notes else {}
 
     def model_of(name: str | None):
         with lock:
@@ -111,8 +163,25 @@ def _call_batches(
                 batch = whole.slice(start, batch_rows)
                 texts = batch.column(prompt).to_pylist()
                 names = batch.column(model).to_pylist() if model else [None] * len(texts)
-                columns = zip(*each(run_one, names, texts))
-                for (_, field), values in zip(_ADDED, columns):
+                if notes is None:
+                    rows = list(each(run_one, names, texts))
+                else:
+                    calls = batch.column("_call").to_pylist()
+                    earlier = batch.column("_known").to_pylist()
+                    rows = [
+                        known.get(c) or (tuple(e[f.name] for _, f in _ADDED) if e else None)
+                        for c, e in zip(calls, earlier)
+                    ]
+                    open_ = [k for k, row in enumerate(rows) if row is None]
+                    made = list(each(run_one, [names[k] for k in open_], [texts[k] for k in open_]))
+                    for k, row in zip(open_, made):
+                        rows[k] = row
+                    # Failures are tried again by whoever comes back.
+                    answered = [(calls[k], *row) for k, row in zip(open_, made) if row[0] is not None]
+                    if answered:
+                        notes.put_down(answered)
+                    batch = batch.drop_columns(["_call", "_known"])
+                for (_, field), values in zip(_ADDED, zip(*rows)):
                     batch = batch.append_column(field, pa.array(values, type=field.type))
                 yield batch
 
@@ -131,6 +200,8 @@ def run_callable(
     concurrency: int = 1,
     batch_rows: int = 64,
     once: bool = True,
+    journal: str | None = None,
+    key: Sequence[str] = (),
 ) -> DataFrame:
     """Add result, call_error, error_type, attempts and elapsed_ms to each row.
 
@@ -145,10 +216,21 @@ def run_callable(
 
     The calls are made now and their results written to the shared folder;
     with ``once=False`` they are made whenever the result is computed.
+
+    With ``journal``, a folder that all executors share, answers are put down after
+    each ``batch_rows`` calls, and a task or a job that comes back with the same
+    folder takes them from there instead of calling again.  A call is known by the
+    row's ``key`` columns, model and prompt; rows alike in all of these may share an
+    answer.  Errors are not answers: such calls are made again.
     """
+    columns = df.columns
+    if journal:
+        call = F.to_json(F.struct(*key, *([model] if model else []), prompt), {"ignoreNullFields": "false"})
+        df = journalled(df.withColumn("_call", F.sha2(call, 256)), journal).select(*columns, "_call", "_known")
     if partitions:
         df = df.repartition(partitions)
-    schema = StructType(df.schema.fields + [spark_field for spark_field, _ in _ADDED])
+    fields = [f for f in df.schema.fields if f.name in columns]
+    schema = StructType(fields + [spark_field for spark_field, _ in _ADDED])
     work = partial(
         _call_batches,
         factory=factory,
@@ -159,6 +241,7 @@ def run_callable(
         guard=(threshold, round(recovery_seconds * 1_000_000)) if guard else None,
         concurrency=concurrency,
         batch_rows=batch_rows,
+        journal=(journal, uuid.uuid4().hex) if journal else None,
     )
     called = df.mapInArrow(work, schema)
     return written(called, "calls") if once else called

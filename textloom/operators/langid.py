@@ -12,6 +12,7 @@ not learned from: grams of one text are not independent, and without it nearly
 every text would be called certain.
 """
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom import fixed
-from textloom.operators.lookup import lookup_join, reference_table, small
+from textloom.operators.lookup import BROADCAST_ROWS, lookup_join, reference_table
 from textloom.session import written
 
 SCALE = 1_000_000
@@ -152,32 +153,27 @@ def fit(
     size = counted.select("gram").distinct().count()
     sums = dict(counted.groupBy("lang").agg(F.sum("n")).collect())  # a row per language
     found = sorted(sums if languages is None else languages)
-    totals = reference_table(
-        df.sparkSession,
-        [(code, float(sums.get(code, 0) + size)) for code in found if sums.get(code, 0) + size],
-        {"lang": "string", "total": "float64"},
-    )
+    totals = {code: float(sums.get(code, 0) + size) for code in found if sums.get(code, 0) + size}
+    # Log-probability of a gram that a language has never shown
+    unseen = {code: round(math.log(1.0 / total) * SCALE) for code, total in totals.items()}
+    known = [(code, totals[code], unseen[code]) for code in totals]
+    known = _of_languages(df, known, {"lang": "string", "total": "float64", "none": "int64"})
+    share = (F.col("n") + 1).cast("double") / F.col("total")
+    gain = F.round(F.log(share) * F.lit(float(SCALE))).cast("bigint") - F.col("none")
+    table = counted.join(known, "lang").select("gram", "lang", gain.alias("gain"))
+    return LanguageProfile(found, table, [unseen.get(code, 0) for code in found], size)
 
-    def log_probability(count: Column) -> Column:
-        share = (count + 1).cast("double") / F.col("total")
-        return F.round(F.log(share) * F.lit(float(SCALE))).cast("bigint")
 
-    none = log_probability(F.lit(0))
-    unseen = dict(totals.select("lang", none).collect())
-    table = lookup_join(counted, totals, ["lang"]).select(
-        "gram", "lang", (log_probability(F.col("n")) - none).alias("gain")
-    )
-    return LanguageProfile(found, table, [unseen.get(code, 0) for code in found], size)
+def _of_languages(df: DataFrame, rows: Sequence[tuple], schema: dict[str, str]) -> DataFrame:
+    """A table with a row per language, marked for broadcast if there are not very many."""
+    table = reference_table(df.sparkSession, rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
 
 
 def _parts(df: DataFrame, profile: LanguageProfile, id_: str, text: str) -> DataFrame:
     """(id, place, s): parts of each text's score in each language, to be added up; a small profile."""
-    learned = profile.table.join(
-        reference_table(
-            df.sparkSession, list(enumerate(profile.languages)), {"_place": "int32", "lang": "string"}
-        ),
-        "lang",
-    )
+    places = _of_languages(df, list(enumerate(profile.languages)), {"_place": "int32", "lang": "string"})
+    learned = profile.table.join(places, "lang")
     rows = learned.select("gram", "_place", "gain").toArrow()
     grams_ = rows.column("gram").combine_chunks().dictionary_encode()
     keys = np.array([_key(g) for g in grams_.dictionary.to_pylist()], np.int64)
@@ -219,12 +215,9 @@ def _joined_parts(df: DataFrame, profile: LanguageProfile, id_: str, text: str)
     times = F.count(F.lit(1)).alias("_times")
     by_text = words(df, F.col(text), F.col(id_).alias("_id")).groupBy("_id", "_word").agg(times)
     by_text = written(by_text, "text-words")
-    codes = reference_table(
-        df.sparkSession,
-        list(zip(range(len(profile.languages)), profile.languages, profile.unseen)),
-        {"_place": "int32", "lang": "string", "unseen": "int64"},
-    )
-    learned = lookup_join(profile.table, codes.drop("unseen"), ["lang"])
+    rows = list(zip(range(len(profile.languages)), profile.languages, profile.unseen))
+    codes = _of_languages(df, rows, {"_place": "int32", "lang": "string", "unseen": "int64"})
+    learned = profile.table.join(codes, "lang")
     gains = learned.groupBy("gram").agg(F.collect_list(F.struct("_place", "gain")).alias("gains"))
     each = grams(by_text.select("_word").distinct())
     known = lookup_join(each, written(gains, "gram-gains"), ["gram"], max_rows=PROFILE_ROWS)
@@ -238,7 +231,7 @@ def _joined_parts(df: DataFrame, profile: LanguageProfile, id_: str, text: str)
     # Three grams per letter
     totals = by_text.groupBy("_id").agg(F.sum(F.col("_times") * F.length("_word") * 3).alias("_total"))
     every = F.explode(F.sequence(F.lit(0), F.lit(len(profile.languages) - 1))).alias("_place")
-    none = totals.select("_id", every, "_total").join(small(codes), "_place")
+    none = totals.select("_id", every, "_total").join(codes, "_place")
     none = none.select("_id", "_place", (F.col("_total") * F.col("unseen")).cast("bigint").alias("s"))
     return parts.unionByName(none)
 
@@ -278,11 +271,10 @@ def fit_temperature(
     """
     if not profile.languages:
         return float(temperatures[0])
-    places = reference_table(
-        df.sparkSession, [(-k, code) for k, code in enumerate(profile.languages)], {"place": "int32", "_true": "string"}
-    )
+    rows = [(-k, code) for k, code in enumerate(profile.languages)]
+    places = _of_languages(df, rows, {"place": "int32", "_true": "string"})
     known = scores(df, profile, id_, text).join(df.select(id_, F.col(lang).alias("_true")), id_)
-    known = known.join(small(places), "_true")
+    known = known.join(places, "_true")
     own = F.filter("scores", lambda x: x["place"] == F.col("place"))[0]["s"]
     loss = [
         F.sum(
@@ -318,10 +310,8 @@ def detect(
     if temperature is not None:
         kept.append(posterior(F.col("scores"), temperature).alias("probability"))
     found = found.select(*kept)
-    names = reference_table(
-        df.sparkSession, list(enumerate(profile.languages)), {"_place": "int32", "detected": "string"}
-    )
-    found = found.join(small(names), "_place").drop("_place")
+    names = _of_languages(df, list(enumerate(profile.languages)), {"_place": "int32", "detected": "string"})
+    found = found.join(names, "_place").drop("_place")
     joined = rest.join(found, id_, "left")
     joined = joined.withColumn("detected", F.coalesce(F.col("detected"), unknown))
     if temperature is not None:

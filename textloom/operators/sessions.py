@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textloom.operators.ordered import CHUNK_ROWS, Ordered
 
 
+def _answer(goes_on: Column | None) -> Column:
+    """Whether a session goes on after a turn: so it does where nobody was asked."""
+    return F.lit(True) if goes_on is None else F.coalesce(goes_on, F.lit(True))
+
+
 def previous_results(
     df: DataFrame,
     session: Sequence[str],
@@ -25,8 +30,9 @@ def previous_results(
     can_use_previous also asks for the same task as before, and offer_previous
     for a result that is not empty.  A turn that is not ``processed``, such as
     one with a blank text, leaves what is stored as it is, unless it is forgotten.
+    No answer (null) counts as going on.
     """
-    goes_on = F.lit(True) if goes_on is None else F.coalesce(goes_on, F.lit(True))
+    goes_on = _answer(goes_on)
     good = goes_on & ~is_error
     state = F.struct(
         F.when(good, result).alias("result"),
@@ -61,9 +67,10 @@ def refinement_chains(
     """Add chain_no: turns stay in a chain while each reuses the result before it.
 
     A chain ends with an error, with another task, and where ``goes_on``, the
-    answer given after a turn, is false.
+    answer given after a turn, is false.  No answer (null) counts as going on, as
+    in ``previous_results``.
     """
-    goes_on = F.lit(True) if goes_on is None else goes_on
+    goes_on = _answer(goes_on)
     state = F.struct(task.alias("task"), (goes_on & result.isNotNull() & ~is_error).alias("goes_on"))
     ordered = Ordered(df, session, order, chunk_rows).previous(state, "_before")
     before = F.col("_before")

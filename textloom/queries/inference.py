@@ -10,6 +10,7 @@ from textloom.plans.tasks import execute, prepare
 from textloom.plans.templates import TEMPLATES, template_table
 from textloom.queries.common import sql_str, sql_strip, table
 from textloom.queries.routing import _models, _requests
+from textloom.session import new_folder
 
 PAUSE = 0.0
 
@@ -56,6 +57,29 @@ def dead_factory(name):
     return run
 
 
+def other_factory(name):
+    """Answers whatever it is asked, in its own way."""
+
+    def run(prompt: str) -> str:
+        return f"again {prompt}"
+
+    return run
+
+
+def journal_resume(spark, folder):
+    """A job that stopped halfway and is started again: what had been answered is not asked for again.
+
+    Half the sources are answered by the echo, which fails on some; then all are asked for with
+    the same journal, and only what had no answer goes to the other model.
+    """
+    docs = table(spark, folder, "documents").select("doc_id", "source", F.substring("text", 1, 200).alias("prompt"))
+    journal = new_folder(spark, "journal")
+    options = {"model": "source", "journal": journal, "key": ["doc_id"], "batch_rows": 500}
+    run_callable(docs.where("source < 'src3'"), echo_factory, **options)
+    done = run_callable(docs, other_factory, **options)
+    return done.select("doc_id", F.md5("result").alias("h"), F.col("call_error").isNull().alias("is_answered"))
+
+
 def flaky_factory(name):
     """Fails once on a text with ### and always on a text with $$$."""
     seen: dict[str, int] = {}
@@ -230,6 +254,12 @@ QUERIES = {
             || CASE WHEN unselected THEN 'unknown' ELSE task_id END || ''': ' || error END) AS message_h
         FROM e""",
     ),
+    "journal_resume": (
+        journal_resume,
+        """SELECT doc_id, md5(CASE WHEN source < 'src3' AND NOT contains(p, '$$$') AND NOT contains(p, '&&&')
+            THEN '[' || source || '] ' || p ELSE 'again ' || p END) AS h, true AS is_answered
+        FROM (SELECT doc_id, source, substr(text, 1, 200) AS p FROM documents)""",
+    ),
     "task_breaker": (
         task_breaker,
         """WITH d AS (SELECT source AS model_key, row_number() OVER (PARTITION BY source) AS k

@@ -59,7 +59,7 @@ def refine_chains(spark, folder):
         F.col("task"),
         F.col("result"),
         F.col("is_error"),
-        F.col("processed"),
+        F.col("goes_on"),
     )
     return chain_summary(
         chains, ["conv_id"], F.col("turn"), F.coalesce("result", F.lit("-"))
@@ -233,7 +233,7 @@ QUERIES = {
     "refine_chains": (
         refine_chains,
         f"""WITH t AS ({_TURNS_SQL}),
-        b AS (SELECT *, lag(task) OVER w AS pt, lag(result) OVER w AS pr, lag(processed) OVER w AS pp
+        b AS (SELECT *, lag(task) OVER w AS pt, lag(result) OVER w AS pr, lag(goes_on) OVER w AS pp
               FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
         c AS (SELECT *, sum(CASE WHEN pr IS NOT NULL AND pp AND pt = task THEN 0 ELSE 1 END)
               OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS chain_no FROM b)
