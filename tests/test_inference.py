@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.inference import run_callable
 from textloom.operators.sessions import previous_results, refinement_chains
+from textloom.operators.waves import run_in_waves
 from textloom.plans.tasks import execute
 
 
@@ -147,6 +148,73 @@ def test_guard_opens_and_recovers(spark):
     assert all(r.attempts == 1 for r in recovering)
 
 
+def make_moody():
+    def moody(name):
+        def run(prompt):
+            if name == "dead" or (name == "moody" and "bad" in prompt):
+                raise RuntimeError("no")
+            return prompt.upper()
+
+        return run
+
+    return moody
+
+
+moody = make_moody()
+
+
+def by_waves(rows, size, threshold, recovery, times):
+    """Outcomes by i: answered, failed, rejected or not asked, wave by wave and model by model."""
+    out, clock, states = {}, iter(times), {}
+    queues = {}
+    for i, prompt, name in sorted(rows, key=lambda r: r[0]):
+        queues.setdefault(name, []).append((i, prompt))
+    for start in range(0, max(map(len, queues.values())), size):
+        at, end = next(clock), next(clock)
+        for name, queue in queues.items():
+            failures, last, opened = states.get(name, (0, None, False))
+            part = [x for x in queue[start : start + size] if x[1] is not None]
+            out.update({i: "not asked" for i, p in queue[start : start + size] if p is None})
+            fails = lambda p: name == "dead" or (name == "moody" and "bad" in p)
+            if opened and at - last > recovery and part:
+                (i, p), *part = part
+                if fails(p):
+                    failures, last = failures + 1, at
+                else:
+                    failures, opened = 0, False
+                out[i] = "failed" if fails(p) else "answered"
+            for i, p in part:
+                out[i] = "rejected" if opened else "failed" if fails(p) else "answered"
+            if not opened and (n := sum(fails(p) for _, p in part)):
+                failures, last = failures + n, end
+                opened = failures >= threshold
+            states[name] = failures, last, opened
+    return out
+
+
+@pytest.mark.parametrize("step", [0, 45])
+def test_one_breaker_per_model_for_all_tasks(spark, step):
+    """However many tasks call, a dead model is called for one wave, and then once in a recovery time."""
+    names = ["dead", "moody", "good", None]
+    rows = [(k, None if k % 11 == 5 else f"{'bad' if k // 20 % 3 == 0 else 'p'}{k}", names[k % 4]) for k in range(100)]
+    df = spark.createDataFrame(rows, "i int, prompt string, model string").repartition(8)
+    times = [float(step * k) for k in range(100)]
+    clock = iter(times)
+    done = run_in_waves(
+        df, moody, "model", ["i"], wave_rows=5, threshold=3, recovery_seconds=60, now=lambda: next(clock)
+    )
+    assert done.columns == ["i", "prompt", "model", "result", "call_error", "error_type", "attempts", "elapsed_ms"]
+    got = {}
+    for r in done.collect():
+        assert r.i not in got
+        kind = "rejected" if r.error_type == "rejected" else "failed" if r.call_error else "answered"
+        got[r.i] = "not asked" if r.prompt is None else kind
+        assert r.attempts == (kind != "rejected" and r.prompt is not None)
+    assert got == by_waves(rows, 5, 3, 60, times)
+    assert "rejected" in got.values()
+    assert run_in_waves(df.where("false"), moody, "model", ["i"]).collect() == []
+
+
 def counting_factory(folder):
     """Writes each call down, and takes the whole worker with it on the first call of "kill"."""
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from textloom import fixed
 from textloom.operators.inference import CallFailure, run_callable
 from textloom.operators.sessions import previous_results, refinement_chains
+from textloom.operators.waves import run_in_waves
 from textloom.plans.requests import answer, not_ready
 from textloom.plans.tasks import execute, prepare
 from textloom.plans.templates import TEMPLATES, template_table
@@ -57,6 +58,18 @@ def dead_factory(name):
     return run
 
 
+def task_waves(spark, folder):
+    """Two dead models behind a breaker that all tasks share: a wave of calls each, and no more.
+
+    The clock stands still, so that no breaker tries again.
+    """
+    docs = table(spark, folder, "documents").select("doc_id", "source", F.substring("text", 1, 80).alias("prompt"))
+    wave_rows = 1 + docs.count() // 50
+    done = run_in_waves(docs, dead_factory, "source", ["doc_id"], wave_rows=wave_rows, now=lambda: 0.0)
+    outcome = F.coalesce("error_type", F.lit("answered")).alias("outcome")
+    return done.groupBy("source", outcome).agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").alias("n_calls"))
+
+
 def other_factory(name):
     """Answers whatever it is asked, in its own way."""
 
@@ -254,6 +267,14 @@ QUERIES = {
             || CASE WHEN unselected THEN 'unknown' ELSE task_id END || ''': ' || error END) AS message_h
         FROM e""",
     ),
+    "task_waves": (
+        task_waves,
+        """WITH d AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+        o AS (SELECT source, CASE WHEN source NOT IN ('src0', 'src1') THEN 'answered'
+            WHEN place <= 1 + (SELECT count(*) FROM documents) // 50 THEN 'other' ELSE 'rejected' END AS outcome FROM d)
+        SELECT source, outcome, count(*) AS n,
+          sum(CASE WHEN outcome = 'rejected' THEN 0 ELSE 1 END)::BIGINT AS n_calls FROM o GROUP BY ALL""",
+    ),
     "journal_resume": (
         journal_resume,
         """SELECT doc_id, md5(CASE WHEN source < 'src3' AND NOT contains(p, '$$$') AND NOT contains(p, '&&&')
