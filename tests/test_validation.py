@@ -145,3 +145,27 @@ def test_split(spark, tmp_path):
     path = str(tmp_path / "out")
     write_split(rows, path)
     assert spark.read.parquet(f"{path}/status=failed").collect()[0].i == 2
+
+
+def test_bodies_and_fields_of_other_types(spark):
+    """Each has one defined outcome, and none ends the job."""
+    bodies = {
+        '{"model": "m", "task_key": 1, "text": "t"}': ("m", "1", "t"),
+        '{"model": null, "task_key": true, "text": 1.50}': ("", "true", "1.5"),
+        '{"model": [1, 2], "task_key": {"a": null}, "text": " \\u3000x "}': ("[1,2]", '{"a":null}', "x"),
+        '{"model": "a", "model": "b", "text": "\\u0041"}': ("b", "", "A"),
+        '["m", "1", "t"]': ("", "", ""),
+        '[{"model": "m"}]': ("", "", ""),
+        "5": ("", "", ""),
+        '"text"': ("", "", ""),
+        "null": ("", "", ""),
+        "{}": ("", "", ""),
+        "": ("", "", ""),
+        '{"model": "m"} {"model": "n"}': ("", "", ""),
+        "{'model': 'm'}": ("", "", ""),
+        '{"model": "m"': ("", "", ""),
+        None: ("", "", ""),
+    }
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    got = {r.body: (r.model, r.task_key, r.text) for r in decode_requests(df).collect()}
+    assert got == bodies

@@ -1,6 +1,8 @@
 """Queries that curate, group and number a catalogue."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions import text as T
 from textloom.operators.catalogue import (
@@ -18,7 +20,9 @@ from textloom.operators.lookup import lookup_join
 from textloom.operators.ordered import pages, positions
 from textloom.plans.catalogue import curate, load, no_models_message
 from textloom.queries.common import sql_natural, table
+from textloom.session import new_folder
 from textloom.sources.listings import initialise, kept_snapshots, with_fallback
+from textloom.sources.snapshots import fetched
 
 
 def _part_key():
@@ -47,6 +51,23 @@ def kw_filter_by_group(spark, folder):
     )
 
 
+def snapshot_reuse(spark, folder):
+    """A catalogue fetched by five jobs from sources that change: which of them each job sees.
+
+    The second comes within the hour and is given the first fetch; the third comes just as the
+    hour is over; the fourth forces a fetch, which finds nothing; so the fifth fetches again.
+    """
+    part = table(spark, folder, "part").select("p_partkey", "p_brand")
+    place = new_folder(spark, "snapshots")
+    jobs = [(0, False, 0), (3599, False, 1), (3600, False, 2), (3700, True, None), (3701, False, 3)]
+    seen = []
+    for job, (at, force, rest) in enumerate(jobs):
+        source = part.where(F.col("p_partkey") % 4 == F.lit(rest))
+        found = fetched(spark, place, lambda source=source: source, 3600, force, lambda at=at: 1e9 + at)
+        seen.append(found.withColumn("job", F.lit(job)))
+    return reduce(DataFrame.unionByName, seen)
+
+
 def _part_ids(part):
     return part.withColumn("id", F.concat_ws("-", "p_partkey", "p_name"))
 
@@ -380,6 +401,11 @@ QUERIES = {
                                              OR contains(lower(p_name), 'blue')))
           AND NOT EXISTS (SELECT 1 FROM r WHERE r.b = p.p_brand AND contains(lower(p.p_name), r.k))""",
     ),
+    "snapshot_reuse": (
+        snapshot_reuse,
+        """SELECT p_partkey, p_brand, job FROM part
+        JOIN (VALUES (0::INT, 0), (1, 0), (2, 2), (4, 3)) j(job, rest) ON p_partkey % 4 = rest""",
+    ),
     "kw_filter_long": (
         kw_filter_long,
         """WITH p AS (SELECT p_partkey, p_brand, p_size, p_partkey || '-' || p_name AS id,

@@ -192,7 +192,7 @@ QUERIES = {
           CASE WHEN json_valid(b) THEN coalesce(json_extract_string(b, '$.k'), '') ELSE '' END AS k,
           '' AS missing
         FROM (SELECT event_id, CASE event_type WHEN 'error' THEN substr(props, 1, 4)
-            WHEN 'view' THEN replace(props, '"', '')
+            WHEN 'view' THEN replace(props, '"', chr(39))
             WHEN 'purchase' THEN props || '] junk' ELSE props END AS b FROM events)""",
     ),
     "result_envelope": (

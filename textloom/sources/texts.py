@@ -46,7 +46,11 @@ def is_json(body: Column) -> Column:
 def decode_requests(
     df: DataFrame, body: str = "body", fields: Sequence[str] = REQUEST_FIELDS
 ) -> DataFrame:
-    """Fields of a JSON body, stripped; what is not one JSON value, and missing fields, give empty strings."""
+    """Fields of a JSON body, stripped; what is not one JSON value, and missing fields, give empty strings.
+
+    So do null fields, and all fields of a body that is no object.  A field that is no
+    text gives its value as JSON: 1, true, [1,2].
+    """
     schema = StructType([StructField(f, StringType()) for f in fields])
     request = F.from_json(F.col(body), schema, STRICT)
     parsed = df.withColumn("_request", F.when(is_json(F.col(body)), request))
