@@ -22,7 +22,9 @@ from textloom.plans.catalogue import curate, load, no_models_message
 from textloom.queries.common import sql_natural, table
 from textloom.session import new_folder
 from textloom.sources.listings import initialise, kept_snapshots, with_fallback
+from textloom.sources.sinks import split_stream, upsert
 from textloom.sources.snapshots import fetched
+from textloom.streaming.run import files_stream
 
 
 def _part_key():
@@ -266,6 +268,15 @@ def last_wins_(spark, folder):
     )
 
 
+def last_wins_upsert(spark, folder):
+    """The same from three batches, none of them in order, each brought into a kept table."""
+    events = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type")
+    path = new_folder(spark, "newest")
+    for part in range(3):
+        kept = upsert(events.where(F.col("event_id") * 7 % 3 == part), path, ["user_id"], ["ts", "event_id"], 8)
+    return kept.select("user_id", F.col("event_type").alias("display_name"))
+
+
 def group_counts(spark, folder):
     suppliers = table(spark, folder, "supplier")
     named = lookup_join(
@@ -364,23 +375,52 @@ def ttl_snapshot(spark, folder):
     )
 
 
-def ok_error_split(spark, folder):
+def _split_parts(spark, folder):
+    """Entries with the names of their providers, credentials, and what makes an entry fail by itself."""
     nation = table(spark, folder, "nation")
     customer = table(spark, folder, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
-    named = lookup_join(customer, nation.select("n_nationkey", "n_name"), ["n_nationkey"], "inner")
-    entries = named.select(
-        "c_custkey",
-        "c_acctbal",
-        F.col("n_name").alias("provider"),
-        F.concat_ws("/", "n_name", "c_name").alias("model_key"),
-    )
+
+    def entries(some):
+        named = lookup_join(some, nation.select("n_nationkey", "n_name"), ["n_nationkey"], "inner")
+        return named.select(
+            "c_custkey",
+            "c_acctbal",
+            F.col("n_name").alias("provider"),
+            F.concat_ws("/", "n_name", "c_name").alias("model_key"),
+        )
+
     keys = nation.select(
         F.col("n_name").alias("provider"),
         F.when(F.col("n_regionkey") != 0, F.concat(F.lit("key-"), "n_name")).alias("api_key"),
     )
     error = F.when(F.col("c_acctbal") < 0, F.lit("negative balance"))
-    return initialise(entries, keys, row_error=error).select("c_custkey", "status", "error")
+    return customer, lambda some: initialise(entries(some), keys, row_error=error)
+
 
+def ok_error_split(spark, folder):
+    customer, split = _split_parts(spark, folder)
+    return split(customer).select("c_custkey", "status", "error")
+
+
+def ok_error_stream(spark, folder):
+    """The same over a stream, written by status and read back."""
+    customer, split = _split_parts(spark, folder)
+    source = table(spark, folder, "customer").schema
+    stream = files_stream(spark, folder, source, pathGlobFilter="customer.parquet")
+    stream = stream.withColumnRenamed("c_nationkey", "n_nationkey")
+    to = new_folder(spark, "split")
+    return split_stream(stream, f"{to}/out", f"{to}/progress", split).select("c_custkey", "status", "error")
+
+
+_LAST_SQL = """SELECT user_id, arg_max(event_type, (ts, event_id)) AS display_name
+FROM events GROUP BY user_id"""
+_SPLIT_SQL = """SELECT c_custkey,
+  CASE WHEN n_regionkey = 0 OR c_acctbal < 0 THEN 'failed' ELSE 'ok' END AS status,
+  CASE WHEN n_regionkey = 0
+    THEN upper(n_name[1]) || lower(n_name[2:]) || ' API Key not found.'
+  WHEN c_acctbal < 0 THEN
+    'Failed to initialize ' || n_name || '/' || c_name || ': negative balance' END AS error
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 QUERIES = {
     "kw_filter": (
@@ -491,11 +531,8 @@ QUERIES = {
             'No AI models were successfully initialized.' || chr(10) || 'Errors:' || chr(10) ELSE '' END
             || string_agg(item, chr(10) ORDER BY k)) AS message FROM n GROUP BY page""",
     ),
-    "last_wins": (
-        last_wins_,
-        """SELECT user_id, arg_max(event_type, (ts, event_id)) AS display_name
-        FROM events GROUP BY user_id""",
-    ),
+    "last_wins": (last_wins_, _LAST_SQL),
+    "last_wins_upsert": (last_wins_upsert, _LAST_SQL),
     "group_counts": (
         group_counts,
         """SELECT label, count(*) AS n, grouping(label) = 1 AS is_total FROM (
@@ -556,14 +593,6 @@ QUERIES = {
           epoch_us((SELECT max(ts) FROM events)) - epoch_us(t) < 86400000000 AND payload <> '' AS reuse
         FROM l""",
     ),
-    "ok_error_split": (
-        ok_error_split,
-        """SELECT c_custkey,
-          CASE WHEN n_regionkey = 0 OR c_acctbal < 0 THEN 'failed' ELSE 'ok' END AS status,
-          CASE WHEN n_regionkey = 0
-            THEN upper(n_name[1]) || lower(n_name[2:]) || ' API Key not found.'
-          WHEN c_acctbal < 0 THEN
-            'Failed to initialize ' || n_name || '/' || c_name || ': negative balance' END AS error
-        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
-    ),
+    "ok_error_split": (ok_error_split, _SPLIT_SQL),
+    "ok_error_stream": (ok_error_stream, _SPLIT_SQL),
 }

@@ -3,6 +3,7 @@
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import (
@@ -20,6 +21,7 @@ from textloom.operators.ordered import PAGE_BYTES
 from textloom.session import new_folder
 from textloom.streaming.run import drain
 
+SLICE = 10_000
 # Place and bytes of the first line held, in the whole text; then the lines
 _STATE = StructType(
     [
@@ -31,6 +33,18 @@ _STATE = StructType(
 )
 
 
+def _ordered(batches: Iterator[pd.DataFrame], places: list[str]) -> Iterator[str]:
+    """Lines in order; but for a slice at a time they are held as Arrow text, not as objects."""
+    lines, order = [], []
+    for b in batches:
+        lines.append(pa.array(b["_line"], pa.large_string()))
+        order.append(b[places])
+    text, rows = pa.chunked_array(lines, pa.large_string()).combine_chunks(), pd.concat(order, ignore_index=True)
+    at = rows.sort_values(places, kind="stable").index.to_numpy()
+    for start in range(0, len(at), SLICE):
+        yield from text.take(pa.array(at[start : start + SLICE])).to_pylist()
+
+
 def assemble_stream(
     lines: DataFrame,
     session: Sequence[str],
@@ -89,8 +103,7 @@ def assemble_stream(
                 return
             done_now, new = True, []
         else:
-            rows = pd.concat(list(batches)).sort_values(places)
-            new, done_now = ([] if done else rows["_line"].tolist()), False
+            new, done_now = ([] if done else _ordered(batches, places)), False
         weight = sum(len(t.encode()) + 1 for t in held)
         for text in new:
             if text.strip().lower() == end:

@@ -5,7 +5,7 @@ from pyspark.sql.types import StructType
 
 from textloom.session import new_folder
 
-MICRO_BATCH = str(16 << 30)  # bytes
+MICRO_BATCH = str(1 << 30)  # bytes; what a worker can hold, if one key has them all
 
 
 def files_stream(spark, path: str, schema: StructType, format: str = "parquet", **options):
