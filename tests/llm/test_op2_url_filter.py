@@ -140,3 +140,21 @@ def test_query(spark, folder):
         rule, verdict = plain_rule(urls[r.page_id], RULES)
         assert (r.host, r.path) == plain_parts(urls[r.page_id]) and r.rule == rule
         assert r.verdict == verdict if rule else r.verdict in ("allow", "block")
+
+
+def test_clashing_columns_and_hosts_of_very_many_labels(spark):
+    urls = [
+        f"http://{'a.' * 100_000}net/x",
+        f"http://{'.' * 100_000}example.com/de/",
+        f"http://{'b.' * 50_000}example.org/en/",
+        "http://a.example.net/en/",
+        "http://c.com/",
+    ]
+    rows = [(k, u, "x", 1) for k, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, _host string, _rules int")
+    pages = pages.withColumn("_rule_host", F.lit(0)).withColumn("url_host", F.lit("y"))
+    judged, out = url_filter.judge(pages, RULES)
+    assert judged.columns == [*pages.columns, out]
+    got = {r.page_id: r[out] for r in judged.collect()}
+    assert {k: r.rule for k, r in got.items()} == {k: plain_rule(u, RULES)[0] for k, u in enumerate(urls)}
+    assert all(r.host == plain_parts(urls[k])[0] for k, r in got.items())

@@ -34,13 +34,10 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*+://[^/?#]*([^?#]*)", 1)
 
 
-def suffixes(name: Column) -> Column:
-    """A host and all domains above it, the host first."""
-    labels = F.split(name, r"\.")
-    n = F.size(labels)
-    return F.transform(
-        F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, k, n - k + 1), ".")
-    )
+def suffixes(name: Column, most: int) -> Column:
+    """The last label of a host, the last two, and so on up to ``most`` of them, or to the whole host."""
+    ends = F.sequence(F.lit(1), F.lit(most))
+    return F.array_distinct(F.transform(ends, lambda k: F.call_function("substring_index", name, F.lit("."), -k)))
 
 
 def with_rules(urls: DataFrame, rules: DataFrame, host_col: str, path_col: str) -> tuple[DataFrame, str]:
@@ -48,7 +45,7 @@ def with_rules(urls: DataFrame, rules: DataFrame, host_col: str, path_col: str)
 
     ``rules`` has rule (``host/path``) and verdict. A rule fits its host and all
     subdomains where the path starts with the rule's. Each distinct host meets
-    the rules once, by its suffixes; urls then meet their host's rules in a join
+    the rules once, by those of its suffixes that are no longer than a rule's host; urls then meet their host's rules in a join
     that Spark broadcasts or splits by size. Of equally long rules the one
     with the longer host wins, then the first by code point.
     """
@@ -59,7 +56,9 @@ def with_rules(urls: DataFrame, rules: DataFrame, host_col: str, path_col: str)
         F.substring("rule", F.lit(1), cut - 1).alias("_rule_host"),
         F.expr("substring(rule, instr(rule, '/'))").alias("_rule_path"),
     ).distinct()
-    hosts = urls.select(F.col(host_col).alias("_host")).filter("_host <> ''").distinct()
+    own, held = fresh(urls, "_host"), fresh(urls, "_rules")
+    most = listed.agg(F.max(F.size(F.split("_rule_host", r"\.")))).first()[0] or 1
+    hosts = urls.select(F.col(host_col).alias(own)).filter(F.col(own) != "").distinct()
     order = F.struct(
         (-F.length("rule")).alias("a"),
         (-F.length("_rule_host")).alias("b"),
@@ -69,15 +68,15 @@ def with_rules(urls: DataFrame, rules: DataFrame, host_col: str, path_col: str)
     )
     # Written, so that Spark knows its size, and so that the join may split a host's many urls.
     by_host = stored(
-        hosts.withColumn("_rule_host", F.explode(suffixes(F.col("_host"))))
+        hosts.select(own, F.explode(suffixes(F.col(own), most)).alias("_rule_host"))
         .join(listed, "_rule_host")
-        .groupBy("_host")
-        .agg(F.array_sort(F.collect_list(order)).alias("_rules")),
+        .groupBy(own)
+        .agg(F.array_sort(F.collect_list(order)).alias(held)),
         "host-rules",
     )
     out = fresh(urls, "ruled")
-    joined = urls.join(by_host, F.col(host_col) == F.col("_host"), "left")
-    fitting = F.get(F.filter("_rules", lambda r: F.startswith(F.col(path_col), r["path"])), 0)
+    joined = urls.join(by_host, F.col(host_col) == F.col(own), "left")
+    fitting = F.get(F.filter(held, lambda r: F.startswith(F.col(path_col), r["path"])), 0)
     ruled = F.struct(fitting["rule"].alias("rule"), fitting["verdict"].alias("verdict"))
     return joined.select(*(urls[c] for c in urls.columns), ruled.alias(out)), out
 
@@ -192,7 +191,8 @@ def judge(
 
     ``rules`` are pairs of ``host/path`` and ``block`` or ``allow``; the urls that
     they decide are the labelled ones. A null url, or one without ``://``, has an
-    empty host and path, fits no rule and is judged by the trees. All rows stay.
+    empty host and path, fits no rule and is judged by the trees. All rows stay, repeated
+    ones too, which count once in training; an empty table gives an empty one.
     """
     spark = pages.sparkSession
     name, rest = fresh(pages, "url_host"), fresh(pages, "url_path")
