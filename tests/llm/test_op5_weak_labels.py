@@ -78,3 +78,47 @@ def test_query(spark, folder):
     rows = queries.op5_weak_labels(spark, folder).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
     assert all(r.kept == (r.score >= 0.5) for r in rows)
+
+
+def test_estimation_over_counts_equals_plain_estimation_over_rows(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stats = weak_labels.fresh(docs, "statistics")
+    voted = docs.withColumn(stats, weak_labels.text_statistics("text")).select(weak_labels.pattern(stats).alias("p"))
+    k = len(weak_labels.LABELLERS)
+    rows = [[r.p // 3 ** (k - 1 - j) % 3 for j in range(k)] for r in voted.collect()]
+    good = []
+    for votes in rows:
+        poor = votes.count(weak_labels.POOR)
+        good.append(0.5 ** (2 * poor) if poor else 0.95 if weak_labels.GOOD in votes else 0.5)
+    for _ in range(200):
+        prior = (sum(good) + 1) / (len(rows) + 2)
+        table = [[[1.0] * 3 for _ in range(2)] for _ in range(k)]
+        for votes, g in zip(rows, good):
+            for j, v in enumerate(votes):
+                table[j][weak_labels.GOOD][v] += g
+                table[j][weak_labels.POOR][v] += 1 - g
+        table = [[[x / sum(kind) for x in kind] for kind in own] for own in table]
+        now = []
+        for votes in rows:
+            yes, no = prior, 1 - prior
+            for j, v in enumerate(votes):
+                yes *= table[j][weak_labels.GOOD][v]
+                no *= table[j][weak_labels.POOR][v]
+            now.append(yes / (yes + no))
+        moved, good = max(abs(a - b) for a, b in zip(now, good)), now
+        if moved < 1e-9:
+            break
+    model = weak_labels.fit(docs)
+    patterns = [sum(v * 3 ** (k - 1 - j) for j, v in enumerate(votes)) for votes in rows]
+    assert np.allclose([model.posteriors[p] for p in patterns], good, atol=1e-6)
+    assert abs(model.accuracies.prior - prior) < 1e-6
+
+
+def test_the_sample_is_bounded_where_rows_share_an_id(spark, monkeypatch):
+    rows = [(None, f"null {k}") for k in range(2000)] + [(7, f"seven {k}") for k in range(2000)] + [(8, "same")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    taken = []
+    train = weak_labels.train
+    monkeypatch.setattr(weak_labels, "train", lambda made, good: (taken.append(len(made)), train(made, good))[1])
+    weak_labels.fit(docs, sample_rows=300)
+    assert 100 <= taken[0] <= 400

@@ -206,7 +206,9 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Accuracies from the votes on all texts; the scorer from about ``sample_rows`` of them.
+    """Accuracies from the votes on all texts; the scorer from at most about ``sample_rows`` of them.
+
+    The sample is of distinct pairs of id and text.
 
     What comes to the driver is a count for each pattern of votes, at most
     3 ** labellers, and for each text of the sample at most six bytes for each of
@@ -223,7 +225,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     patterns, counts = patterns[order], counts[order]
     accuracies = estimate(patterns, counts)
     posteriors = dict(zip(patterns.tolist(), accuracies.posterior(patterns).tolist(), strict=True))
-    chosen = sampled(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), F.col("i"), sample_rows)
+    pairs = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    # By id and text, and repeated rows once, so that rows that share an id, or have none, keep to the bound.
+    chosen = sampled(pairs, F.struct("i", "t"), sample_rows).dropDuplicates()
 
     # Texts become features on the executors; the driver gets some numbers of each.
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
