@@ -115,6 +115,19 @@ def test_small_buckets_place_the_same_words(spark, monkeypatch):
     check(rows, {r.doc_id: r.asDict() for r in mixing.taken(docs, block_words=4).collect()})
 
 
+def test_rows_that_repeat_share_no_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 64)
+    same = [(None, "a", "u v w")] * 6000 + [(5, "a", f"five {k}") for k in range(6000)]
+    rows = same + [(k, "a", "x y") for k in range(10, 6010)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(8)
+    sizes, sources, _ = mixing.mix(docs, block_words=16)
+    groups = mixing.dealt(sizes, sources).groupBy("bucket", "part").count()
+    assert groups.agg(F.max("count")).first()[0] <= 8 * 64
+    placed = mixing.streams(sizes, sources).select("at", "size").orderBy("at").collect()
+    assert len(placed) == len(rows)
+    assert [r["at"] for r in placed] == np.cumsum([0] + [r["size"] for r in placed[:-1]]).tolist()
+
+
 def test_query_and_reruns(spark, folder):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text").collect()]
     first = {r.doc_id: r.asDict() for r in queries.op1_mixing(spark, folder).collect()}

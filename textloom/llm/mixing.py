@@ -108,34 +108,52 @@ def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     A source's documents are dealt to buckets by hash, so that a large source is
     placed by many tasks; only one sum per bucket is added up in order.
     """
-    h = F.xxhash64("doc_id", F.lit("mix"))
+    rows = dealt(sizes, sources)
+    group, earlier = ["s", "bucket", "part"], (Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group).agg(F.sum("size").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("s").orderBy("bucket", "part").rowsBetween(*earlier))
+    ahead = sums.select(*group, F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy(*group).orderBy("h", "doc_id", "row").rowsBetween(*earlier)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return rows.join(ahead, group).withColumn("at", F.col("ahead") + F.col("inside"))
+
+
+def dealt(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows of ``sizes`` with those of their source, each in a bucket and a part of it.
+
+    Buckets go by the hash of id and text. One that still has more than four
+    times its due, because rows repeat, is cut into parts by the rows' own keys.
+    """
     count = F.ceil(F.col("docs") / BUCKET_DOCS).cast("long")
     rows = sizes.join(
         sources.select(F.col("source").alias("_source"), "s", "words", "docs", "take"),
         sizes["source"].eqNullSafe(F.col("_source")),
     ).drop("_source")
-    rows = rows.withColumn("h", h.bitwiseAND((1 << 32) - 1)).withColumn(
-        "bucket", F.shiftright(F.col("h") * count, 32)
+    low = F.col("h").bitwiseAND((1 << 32) - 1)
+    rows = rows.withColumn("bucket", F.shiftright(low * count, 32))
+    crowded = (
+        rows.groupBy("s", "bucket")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") > 4 * BUCKET_DOCS)
+        .select("s", "bucket", F.ceil(F.col("n") / BUCKET_DOCS).cast("long").alias("parts"))
     )
-    earlier = Window.unboundedPreceding, -1
-    sums = rows.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
-    ahead = F.sum("n").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(*earlier))
-    ahead = sums.select("s", "bucket", F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("s", "bucket").orderBy("h", "doc_id", "row").rowsBetween(*earlier)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return rows.join(ahead, ["s", "bucket"]).withColumn("at", F.col("ahead") + F.col("inside"))
+    # At most three numbers for each 4 * BUCKET_DOCS documents, and only where rows repeat.
+    rows = rows.join(F.broadcast(crowded), ["s", "bucket"], "left")
+    part = F.pmod(F.xxhash64("row", F.lit("part")), F.col("parts"))
+    return rows.withColumn("part", F.coalesce(part, F.lit(0).cast("long"))).drop("parts")
 
 
 def sized(
     docs: DataFrame, id_col: str, source_col: str, text_col: str, row_col: str | None = None
 ) -> DataFrame:
-    """row, doc_id, source and size of every row, written once."""
+    """row, doc_id, source, size and h, a hash of id and text, of every row, written once."""
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     rows = docs.select(
         row.alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(text_col).alias("size"),
+        F.xxhash64(id_col, text_col, F.lit("mix")).alias("h"),
     )
     return stored(rows, "sizes")
 
