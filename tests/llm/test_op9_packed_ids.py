@@ -94,6 +94,22 @@ def test_odd_rows(spark, size):
     assert sorted(map(tuple, found.collect()), key=repr) == expected(rows)
 
 
+def test_rows_of_one_id_go_to_many_shards(spark):
+    rows = [(7, "same text")] * 2000 + [(8, f"{k} of many") for k in range(2000)]
+    rows += [(None, f"no id {k}") for k in range(1000)] + [(k, "x y z") for k in range(10, 1010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(t) for _, t in rows)
+    found = packing.packed_documents(docs, PATH, shard_bytes=size // 16, block_ids=64)
+    shards = [r["count"] for r in found.groupBy("shard").count().collect()]
+    assert sum(shards) == len(rows) and max(shards) <= 3 * len(rows) / 16
+    placed = found.orderBy("start").collect()
+    assert [r.start for r in placed] == np.cumsum([0] + [r.n_tokens for r in placed[:-1]]).tolist()
+    assert [r.doc_id for r in placed] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    same = {(r.n_tokens, r.ids_crc32) for r in placed if r.doc_id == 7}
+    ids = np.array([*library("same text"), 1], "<u4")
+    assert same == {(len(ids), zlib.crc32(ids.tobytes()))}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.packed_documents(docs, PATH).count() == 0

@@ -33,6 +33,8 @@ from textloom.session import new_folder
 SHARD_BYTES = 32 << 20
 #: Ids in a block.
 BLOCK_IDS = 1 << 16
+#: First characters of a text that put rows of equal id in order.
+HEAD_CHARS = 32
 
 _HEADER, _TRAILER = "<4sIIII", "<QQQQ4s"
 _START, _END = b"TLPK", b"KPLT"
@@ -165,11 +167,20 @@ def write_shards(
     """Write every document's ids, each followed by ``end_id``, in ascending id order.
 
     Documents are cut into ranges of ids, a shard each, numbered in order. Rows
-    without an id come first; rows of equal id are in order of their text. A
-    null text is empty and gives just the end id. An empty table gives no shard.
+    without an id come first; rows of equal id are in order of the first
+    characters of their text, then of its hash, and may be cut into shards too,
+    repeated rows included. A null text is empty and gives just the end id. An
+    empty table gives no shard.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.substring(text_col, 1, HEAD_CHARS).alias("head"),
+        F.xxhash64(text_col).alias("hash"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col(text_col).alias("text"),
+    )
+    order = ("doc_id", "head", "hash", "row")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = width(max(encoder(tokenizer_path).size, end_id + 1))
     end = np.array([end_id], "<u4").tobytes()
 
@@ -187,8 +198,8 @@ def write_shards(
             yield batch(list(writer.end()))
 
     (
-        rows.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        rows.repartitionByRange(max(1, -(-size // shard_bytes)), *order)
+        .sortWithinPartitions(*order)
         .select("doc_id", as_bytes("text").alias("text"))
         .mapInArrow(shard, "row binary")
         .select(F.col("row").cast("string").alias("value"))
