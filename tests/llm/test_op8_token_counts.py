@@ -79,3 +79,11 @@ def test_query_against_the_library(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     found = {r.doc_id: r.n_tokens for r in queries.op8_token_counts(spark, folder).collect()}
     assert found == {r.doc_id: len(library(r.text)) for r in docs}
+
+
+def test_whole_table_through_the_splice(spark, folder):
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = table.select("doc_id", "text").collect()
+    assert sum(len(r.text or "") > 160 for r in docs) > len(docs) * 0.9
+    found = tokenizing.token_counts(table, PATH, chunk=160, overlap=8).collect()
+    assert {r.doc_id: r.n_tokens for r in found} == {r.doc_id: len(library(r.text or "")) for r in docs}

@@ -9,6 +9,7 @@ independent goes through the library whole.
 import json
 import os
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from textloom.llm.common import as_bytes, pieces
 
 #: Texts of more characters are encoded in overlapping chunks.
-CHUNK_CHARS = 32_768
+CHUNK_CHARS = 4096
 #: Characters by which neighbouring chunks overlap at first.
-OVERLAP_CHARS = 256
+OVERLAP_CHARS = 64
 #: Words kept per Python worker, and the longest that is kept.
 CACHE_WORDS = 1_000_000
 LONGEST_WORD = 64
@@ -41,22 +42,36 @@ def special_strings(tokenizer) -> list[str]:
 
 
 class Chunk:
-    """Tokens of ``text[begin:end]`` by position in the whole text."""
+    """Tokens of ``text[begin:end]`` by position in the whole text.
+
+    Positions never fall from token to token, so those that are asked for are
+    found by bisection; the others are never taken out of the library.
+    """
 
     def __init__(self, tokenizer, text: str, begin: int, end: int):
         self.begin, self.end = begin, min(end, len(text))
-        found = tokenizer.encode(text[begin:end], add_special_tokens=False)
-        self.ids = np.array(found.ids, np.int64)
-        self.starts = np.array([a for a, _ in found.offsets], np.int64) + begin
-        words = [-1 if w is None else w for w in found.word_ids]
-        word = np.array(words, np.int64)
-        fresh = np.ones(len(word), bool)
-        fresh[1:] = word[1:] != word[:-1]
-        self.boundaries = self.starts[fresh & (word >= 0)]
+        self.found = tokenizer.encode(text[begin:end], add_special_tokens=False)
+
+    def _start(self, token: int) -> int:
+        return self.found.token_to_chars(token)[0] + self.begin
+
+    def _first(self, position: int) -> int:
+        return bisect_left(range(len(self.found)), position, key=self._start)
+
+    def boundaries(self, low: int, high: int) -> set[int]:
+        """Positions from ``low`` to ``high`` at which words start."""
+        out = set()
+        for k in range(self._first(low), len(self.found)):
+            if (at := self._start(k)) > high:
+                break
+            word = self.found.token_to_word(k)
+            if word is not None and (k == 0 or self.found.token_to_word(k - 1) != word):
+                out.add(at)
+        return out
 
     def between(self, low: int, high: int | None = None) -> np.ndarray:
-        keep = self.starts >= low
-        return self.ids[keep & (self.starts < high)] if high is not None else self.ids[keep]
+        last = None if high is None else self._first(high)
+        return np.array(self.found.ids[self._first(low) : last], np.int64)
 
 
 def spliced(
@@ -82,18 +97,18 @@ def spliced(
         wider = overlap
         while True:
             last = left.end - margin if left.end < len(text) else len(text)
-            common = np.intersect1d(left.boundaries, right.boundaries)
-            common = common[(common >= max(start, begin + margin)) & (common <= last)]
-            if len(common) or left.end == len(text):
+            low = max(start, begin + margin)
+            common = left.boundaries(low, last) & right.boundaries(low, last)
+            if common or left.end == len(text):
                 break
             wider *= 2
             left = Chunk(tokenizer, text, left.begin, begin + wider)
             if right.end < left.end:
                 right = Chunk(tokenizer, text, begin, left.end)
-        if not len(common):
+        if not common:
             break
-        out.append(left.between(start, int(common[0])))
-        left, start = right, int(common[0])
+        out.append(left.between(start, min(common)))
+        left, start = right, min(common)
     out.append(left.between(start))
     return out
 
@@ -264,7 +279,13 @@ def n_tokens(
 
 
 def token_counts(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    limit: int = 512,
+    chunk: int = CHUNK_CHARS,
+    overlap: int = OVERLAP_CHARS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit.
 
@@ -274,5 +295,5 @@ def token_counts(
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
-        F.coalesce(n_tokens(text_col, path), F.lit(0)).cast("long").alias("n_tokens"),
+        F.coalesce(n_tokens(text_col, path, chunk, overlap), F.lit(0)).cast("long").alias("n_tokens"),
     ).withColumn("over_limit", F.col("n_tokens") > limit)
