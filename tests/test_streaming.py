@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.breaker import replay
 from textloom.operators.lines import assemble_lines
+from textloom.queries import QUERIES
 from textloom.sources.texts import text_lines
 from textloom.streaming.breaker import LATE, replay_stream, replay_to_the_end
 from textloom.streaming.lines import assemble_stream, assemble_to_the_end
@@ -124,3 +125,15 @@ def test_lines_end_when_idle(spark, tmp_path):
     finally:
         query.stop()
     assert [tuple(r) for r in spark.table("idle_lines").collect()] == [("a", 0, 2, "x \ny")]
+
+
+@pytest.mark.parametrize("name,source", [("line_stream", "conversations"), ("breaker_stream", "events"), ("ok_error_stream", "customer")])
+def test_tables_in_folders(spark, folder, tmp_path, name, source):
+    """A table is streamed alike as one file and as a folder of files."""
+    for other in ("conversations", "events", "customer", "nation"):
+        table = spark.read.parquet(f"{folder}/{other}.parquet")
+        table.repartition(3 if other == source else 1).write.parquet(str(tmp_path / f"{other}.parquet"))
+    query = QUERIES[name][0]
+    got, wanted = query(spark, str(tmp_path)), query(spark, folder)
+    rows = [sorted(map(repr, d.select(*wanted.columns).collect())) for d in (got, wanted)]
+    assert rows[0] and rows[0] == rows[1]

@@ -24,7 +24,7 @@ from textloom.session import new_folder
 from textloom.sources.listings import initialise, kept_snapshots, with_fallback
 from textloom.sources.sinks import split_stream, upsert
 from textloom.sources.snapshots import fetched
-from textloom.streaming.run import files_stream
+from textloom.streaming.run import table_stream
 
 
 def _part_key():
@@ -406,7 +406,7 @@ def ok_error_stream(spark, folder):
     """The same over a stream, written by status and read back."""
     customer, split = _split_parts(spark, folder)
     source = table(spark, folder, "customer").schema
-    stream = files_stream(spark, folder, source, pathGlobFilter="customer.parquet")
+    stream = table_stream(spark, folder, "customer", source)
     stream = stream.withColumnRenamed("c_nationkey", "n_nationkey")
     to = new_folder(spark, "split")
     return split_stream(stream, f"{to}/out", f"{to}/progress", split).select("c_custkey", "status", "error")

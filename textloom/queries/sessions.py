@@ -10,7 +10,7 @@ from textloom.sources.texts import text_lines
 from textloom.session import new_folder, written
 from textloom.streaming.breaker import LATE, replay_stream, replay_to_the_end
 from textloom.streaming.lines import assemble_to_the_end
-from textloom.streaming.run import drain, files_stream
+from textloom.streaming.run import drain, files_stream, table_stream
 
 DAY = 86_400.0
 END = "at"
@@ -93,7 +93,7 @@ def breaker_by_type(spark, folder):
 
 def breaker_stream(spark, folder):
     schema = table(spark, folder, "events").schema
-    events = files_stream(spark, folder, schema, pathGlobFilter="events.parquet")
+    events = table_stream(spark, folder, "events", schema)
     calls = events.withColumn("failed", F.col("event_type") == "error")
     stream = replay_stream(
         calls, ["user_id"], "event_id", "ts", "failed", recovery_seconds=DAY
@@ -156,7 +156,7 @@ def line_assembly(spark, folder):
 
 def line_stream(spark, folder):
     schema = table(spark, folder, "conversations").schema
-    turns = files_stream(spark, folder, schema, pathGlobFilter="conversations.parquet")
+    turns = table_stream(spark, folder, "conversations", schema)
     lines = _words_as_lines(turns)
     texts = assemble_to_the_end(lines, ["conv_id"], ["turn", "line_no"], "line", END, page_lines=25)
     return texts.select("conv_id", "page", "n_lines", F.md5("text").alias("h"))

@@ -19,6 +19,14 @@ def files_stream(spark, path: str, schema: StructType, format: str = "parquet",
     return spark.readStream.format(format).schema(schema).options(**options).load(path)
 
 
+def table_stream(spark, folder: str, name: str, schema: StructType, **options):
+    """Stream of a table that is one Parquet file or a folder of them.
+
+    Spark takes the path of a stream for a folder, unless it is a pattern.
+    """
+    return files_stream(spark, f"{folder}/{name}.parque[t]", schema, **options)
+
+
 def drain(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Process all available input into a parquet table in the shared folder, and read that.
 
