@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -201,3 +204,27 @@ def test_many_recovery_times(spark, monkeypatch, most_runs):
     assert (levels[-1].count() == 1) == (most_runs > 40)
     # Runs are calls of a recovery time at most, not all calls.
     assert all(r[0] <= 30 * 4 + 4 for level in levels for r in level.select(F.size("until")).collect())
+
+
+def test_functions_are_followed_as_they_lie_in_arrow():
+    """A batch of many long functions takes no Python memory but for the runs that are looked at."""
+    functions, n = [], 500
+    for k in range(200):
+        at = [1_000 * (k * n + i) for i in range(n)]
+        functions.append((at, [(k + i) % 3 > 0 for i in range(n)]))
+    rows = [pa.table(B._function_columns(at[0], B.chunk_exits(at, bad, 3, n * 1_000))) for at, bad in functions]
+    batch = pa.concat_tables(rows).combine_chunks().to_batches()[0]
+    numbers = pa.array(range(len(rows)), pa.int64())
+    ones = {"_key": pa.array([0] * len(rows)), "_parent": pa.array([-1] * len(rows)), "_chunk": numbers, "_node": numbers}
+    start = {"_state": ["closed"] * len(rows), "_failures": pa.array([0] * len(rows), pa.int64()), "_last": pa.nulls(len(rows), pa.int64())}
+    batch = pa.RecordBatch.from_pydict(ones | start | dict(zip(batch.schema.names, batch.columns)))
+    tracemalloc.start()
+    got = list(B._follow(iter([batch]), 3, n * 1_000))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    held = B.START
+    for k, (at, bad) in enumerate(functions):
+        assert tuple(got.column(c)[k].as_py() for c in ("_state", "_failures", "_last")) == held
+        for t, f in zip(at, bad):
+            held = B.call(held, t, f, 3, n * 1_000)[2]

@@ -35,6 +35,8 @@ START = (CLOSED, 0, None)
 CHUNK_ROWS = 200_000
 #: Neighbouring functions composed into one, and most runs that they may have together.
 FAN, MOST_RUNS = 16, 1 << 17
+#: Runs for which a task that follows functions is made; it may hold them in one Arrow batch.
+TASK_RUNS = 1 << 20
 
 CALL_FIELDS = [
     StructField("admitted_as", StringType()),
@@ -240,14 +242,6 @@ def leave(held: tuple, function: tuple, threshold: int, recovery: int) -> tuple:
     return follow((*held, False), function, threshold, recovery)[:3]
 
 
-def _as_dict(exit_: tuple) -> dict:
-    return dict(zip(("state", "failures", "last", "added"), exit_))
-
-
-def _as_tuple(exit_: dict) -> tuple:
-    return exit_["state"], exit_["failures"], exit_["last"], exit_["added"]
-
-
 _FUNCTION_FIELDS = [
     StructField("start", LongType()),
     StructField("total", LongType()),
@@ -258,20 +252,48 @@ _FUNCTION_FIELDS = [
 _FUNCTION = [f.name for f in _FUNCTION_FIELDS]
 
 
+def _exits(exits: Sequence[tuple]) -> pa.Array:
+    """One list that holds the exits."""
+    columns = list(zip(*exits)) if exits else [()] * len(_EXIT)
+    each = [pa.array(values, field.type) for values, field in zip(columns, _EXIT)]
+    return pa.ListArray.from_arrays([0, len(exits)], pa.StructArray.from_arrays(each, fields=list(_EXIT)))
+
+
 def _function_columns(start: int, function: tuple) -> dict:
     total, closing, runs = function
     return {
         "start": pa.array([start], pa.int64()),
         "total": pa.array([total], pa.int64()),
-        "closing": pa.array([[_as_dict(e) for e in closing]], pa.list_(_EXIT)),
+        "closing": _exits(closing),
         "until": pa.array([[t for t, _ in runs]], pa.list_(pa.int64())),
-        "exits": pa.array([[_as_dict(e) for _, e in runs]], pa.list_(_EXIT)),
+        "exits": _exits([e for _, e in runs]),
     }
 
 
-def _function_of(row: dict) -> tuple:
-    runs = list(zip(row["until"], map(_as_tuple, row["exits"])))
-    return row["total"], [_as_tuple(e) for e in row["closing"]], runs
+def _tuples(exits: pa.StructArray) -> list[tuple]:
+    return list(zip(*[column.to_pylist() for column in exits.flatten()]))
+
+
+class _Runs(Sequence):
+    """The runs of a function as they lie in Arrow; those that are looked at become Python objects."""
+
+    def __init__(self, until: pa.Array, exits: pa.StructArray):
+        self.until, self.exits = until, exits
+
+    def __len__(self) -> int:
+        return len(self.until)
+
+    def __getitem__(self, k: int) -> tuple:
+        return self.until[k].as_py(), tuple(self.exits[k].as_py().values())
+
+    def all(self) -> list[tuple]:
+        return list(zip(self.until.to_pylist(), _tuples(self.exits)))
+
+
+def _function_of(rows: pa.RecordBatch | pa.Table, k: int) -> tuple:
+    """The function in row ``k``, with its runs still in Arrow."""
+    total, closing, until, exits = (rows.column(c)[k] for c in ("total", "closing", "until", "exits"))
+    return total.as_py(), _tuples(closing.values), _Runs(until.values, exits.values)
 
 
 def _summarise(table: pa.Table, threshold: int, recovery: int) -> pa.Table:
@@ -288,10 +310,11 @@ def _summarise(table: pa.Table, threshold: int, recovery: int) -> pa.Table:
 def _composed(table: pa.Table, threshold: int, recovery: int) -> pa.Table:
     """One function of up to FAN neighbours, named after the first of them."""
     table = table.sort_by("_node")
-    rows = table.select(_FUNCTION).to_pylist()
-    start, function = rows[0]["start"], _function_of(rows[0])
-    for row in rows[1:]:
-        function = compose(function, _function_of(row), start, threshold, recovery)
+    start, function = table.column("start")[0].as_py(), None
+    for k in range(table.num_rows):
+        total, closing, runs = _function_of(table, k)
+        own = total, closing, runs.all()
+        function = own if function is None else compose(function, own, start, threshold, recovery)
     names = {c: table.column(c).slice(0, 1) for c in ("_key", "_chunk")}
     node = pa.array([table.column("_node")[0].as_py() // FAN], pa.int64())
     return pa.table(names | {"_node": node} | _function_columns(start, function))
@@ -304,12 +327,13 @@ def _follow(
     group, held = None, START
     for batch in batches:
         entries = []
-        for row in batch.select(["_key", "_parent", "_state", "_failures", "_last", *_FUNCTION]).to_pylist():
+        narrow = batch.select(["_key", "_parent", "_state", "_failures", "_last"]).to_pylist()
+        for k, row in enumerate(narrow):
             if (row["_key"], row["_parent"]) != group:
                 group = (row["_key"], row["_parent"])
                 held = (row["_state"], row["_failures"], row["_last"])
             entries.append(held)
-            held = leave(held, _function_of(row), threshold, recovery)
+            held = leave(held, _function_of(batch, k), threshold, recovery)
         state, failures, last = zip(*entries) if entries else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [
@@ -373,7 +397,9 @@ def _entries(levels: list[DataFrame], threshold: int, recovery: int) -> DataFram
             [level.schema[c] for c in ("_key", "_chunk", "_node")]
             + [StructField("_state", StringType()), StructField("_failures", LongType()), StructField("_last", LongType())]
         )
-        sorted_ = rows.repartition("_key", "_parent").sortWithinPartitions("_key", "_parent", "_node")
+        runs = level.agg(F.sum(F.size("until"))).first()[0] or 0
+        dealt = rows.repartition(max(1, -(-runs // TASK_RUNS)), "_key", "_parent")
+        sorted_ = dealt.sortWithinPartitions("_key", "_parent", "_node")
         above = sorted_.mapInArrow(partial(_follow, threshold=threshold, recovery=recovery), schema)
     return above
 
