@@ -68,6 +68,21 @@ def test_breaker_in_the_order_of_time(spark, shuffled, delay_days, held):
     assert [r for r in rows if r[1] not in late] == sorted(map(tuple, wanted.select(*columns).collect()))
 
 
+@pytest.mark.parametrize("delay_days,held", [(40, 200_000), (40, 1), (5, 200_000)])
+def test_keys_in_groups(spark, shuffled, delay_days, held):
+    """Keys that share states, those without a value too, fare as with a state of their own."""
+    batch = spark.read.parquet(shuffled)
+    found = []
+    for groups in (None, 4):
+        stream = files_stream(spark, shuffled, batch.schema, maxFilesPerTrigger=1)
+        stream = stream.withColumn("user_id", F.expr("if(user_id % 5 = 0, null, user_id)"))
+        stream = stream.withColumn("n", F.lit("a b"))
+        args = ["user_id", "n"], "event_id", "ts", "failed", delay_days * 86_400, 3, 86_400
+        got = replay_to_the_end(stream, *args, most_held=held, key_groups=groups)
+        found.append((got.dtypes, sorted(map(repr, got.collect()))))
+    assert len(found[0][1]) == 1000 and found[0] == found[1]
+
+
 def test_restart_goes_on(spark, calls, tmp_path):
     schema = spark.read.parquet(calls).schema
     for _ in range(2):

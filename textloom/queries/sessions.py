@@ -103,6 +103,8 @@ def breaker_stream(spark, folder):
 
 #: Calls come in windows of so many days, up to 23 hours after their time.
 _WINDOW_DAYS = 8
+#: States that the users' breakers are kept in.
+_KEY_GROUPS = 1024
 
 
 def _arriving(spark, folder, delay_seconds):
@@ -123,7 +125,7 @@ def _arriving(spark, folder, delay_seconds):
         some = calls.where(F.col("window") == window)
         some.repartition(4, F.xxhash64("event_id")).write.mode("append").parquet(path)
         stream = files_stream(spark, path, calls.schema)
-        options = {"recovery_seconds": DAY, "folder": progress}
+        options = {"recovery_seconds": DAY, "folder": progress, "key_groups": _KEY_GROUPS}
         found = replay_to_the_end(
             stream, ["user_id"], "event_id", "ts", "failed", delay_seconds, **options
         )
