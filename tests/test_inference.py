@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from textloom.operators.inference import run_callable
 from textloom.operators.sessions import previous_results, refinement_chains
+from textloom.operators import waves
 from textloom.operators.waves import run_in_waves
+from textloom.queries import QUERIES
 from textloom.plans.tasks import execute
 
 
@@ -288,3 +290,18 @@ def test_a_repeated_task_reads_its_own_answers(tmp_path):
     rest = pa.Table.from_batches(list(attempt()))
     assert rest.column("result").to_pylist() == [f"p{k}!" for k in range(20)]
     assert len(asked) == 21 and asked.count("p13") == 2 and "_call" not in rest.column_names
+
+
+def test_no_task_reads_all_prompts_of_a_model(spark, folder, monkeypatch):
+    """Places are found without the prompts; the first wave of a dead model has its only calls."""
+    seen = []
+    found = waves.positions
+
+    def narrow(df, *args, **kwargs):
+        seen.append(df.columns)
+        return found(df, *args, **kwargs)
+
+    monkeypatch.setattr(waves, "positions", narrow)
+    rows = QUERIES["task_breaker"][0](spark, folder).collect()
+    assert seen == [["_row", "model_key", "doc_id"]]
+    assert {(r["model_key"], r["n"]) for r in rows if r["error_type"] == "other"} == {("src0", 3), ("src1", 3)}

@@ -67,6 +67,7 @@ def run_in_waves(
     threshold: int = fixed.FAILURE_THRESHOLD,
     recovery_seconds: float = fixed.RECOVERY_SECONDS,
     now: Callable[[], float] = time.time,
+    first_rows: int | None = None,
     **options,
 ) -> DataFrame:
     """As ``run_callable``, with one breaker per model for the whole job.
@@ -76,12 +77,20 @@ def run_in_waves(
     over, so a dead model costs one wave, not one wave per task.  An open one rejects a
     wave, and after the recovery time lets the wave's first call try: with an answer the
     rest of the wave follows, without one it is rejected.  Rows without a prompt are
-    passed on without a call.  Rows without a model share one breaker.
+    passed on without a call.  Rows without a model share one breaker.  With
+    ``first_rows``, the first wave has so many rows of each model: with as many as the
+    threshold, a model that is dead from the start is called for no more than those.
     """
     recovery = round(recovery_seconds * 1_000_000)
-    placed = positions(df, [model], order, "_place")
-    asked = F.col(prompt).isNotNull()
-    placed = placed.withColumn("_asked", asked).withColumn("_wave", F.floor((F.col("_place") - 1) / wave_rows))
+    # Places are found without the prompts, of which a task would else hold a whole model's.
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "wave-rows")
+    narrow = rows.select(*dict.fromkeys(("_row", model, *order)))
+    places = positions(narrow, [model], [*order, "_row"], "_place").select("_row", "_place")
+    placed = rows.join(places, "_row").select(*df.columns, "_place")
+    first = wave_rows if first_rows is None else first_rows
+    later = F.floor((F.col("_place") - 1 - first) / wave_rows) + 1
+    wave = F.when(F.col("_place") <= first, 0).otherwise(later)
+    placed = placed.withColumn("_asked", F.col(prompt).isNotNull()).withColumn("_wave", wave)
     path, out = new_folder(df.sparkSession, "waves"), new_folder(df.sparkSession, "wave-results")
     placed.write.partitionBy("_wave").parquet(path)
     todo = df.sparkSession.read.schema(placed.schema).parquet(path)

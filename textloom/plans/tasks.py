@@ -1,5 +1,7 @@
 """From requests to prompts, and from prompts to results."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from textloom import fixed
@@ -8,6 +10,7 @@ from textloom.operators.inference import API, REJECTED, Factory, run_callable
 from textloom.operators.lookup import lookup_join
 from textloom.operators.routing import add_template, direction
 from textloom.operators.validation import console_message, friendly_message
+from textloom.operators.waves import run_in_waves
 
 
 def prepare(
@@ -64,17 +67,22 @@ def execute(
     factory: Factory,
     model: str = "model_key",
     guard: bool = True,
+    order: Sequence[str] = (),
     **options,
 ) -> DataFrame:
     """Run the prompts.  Adds result, is_error, error, error_type and the console's message.
 
     Failures are rows, never the end of the job: a failed call gets the
     friendly message of its error's type.  Calls go through a breaker per model,
-    kept by each task for itself; ``guard=False`` leaves it out.  All columns of
+    kept by each task for itself; ``guard=False`` leaves it out.  With ``order``, all tasks
+    share it, moved on between waves of calls (``operators.waves``).  All columns of
     ``prepared`` pass through the Python workers, so drop the text first if the
     prompt is enough.
     """
-    ran = run_callable(prepared, factory, "prompt", model, guard=guard, **options)
+    if order:
+        ran = run_in_waves(prepared, factory, model, order, **options)
+    else:
+        ran = run_callable(prepared, factory, "prompt", model, guard=guard, **options)
     kind = F.when(F.col("error_type") == REJECTED, API).otherwise(F.col("error_type"))
     called = F.when(
         F.col("call_error").isNotNull(),

@@ -145,14 +145,16 @@ def task_execution(spark, folder):
 
 
 def task_breaker(spark, folder):
-    """Models that always fail are given up after three calls; all calls of a model in one task."""
+    """Models that always fail are given up after three calls, through a breaker that all tasks share."""
     docs = table(spark, folder, "documents").select(
+        "doc_id",
         F.col("source").alias("model_key"),
         F.col("text").alias("prompt"),
         F.lit(None).cast("string").alias("error"),
         F.lit("refine").alias("error_task"),
     )
-    done = execute(docs.repartition(8, "model_key"), dead_factory, recovery_seconds=1e9)
+    options = {"first_rows": fixed.FAILURE_THRESHOLD, "wave_rows": 1 + docs.count() // 8}
+    done = execute(docs, dead_factory, order=["doc_id"], recovery_seconds=1e9, **options)
     return done.groupBy("model_key", "error_type", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
